@@ -99,7 +99,7 @@ def soar_payload(scored: DataFrame) -> DataFrame:
         F.col("mitre_hit_count").alias("mitre_hits"), F.lit(0.0).alias("rule_entropy"),
         F.lit(0.0).alias("tactic_progression"), dev.alias("baseline_deviation"), F.col("action").alias("decision"),
         F.format_string("score=%.4f sev=%d mitre=%d entropy=0.000 dev=%.3f", F.col("anomaly_score"),
-                        F.col("max_severity"), F.col("mitre_hit_count"), dev).alias("reason"),
+                        F.col("max_severity"), F.col("mitre_hit_count"), F.round(dev, 3)).alias("reason"),
     )
     return escalated(scored).select("meta_id", F.to_json(body).alias("payload"))
 
@@ -116,7 +116,7 @@ def notification_text(scored: DataFrame, severity_max: int = 15, zone: str = REF
         F.format_string("Severity: %d/%d  |  %d alerts dalam %d menit", "max_severity", F.lit(severity_max),
                         "alert_count", minutes),
         F.format_string("Mulai: %s %s  |  Selesai: %s %s", clock("start_us"), F.lit(label), clock("end_us"), F.lit(label)),
-        F.format_string("Score anomali: %.2f", "anomaly_score"),
+        F.format_string("Score anomali: %.2f", F.round("anomaly_score", 2)),
     )
     return escalated(scored).select("meta_id", text.alias("message"))
 

@@ -23,7 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def alerts(spark: SparkSession, sf_dir: str, compress: int = 60) -> DataFrame:
     """Alerts derived from ``events``; ``compress`` divides the timeline (30 days become 12 hours by default)."""
-    ev = table(spark, sf_dir, "events")
+    return alerts_from(table(spark, sf_dir, "events"), compress)
+
+
+def alerts_from(ev: DataFrame, compress: int = 60) -> DataFrame:
+    """The same view of any ``events`` frame, batch or streaming."""
     elapsed = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))")
     names = F.array(*[F.lit(n) for n in AGENT_NAMES])
     agent_no = (F.col("user_id") % 8).cast("int")

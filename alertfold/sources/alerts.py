@@ -91,12 +91,17 @@ def read_alert_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_lines(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")))
 
 
-def scan_month_dirs(spark: SparkSession, root: str) -> DataFrame:
-    """Lines below ``root/<year>/<month>/<any folder>/**.json`` with their year and month."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root)
+def with_month(lines: DataFrame, file: str = "file") -> DataFrame:
+    """Year and month folder of each line's file, below ``<year>/<month>/``."""
+    part = lambda i: F.regexp_extract(file, r"/(\d{4})/([^/]+)/", i)
+    return lines.withColumns({"year": part(1), "month": part(2)})
+
+
+def scan_month_dirs(spark: SparkSession, root: str, names: str = "*.json") -> DataFrame:
+    """Lines below ``root/<year>/<month>/`` at any depth, with their year and month."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(root)
     lines = files.select("value", F.col("_metadata.file_path").alias("file"))
-    part = lambda i: F.regexp_extract("file", r"/(\d{4})/([^/]+)/", i)
-    return parse_lines(lines).withColumns({"year": part(1), "month": part(2)})
+    return with_month(parse_lines(lines))
 
 
 def read_alert_csv(spark: SparkSession, path: str, columns: list[str] = S.FULL_COLUMNS) -> DataFrame:
