@@ -160,7 +160,7 @@ def score_report(scored: DataFrame) -> DataFrame:
     return one.select(
         "n_total", "n_escalate", "n_digest", "n_suppress",
         F.round(F.col("n_suppress") / F.col("n_total") * 100, 2).alias("reduction_pct"),
-        "score_min", F.round(F.col("q")[0], 4).alias("score_median"), F.round(F.col("q")[1], 4).alias("score_q3"),
+        "score_min", F.round(F.col("q")[0], 6).alias("score_median"), F.round(F.col("q")[1], 6).alias("score_q3"),
         "score_max")
 
 

@@ -136,8 +136,8 @@ def feature_summary(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     stats = counts.groupBy("feature").agg(
         F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("n_unique"), q.alias("q"),
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
-    rounded = lambda c: F.round(c, 4)
+    rounded = lambda c: F.round(c, 6)
     return stats.select(
         "feature", "min", "max", "n_unique", rounded(F.col("q")[0]).alias("q1"), rounded(F.col("q")[1]).alias("median"),
         rounded(F.col("q")[2]).alias("q3"), rounded(F.col("q")[2] - F.col("q")[0]).alias("iqr"),
-        rounded(F.col("mean")).alias("mean"))
+        F.round("mean", 4).alias("mean"))

@@ -151,23 +151,26 @@ def robustness_sweep(
     """Reduction, its loss against no noise, and how much noise falls into buckets with real alerts, per rate.
 
     Without noise the alerts are taken in arrival order; noisy mixtures are in time order, so that nothing is late.
-    All noisy rates are sessionized together with the rate in the key; the noise of a lower rate is a different set of
-    rows, as its times depend on the row number only.
+    A noise row depends on its number only, so the noise of a rate is the head of the noise of a higher rate, and all
+    noisy rates are sessionized together with the rate in the key.
     """
-    needed = [c for c in [*A.SESSION_COLUMNS] if c != "mitre_tactic" and c in alerts.columns]
-    slim = alerts.select(*needed)
+    slim = alerts.select(*[c for c in A.SESSION_COLUMNS if c != "mitre_tactic" and c in alerts.columns])
     cap = cap_minutes * MINUTE_US
     keys = ["noise_rate", *A.KEYS]
-    quiet = A.ordered_alerts(slim, k, lateness_sec).withColumn("noise_rate", F.lit(0.0)).withColumn("is_noise", F.lit(0))
-    parts = [A.assign_buckets(quiet, gap_minutes * MINUTE_US, cap, keys).select(*keys, "bucket_start_us", "is_noise")]
-    noisy = [with_noise(slim, r).withColumn("noise_rate", F.lit(float(r))) for r in rates if r > 0]
+    columns = [*keys, "bucket_start_us", "is_noise"]
+    quiet = A.ordered_alerts(slim, k, lateness_sec).withColumns({"noise_rate": F.lit(0.0), "is_noise": F.lit(0)})
+    parts = [A.assign_buckets(quiet, gap_minutes * MINUTE_US, cap, keys).select(*columns)]
+    noisy = sorted(r for r in rates if r > 0)
     if noisy:
-        mixed = noisy[0]
-        for other in noisy[1:]:
-            mixed = mixed.unionByName(other)
-        ordered = A.O.in_time_order(mixed.select(*keys, "timestamp", "event_id", "is_noise"))
-        parts.append(A.assign_buckets(ordered, gap_minutes * MINUTE_US, cap, keys, time_ordered=True).select(
-            *keys, "bucket_start_us", "is_noise"))
+        n_alerts = time_span(slim).first().n_alerts
+        limits = F.explode(F.array(*[
+            F.struct(F.lit(float(r)).alias("noise_rate"), F.lit(n_alerts * round(r * 100) // 100).alias("limit"))
+            for r in noisy]))
+        mixed = with_noise(slim, noisy[-1]).select(
+            *A.KEYS, "timestamp", "event_id", "is_noise", limits.alias("l")).where(
+            (F.col("is_noise") == 0) | (-F.col("event_id") <= F.col("l.limit")))
+        ordered = A.O.in_time_order(mixed.select("l.noise_rate", *A.KEYS, "timestamp", "event_id", "is_noise"))
+        parts.append(A.assign_buckets(ordered, gap_minutes * MINUTE_US, cap, keys, time_ordered=True).select(*columns))
     placed = parts[0]
     for other in parts[1:]:
         placed = placed.unionByName(other)

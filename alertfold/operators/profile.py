@@ -33,20 +33,20 @@ def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls per column with a flag above one half."""
     one = df.agg(F.count("*").alias("_n"), *[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns])
     pct = F.when(F.col("_n") > 0, F.col("n_null") / F.col("_n") * 100).otherwise(F.lit(0.0))
-    return one.unpivot(["_n"], columns, "column", "n_null").select(
-        "column", "n_null", F.round(pct, 1).alias("pct"), F.when(pct > 50, 1).otherwise(0).alias("mostly_null"))
+    return one.unpivot(["_n"], columns, "column_name", "n_null").select(
+        "column_name", "n_null", F.round(pct, 1).alias("pct"), F.when(pct > 50, 1).otherwise(0).alias("mostly_null"))
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Type, number of distinct values and the three smallest values of each column, as text."""
     types = X.literal_map({n: t for n, t in df.dtypes if n in columns})
     text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    values = text.unpivot([], columns, "column", "value").where(F.col("value").isNotNull()).distinct()
-    ranked = values.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("value")))
-    heads = ranked.where(F.col("r") <= 3).groupBy("column").agg(
+    values = text.unpivot([], columns, "column_name", "value").where(F.col("value").isNotNull()).distinct()
+    ranked = values.withColumn("r", F.row_number().over(Window.partitionBy("column_name").orderBy("value")))
+    heads = ranked.where(F.col("r") <= 3).groupBy("column_name").agg(
         F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("examples"))
-    return values.groupBy("column").agg(F.count("*").alias("n_unique")).join(heads, "column").select(
-        "column", types[F.col("column")].alias("dtype"), "n_unique", "examples")
+    return values.groupBy("column_name").agg(F.count("*").alias("n_unique")).join(heads, "column_name").select(
+        "column_name", types[F.col("column_name")].alias("dtype"), "n_unique", "examples")
 
 
 def daily_volume(alerts: DataFrame) -> DataFrame:
@@ -162,8 +162,8 @@ def dominant_group(alerts: DataFrame, top: int = 12) -> DataFrame:
 
 
 def tactic_profile(alerts: DataFrame) -> DataFrame:
-    tactic = F.trim(F.explode(F.split("mitre_tactic", r"\|")))
-    rows = alerts.where(F.col("mitre_tactic") != "").select(tactic.alias("tactic")).where(F.col("tactic") != "")
+    parts = alerts.where(F.col("mitre_tactic") != "").select(F.explode(F.split("mitre_tactic", r"\|")).alias("t"))
+    rows = parts.select(F.trim("t").alias("tactic")).where(F.col("tactic") != "")
     critical = F.when(F.col("tactic").isin(S.CRITICAL_TACTICS), 1).otherwise(0)
     return rows.groupBy("tactic").agg(F.count("*").alias("n")).withColumn("critical", critical)
 
@@ -271,9 +271,9 @@ def correlation(alerts: DataFrame) -> DataFrame:
 
 def moments(alerts: DataFrame) -> DataFrame:
     """Mean, deviation, range, bias-corrected skew and share of zeros per numeric column."""
-    long = _numeric(alerts).unpivot(["n"], CORRELATED, "column", "v")
+    long = _numeric(alerts).unpivot(["n"], CORRELATED, "column_name", "v")
     n, v = F.col("n"), F.col("v").cast("double")
-    sums = long.groupBy("column").agg(
+    sums = long.groupBy("column_name").agg(
         F.sum(n).cast("double").alias("n"), F.sum(v * n).alias("s1"), F.sum(v * v * n).alias("s2"),
         F.sum(v * v * v * n).alias("s3"), F.min("v").alias("min"), F.max("v").alias("max"),
         F.sum(F.when(F.col("v") == 0, n).otherwise(0)).alias("zeros"))
@@ -282,7 +282,7 @@ def moments(alerts: DataFrame) -> DataFrame:
     m3 = F.col("s3") / N - 3 * mean * F.col("s2") / N + 2 * mean * mean * mean
     skew = F.when((N > 2) & (m2 > 1e-12), F.sqrt(N * (N - 1)) / (N - 2) * m3 / F.pow(m2, F.lit(1.5)))
     return sums.select(
-        "column", F.round(mean, 4).alias("mean"), F.round(F.sqrt(m2 * N / (N - 1)), 4).alias("std"), "min", "max",
+        "column_name", F.round(mean, 4).alias("mean"), F.round(F.sqrt(m2 * N / (N - 1)), 4).alias("std"), "min", "max",
         F.round(skew, 4).alias("skew"), F.round(F.col("zeros") / N * 100, 4).alias("zero_pct"))
 
 

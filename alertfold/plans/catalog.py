@@ -9,6 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alertfold import schema as S
@@ -78,6 +79,12 @@ class Tables:
     def feats(self) -> DataFrame:
         return FT.enrich(self.metas)
 
+    @cached_property
+    def scaled(self) -> DataFrame:
+        """Scaled features, kept because fitting and scoring read them several times."""
+        kept = self.feats.select("meta_id", *S.FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+        return M.robust_scale(kept).persist(StorageLevel.MEMORY_AND_DISK)
+
     @cached_property
     def raw_scored(self) -> DataFrame:
         points = (F.col("alert_count") * 37 + F.col("max_severity") * 101) % 1000
@@ -249,7 +256,7 @@ add("K4_soar_payload",
     """SELECT meta_id AS event_id, anomaly_score, decision AS severity, agent_name AS agent, alert_count,
       mitre_hit_count AS mitre_hits, 0.0 AS rule_entropy, deviation_from_baseline AS baseline_deviation,
       action AS decision, printf('score=%.4f sev=%d mitre=%d entropy=0.000 dev=%.3f', anomaly_score, max_severity,
-        CAST(mitre_hit_count AS BIGINT), round(deviation_from_baseline, 3)) AS reason
+        CAST(mitre_hit_count AS BIGINT), round(CAST(deviation_from_baseline AS DECIMAL(18, 4)), 3)::DOUBLE) AS reason
       FROM scored WHERE escalate = 1""")
 add("K5_notification_text", "meta_id:s message:s", lambda t: M.notification_text(t.scored),
     """SELECT meta_id, CASE WHEN decision IN ('CRITICAL', 'SUSPICIOUS') THEN '[ESCALATE]' ELSE '[DIGEST]' END || ' '
@@ -581,9 +588,9 @@ add("F7_enrich_all", f"meta_id:s {FEATURE_COLUMNS}", lambda t: t.feats, "SELECT
 add("F8_feature_summary", "feature:s min:d max:d n_unique:l q1:d median:d q3:d iqr:d mean:d",
     lambda t: FT.feature_summary(t.feats),
     """SELECT feature, min(value) AS min, max(value) AS max, count(DISTINCT value) AS n_unique,
-      round(quantile_cont(value, 0.25), 4) AS q1, round(quantile_cont(value, 0.5), 4) AS median,
-      round(quantile_cont(value, 0.75), 4) AS q3,
-      round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 4) AS iqr, round(avg(value), 4) AS mean
+      round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median,
+      round(quantile_cont(value, 0.75), 6) AS q3,
+      round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, round(avg(value), 4) AS mean
       FROM flong GROUP BY feature""")
 
 # ---- scoring and decisions ------------------------------------------------------------------------
@@ -597,14 +604,10 @@ add("M1_robust_scale", f"meta_id:s {FEATURE_COLUMNS}",
     f"SELECT meta_id, {SCALED} FROM feats f")
 
 
-def _forest(t: Tables) -> tuple[DataFrame, int]:
-    return forest.fit(M.robust_scale(t.feats))
-
-
 add("M2_isolation_forest_fit", "tree_id:i node_id:i feature:i threshold:d left:i right:i size:i depth:i",
-    lambda t: _forest(t)[0])
+    lambda t: forest.fit(t.scaled)[0])
 add("M3_isolation_forest_score", "meta_id:s raw_score:d score:d",
-    lambda t: M.normalize_scores(forest.score(M.robust_scale(t.feats), *_forest(t))))
+    lambda t: M.normalize_scores(forest.score(t.scaled, *forest.fit(t.scaled))))
 add("M4_normalize_scores", "meta_id:s unit:d",
     lambda t: M.normalize_scores(t.raw_scored.withColumn("raw_score", -F.col("score")), out="unit").withColumn(
         "unit", F.round("unit", 6)),
@@ -631,15 +634,15 @@ add("M9_score_report",
     """SELECT count(*) AS n_total, count(*) FILTER (action = 'ESCALATE') AS n_escalate,
       count(*) FILTER (action = 'DAILY_DIGEST') AS n_digest, count(*) FILTER (action = 'SUPPRESS') AS n_suppress,
       round(count(*) FILTER (action = 'SUPPRESS') / count(*)::DOUBLE * 100, 2) AS reduction_pct,
-      min(anomaly_score) AS score_min, round(median(anomaly_score), 4) AS score_median,
-      round(quantile_cont(anomaly_score, 0.75), 4) AS score_q3, max(anomaly_score) AS score_max FROM scored""")
+      min(anomaly_score) AS score_min, round(median(anomaly_score), 6) AS score_median,
+      round(quantile_cont(anomaly_score, 0.75), 6) AS score_q3, max(anomaly_score) AS score_max FROM scored""")
 add("M9_top_escalated", "meta_id:s anomaly_score:d decision:s", lambda t: M.top_anomalies(t.scored, 10),
     "SELECT * FROM scored WHERE escalate = 1 ORDER BY anomaly_score DESC, meta_id LIMIT 10")
 add("M10_feature_contrast", "feature:s escalate:i mean_relative:d", lambda t: M.feature_contrast(t.scored),
     """SELECT feature, escalate, round(CASE WHEN m > 0 THEN avg(value) / m ELSE 0 END, 6) AS mean_relative FROM (
       SELECT feature, escalate, value, max(abs(value)) OVER (PARTITION BY feature) AS m FROM flong JOIN scored USING (meta_id))
       GROUP BY feature, escalate, m""")
-add("M11_pca_2d", "meta_id:s pc1:d pc2:d", lambda t: forest.pca_2d(M.robust_scale(t.feats))[0])
+add("M11_pca_2d", "meta_id:s pc1:d pc2:d", lambda t: forest.pca_2d(t.scaled)[0])
 add("M12_score_histogram", "escalate:i bin:i n:l", lambda t: M.score_histogram(t.scored),
     """SELECT escalate, least(CAST(floor(anomaly_score * 59) AS INTEGER), 58) AS bin, count(*) AS n FROM scored
       GROUP BY ALL""")
@@ -788,16 +791,16 @@ add("D1_overview", "n_alerts:l first_us:l last_us:l n_days:l n_agents:l n_groups
     """SELECT count(*) AS n_alerts, min(ts_us) AS first_us, max(ts_us) AS last_us, count(DISTINCT local_date) AS n_days,
       count(DISTINCT agent_name) AS n_agents, count(DISTINCT rule_groups) AS n_groups, count(DISTINCT rule_id) AS n_rules
       FROM local""")
-add("D2_null_profile", "column:s n_null:l pct:d mostly_null:i",
+add("D2_null_profile", "column_name:s n_null:l pct:d mostly_null:i",
     lambda t: D.null_profile(t.dirty, ["rule_group_primary", "rule_level", "srcip"]),
-    f"""SELECT c AS "column", n AS n_null, round(n / t::DOUBLE * 100, 1) AS pct, CASE WHEN n > t / 2 THEN 1 ELSE 0 END AS
+    f"""SELECT c AS column_name, n AS n_null, round(n / t::DOUBLE * 100, 1) AS pct, CASE WHEN n > t / 2 THEN 1 ELSE 0 END AS
       mostly_null FROM (SELECT count(*) AS t FROM alerts), (
       SELECT 'rule_group_primary' AS c, count(*) AS n FROM alerts WHERE {D_GROUP} IS NULL UNION ALL
       SELECT 'rule_level', count(*) FROM alerts WHERE {D_LEVEL} IS NULL UNION ALL
       SELECT 'srcip', count(*) FROM alerts WHERE {D_IP} IS NULL)""")
-add("D3_column_profile", "column:s dtype:s n_unique:l examples:s",
+add("D3_column_profile", "column_name:s dtype:s n_unique:l examples:s",
     lambda t: D.column_profile(t.alerts, ["agent_name", "rule_level", "srcip_type"]),
-    """SELECT c AS "column", dtype, count(*) AS n_unique, string_agg(v, ', ' ORDER BY v) FILTER (r <= 3) AS examples FROM (
+    """SELECT c AS column_name, dtype, count(*) AS n_unique, string_agg(v, ', ' ORDER BY v) FILTER (r <= 3) AS examples FROM (
       SELECT *, row_number() OVER (PARTITION BY c ORDER BY v) AS r FROM (
         SELECT DISTINCT 'agent_name' AS c, 'string' AS dtype, agent_name AS v FROM alerts UNION ALL
         SELECT DISTINCT 'rule_level', 'int', CAST(rule_level AS VARCHAR) FROM alerts UNION ALL
@@ -918,9 +921,9 @@ ENC = """(SELECT rule_level, criticality_score, has_mitre, has_critical_mitre, C
 PAIRS = [(a, b) for i, a in enumerate(D.CORRELATED) for b in D.CORRELATED[i + 1:]]
 add("D15_correlation", "x:s y:s r:d", lambda t: D.correlation(t.alerts),
     " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS r FROM {ENC}" for a, b in PAIRS))
-add("D15_moments", "column:s mean:d std:d min:i max:i skew:d zero_pct:d", lambda t: D.moments(t.alerts),
+add("D15_moments", "column_name:s mean:d std:d min:i max:i skew:d zero_pct:d", lambda t: D.moments(t.alerts),
     " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS min,
+        f"""SELECT '{c}' AS column_name, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS min,
         max({c}) AS max, round(skewness({c}), 4) AS skew, round(avg(CASE WHEN {c} = 0 THEN 1.0 ELSE 0 END) * 100, 4) AS zero_pct
         FROM {ENC}""" for c in D.CORRELATED))
 add("D16_high_sev_pairs", "agent_name:s rule_groups:s n:l max_level:i criticality:i",

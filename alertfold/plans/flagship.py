@@ -1,5 +1,6 @@
 """The whole path from arriving alerts to decided meta-alerts."""
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alertfold.operators import decide as M, features as FT, forest, sessions as A
@@ -10,8 +11,9 @@ from alertfold.session import pin_session
 def score_metas(metas: DataFrame, trees: int = 200, subsample: int = 256, seed: int = 42, method: str = "iqr",
                 override: float | None = None) -> DataFrame:
     """Features, isolation-forest scores, threshold and decisions of meta-alerts."""
-    feats = FT.guard_types(FT.enrich(metas))
-    scaled = M.robust_scale(feats.select("meta_id", *FT.FEATURES))
+    # Fitting, scoring, scaling and the threshold all read the meta-alerts: fold the raw alerts once.
+    feats = FT.guard_types(FT.enrich(metas)).persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = M.robust_scale(feats.select("meta_id", *FT.FEATURES)).persist(StorageLevel.MEMORY_AND_DISK)
     nodes, size = forest.fit(scaled, trees=trees, subsample=subsample, seed=seed)
     scores = M.normalize_scores(forest.score(scaled, nodes, size)).select("meta_id", "score")
     joined = feats.join(scores, "meta_id")

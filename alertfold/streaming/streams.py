@@ -69,21 +69,22 @@ def capped_session_stream(alerts: DataFrame, gap_minutes: int, cap_minutes: int)
                 bucket[2] = max(bucket[2], t)
                 bucket[3:] = [bucket[3] + n, max(bucket[4], level), bucket[5] + mitre]
                 continue
-            parent = None
+            parent = t  # a bucket that continues none names itself
             if bucket is not None:
                 closed.append([*key, *bucket])
-                parent = bucket[0] if t - bucket[2] <= gap else None
+                parent = bucket[0] if t - bucket[2] <= gap else t
             bucket = [t, parent, t, n, level, mitre]
         state.update(tuple(bucket))
         state.setTimeoutTimestamp(max((bucket[2] + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if closed:
-            out = pd.DataFrame(closed, columns=names)
-            yield out.astype({"parent_start_us": "Int64"})
+            yield pd.DataFrame(closed, columns=names)
 
     rows = sessions.with_key(alerts).select(
         "timestamp", "agent_id", "rule_groups", F.unix_micros("timestamp").alias("ts_us"), "rule_level", "has_mitre")
-    return rows.groupBy("agent_id", "rule_groups").applyInPandasWithState(
+    out = rows.groupBy("agent_id", "rule_groups").applyInPandasWithState(
         fold, CAPPED_OUTPUT, CAPPED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    continues = F.col("parent_start_us") != F.col("start_us")
+    return out.withColumn("parent_start_us", F.when(continues, F.col("parent_start_us")))
 
 
 def compound_stream(alerts: DataFrame, minutes: int) -> DataFrame:
