@@ -1,5 +1,6 @@
 """The eleven features of a meta-alert."""
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from alertfold.functions import scalar as X
@@ -110,8 +111,11 @@ def normalize_core(metas: DataFrame) -> DataFrame:
 
 
 def enrich(metas: DataFrame) -> DataFrame:
-    """All eleven features."""
-    df = normalize_core(metas)
+    """All eleven features.
+
+    The baseline joins the meta-alerts to sums over themselves, so they are kept: the raw alerts are folded once.
+    """
+    df = normalize_core(metas).persist(StorageLevel.MEMORY_AND_DISK)
     for step in (alert_count_log, alert_velocity, rule_concentration, severity_spread, deviation_from_baseline):
         df = df.transform(step)
     return df

@@ -56,7 +56,7 @@ def cell_runs(ordered: DataFrame, gap_us: int) -> DataFrame:
     return ordered.select(
         *[c for c in ordered.columns if c != "proc_block"],
         ts.alias("ts_us"), F.lit(gap_us).cast("long").alias("gap_us"),
-        F.floor(ts / F.lit(gap_us)).alias("proc_block"), F.lit(0).cast("long").alias("run_no"), ts.alias("reach_us"),
+        F.floor(ts / F.lit(gap_us)).alias("proc_block"), F.lit(1).cast("long").alias("run_no"), ts.alias("reach_us"),
     )
 
 
@@ -153,12 +153,19 @@ def bucket_starts(
 # ---- rows to buckets -------------------------------------------------------------------------------
 
 def assign_sessions(runs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Every row with the start and end of its gap session."""
-    sessions = stitch(runs, keys).select(
-        *keys, "proc_block", "run_no", "session_start_us", "session_end_us", "newest_before")
-    rows = runs.join(sessions, [*keys, "proc_block", "run_no"])
-    newest = F.when(F.col("newest_before") >= F.col("session_start_us"), F.col("newest_before"))
-    return rows.withColumn("reach_us", F.greatest("reach_us", newest)).drop("newest_before", "run_no")
+    """Every row with the start and end of its gap session.
+
+    The sessions of a ``(proc_block, key)`` group are looked up as one array indexed by run number. Joining on the group
+    alone lets the rows stay where the run scan placed them; the array holds at most one entry per row of a block.
+    """
+    place = ["proc_block", *keys]
+    entry = F.struct("run_no", "session_start_us", "session_end_us", "newest_before")
+    sessions = stitch(runs, keys).groupBy(*place).agg(F.sort_array(F.collect_list(entry)).alias("_sessions"))
+    rows = runs.join(sessions, place).withColumn("_s", F.get("_sessions", (F.col("run_no") - 1).cast("int")))
+    newest = F.when(F.col("_s.newest_before") >= F.col("_s.session_start_us"), F.col("_s.newest_before"))
+    return rows.select(
+        *[c for c in runs.columns if c not in ("run_no", "reach_us")],
+        F.greatest("reach_us", newest).alias("reach_us"), "_s.session_start_us", "_s.session_end_us")
 
 
 def wide_session_times(runs: DataFrame, sessions: DataFrame, cap_us: int, session: list[str], on: list[str]) -> DataFrame:
@@ -210,94 +217,109 @@ def assign_buckets(
 
 # ---- buckets to meta-alerts ------------------------------------------------------------------------
 
-def _measures(first_by: Column) -> list[Column]:
-    """Measures of a group of alerts that can be combined again."""
-    return [
-        F.count("*").alias("n"),
-        F.max("ts_us").alias("end_us"),
-        F.min(F.struct(first_by.alias("pos"), "ts_us", "agent_name", "criticality_score")).alias("first"),
-        F.sum(F.col("has_mitre").cast("long")).alias("mitre"),
-        F.sum(F.when(F.col("srcip_type") == "external", 1).otherwise(0)).alias("external"),
-        F.sum(F.when(F.col("srcip_type") == "internal", 1).otherwise(0)).alias("internal"),
-        F.max("is_synthetic").alias("synthetic"),
-        F.min(F.when(F.col("is_synthetic") == 1, F.col("scenario_id"))).alias("scenario"),
-        F.collect_set(F.when(F.col("srcip") != "", F.col("srcip"))).alias("ips"),
-    ]
+VALUE = ["kind", "num", "txt", "score", "scenario"]
+
+
+def value_atoms(rows: DataFrame, group: list[str], first_by: Column) -> DataFrame:
+    """Counts per group and value, for three kinds of value: rule id, level (with agent, score and scenario), address.
+
+    Only fixed-width measures are kept, so this runs as a code-generated hash aggregate that combines inside each input
+    partition: a hot group leaves it as a handful of rows. ``first_by`` is a number that is smallest for the first alert.
+    """
+    none, text = F.lit(None).cast("int"), F.lit(None).cast("string")
+    synthetic = F.col("is_synthetic") == 1
+
+    def side(kind, num, txt, score=none, scenario=text):
+        return F.struct(F.lit(kind).alias("kind"), num.cast("int").alias("num"), txt.alias("txt"),
+                        score.cast("int").alias("score"), scenario.alias("scenario"))
+
+    sides = F.array(
+        side("level", F.col("rule_level"), F.col("agent_name"), F.col("criticality_score"),
+             F.when(synthetic, F.col("scenario_id"))),
+        side("rule", F.col("rule_id"), text),
+        side("ip", none, F.when(F.col("srcip") != "", F.col("srcip"))),
+    )
+    one = lambda c: F.when(c, F.lit(1)).otherwise(F.lit(0))
+    flat = rows.select(
+        *group, "ts_us", first_by.alias("first_by"), F.col("has_mitre").cast("long").alias("mitre"),
+        one(F.col("srcip_type") == "external").alias("external"), one(F.col("srcip_type") == "internal").alias("internal"),
+        one(synthetic).alias("synthetic"), F.explode(sides).alias("side"))
+    flat = flat.select("*", *[F.col(f"side.{c}").alias(c) for c in VALUE]).drop("side")
+    flat = flat.where((F.col("kind") != "ip") | F.col("txt").isNotNull())
+    return flat.groupBy(*group, *VALUE).agg(
+        F.count("*").alias("n"), F.min("ts_us").alias("lo_us"), F.max("ts_us").alias("hi_us"),
+        F.min("first_by").alias("first_by"), F.sum("mitre").alias("mitre"), F.sum("external").alias("external"),
+        F.sum("internal").alias("internal"), F.max("synthetic").alias("synthetic"))
+
+
+def roll_up(atoms: DataFrame, bucket: list[str]) -> DataFrame:
+    """Combine value atoms into one row of measures per bucket, with both value distributions."""
+    is_level, is_rule, is_ip = (F.col("kind") == k for k in ("level", "rule", "ip"))
+    # Atoms of several time cells, agents or scenarios meet here; a value must appear once per bucket in its kind.
+    values = atoms.groupBy(*bucket, "kind", "num", F.when(is_ip, F.col("txt")).alias("ip")).agg(
+        F.sum("n").alias("n"), F.min("lo_us").alias("lo_us"), F.max("hi_us").alias("hi_us"),
+        F.min(F.when(is_level, F.struct("first_by", "txt", "score"))).alias("first"),
+        F.sum("mitre").alias("mitre"), F.sum("external").alias("external"), F.sum("internal").alias("internal"),
+        F.max("synthetic").alias("synthetic"), F.min("scenario").alias("scenario"))
+    entry = F.struct(F.col("num").cast("string").alias("v"), "n")
+    total = lambda c: F.sum(F.when(is_level, F.col(c)))
+    return values.groupBy(*bucket).agg(
+        total("n").alias("alert_count"), F.min("lo_us").alias("lo_us"), F.max("hi_us").alias("end_us"),
+        F.min("first").alias("first"), F.max(F.when(is_level, F.col("num"))).alias("max_severity"),
+        F.sum(F.when(is_level, F.col("num") * F.col("n"))).alias("severity_sum"),
+        total("mitre").alias("mitre_hit_count"), total("external").alias("external_threat_count"),
+        total("internal").alias("internal_src_count"),
+        F.count(F.when(is_rule, 1)).alias("unique_rules_triggered"),
+        F.max(F.when(is_rule, F.col("n"))).alias("top_rule_count"),
+        F.sort_array(F.collect_list(F.when(is_rule, entry))).alias("rule_entries"),
+        F.sort_array(F.collect_list(F.when(is_level, entry))).alias("level_entries"),
+        F.max("synthetic").alias("ground_truth"), F.min("scenario").alias("scenario_id"),
+        F.sort_array(F.collect_list("ip")).alias("ips"),
+    )
 
 
 def meta_alerts(assigned: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Roll rows with a bucket up to meta-alerts."""
-    atoms = assigned.groupBy(*keys, "bucket_start_us", "parent_start_us", "rule_id", "rule_level").agg(
-        *_measures(F.struct(*O.RELEASE_ORDER)))
-    return _roll_up(atoms, [*keys, "bucket_start_us", "parent_start_us"], keys)
+    """Roll rows with a bucket up to meta-alerts. The first alert of a bucket is the first of those at its start time."""
+    bucket = [*keys, "bucket_start_us", "parent_start_us"]
+    first_by = F.when(F.col("ts_us") == F.col("bucket_start_us"), F.col("seq"))
+    return describe(roll_up(value_atoms(assigned, bucket, first_by), bucket), keys)
 
 
-def fold_in_order(alerts: DataFrame, gap_us: int, keys: list[str] = KEYS, tie: str = "event_id") -> DataFrame:
+def fold_in_order(alerts: DataFrame, gap_us: int, keys: list[str] = KEYS) -> DataFrame:
     """Uncapped meta-alerts of alerts taken in time order; rows are combined per time cell before any shuffle."""
     rows = with_key(alerts).withColumn("ts_us", F.unix_micros("timestamp"))
-    rows = rows.withColumn("proc_block", F.floor(F.col("ts_us") / F.lit(gap_us)))
-    atoms = rows.groupBy(*keys, "proc_block", "rule_id", "rule_level").agg(
-        *_measures(F.struct("ts_us", F.col(tie).alias("tie"))))
+    rows = rows.withColumn("cell", F.floor(F.col("ts_us") / F.lit(gap_us)))
+    atoms = value_atoms(rows, [*keys, "cell"], F.col("ts_us"))
     # Cells of a key in order; a cell opens a session when it starts more than the gap after the newest earlier row.
-    cell = Window.partitionBy(*keys).orderBy("proc_block")
-    peers = cell.rangeBetween(0, 0)
+    in_order = Window.partitionBy(*keys).orderBy("cell")
     atoms = atoms.select(
         "*",
-        F.min("first.ts_us").over(peers).alias("cell_start"),
-        F.max("end_us").over(cell.rangeBetween(Window.unboundedPreceding, -1)).alias("newest_before"),
+        F.min("lo_us").over(in_order.rangeBetween(0, 0)).alias("cell_start"),
+        F.max("hi_us").over(in_order.rangeBetween(Window.unboundedPreceding, -1)).alias("newest_before"),
     )
     opens = F.col("newest_before").isNull() | (F.col("cell_start") - F.col("newest_before") > gap_us)
     opened = F.last(F.when(opens, F.col("cell_start")), ignorenulls=True)
-    atoms = atoms.select(
-        "*", opened.over(cell.rangeBetween(Window.unboundedPreceding, 0)).alias("bucket_start_us"),
-        F.lit(None).cast("long").alias("parent_start_us"))
-    return _roll_up(atoms, [*keys, "bucket_start_us", "parent_start_us"], keys)
+    atoms = atoms.withColumn(
+        "bucket_start_us", opened.over(in_order.rangeBetween(Window.unboundedPreceding, 0)))
+    folded = roll_up(atoms, [*keys, "bucket_start_us"])
+    return describe(folded.withColumn("parent_start_us", F.lit(None).cast("long")), keys)
 
 
-def _roll_up(atoms: DataFrame, bucket: list[str], keys: list[str]) -> DataFrame:
-    """Combine per-rule and per-level atoms into one row per bucket, with both value distributions."""
-    sides = F.array(
-        F.struct(F.lit("rule").alias("kind"), F.col("rule_id").cast("string").alias("v")),
-        F.struct(F.lit("level").alias("kind"), F.col("rule_level").cast("string").alias("v")),
-    )
-    is_rule, is_level = F.col("kind") == "rule", F.col("kind") == "level"
-    by_value = atoms.withColumn("side", F.explode(sides)).select("*", "side.kind", "side.v").groupBy(
-        *bucket, "kind", "v"
-    ).agg(
-        F.sum("n").alias("n"), F.max("end_us").alias("end_us"), F.min("first").alias("first"),
-        F.sum("mitre").alias("mitre"), F.sum("external").alias("external"), F.sum("internal").alias("internal"),
-        F.max("synthetic").alias("synthetic"), F.min("scenario").alias("scenario"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(is_rule, F.col("ips"))))).alias("ips"),
-    )
-    entry = F.struct("v", "n")
-    per_rule = lambda c: F.sum(F.when(is_rule, F.col(c)))
-    level = F.when(is_level, F.col("v").cast("int"))
-    folded = by_value.groupBy(*bucket).agg(
-        per_rule("n").alias("alert_count"),
-        F.max("end_us").alias("end_us"), F.min("first").alias("first"),
-        F.max(level).alias("max_severity"), F.sum(level * F.col("n")).alias("severity_sum"),
-        per_rule("mitre").alias("mitre_hit_count"),
-        per_rule("external").alias("external_threat_count"), per_rule("internal").alias("internal_src_count"),
-        F.count(F.when(is_rule, 1)).alias("unique_rules_triggered"),
-        F.max(F.when(is_rule, F.col("n"))).alias("top_rule_count"),
-        F.sort_array(F.collect_list(F.when(is_rule, entry))).alias("rule_entries"),
-        F.sort_array(F.collect_list(F.when(is_level, entry))).alias("level_entries"),
-        F.max("synthetic").alias("ground_truth"), F.min("scenario").alias("scenario_id"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("ips")))).alias("ips"),
-    )
+def describe(folded: DataFrame, keys: list[str]) -> DataFrame:
+    """Output columns of a meta-alert."""
     bucket_id = lambda start: F.concat_ws("|", *keys, start.cast("string"))
     return folded.select(
         bucket_id(F.col("bucket_start_us")).alias("meta_id"),
         F.when(F.col("parent_start_us").isNotNull(), bucket_id(F.col("parent_start_us"))).alias("parent_meta_id"),
         *keys,
-        F.col("first.agent_name").alias("agent_name"),
+        F.col("first.txt").alias("agent_name"),
         F.col("bucket_start_us").alias("start_us"), "end_us",
         F.greatest(F.lit(0).cast("long"), F.floor((F.col("end_us") - F.col("bucket_start_us")) / 1_000_000)).alias(
             "duration_sec"),
         "alert_count", "max_severity", "severity_sum",
         F.size("ips").alias("attacker_count"),
         X.group_severity_code(F.col("rule_groups")).alias("rule_group_severity_enc"),
-        X.agent_criticality(F.col("first.criticality_score"), F.col("first.agent_name")).alias("agent_criticality"),
+        X.agent_criticality(F.col("first.score"), F.col("first.txt")).alias("agent_criticality"),
         F.hour(F.timestamp_micros("bucket_start_us")).alias("hour_of_day"),
         "unique_rules_triggered", "mitre_hit_count", "external_threat_count", "internal_src_count",
         F.array_join("ips", "|").alias("attacker_ips"), "top_rule_count",

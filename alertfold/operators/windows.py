@@ -7,10 +7,6 @@ from alertfold.operators import sessions
 from alertfold.schema import MICROS, MINUTE_US
 
 
-def _counted(entry_kind: str):
-    return F.sort_array(F.collect_list(F.when(F.col("kind") == entry_kind, F.struct("v", "n"))))
-
-
 def compound_windows(alerts: DataFrame, minutes: int) -> DataFrame:
     """All activity of one agent per tumbling window, with the count of every rule group."""
     rows = sessions.with_key(alerts).withColumn("ts_us", F.unix_micros("timestamp"))
@@ -59,46 +55,19 @@ def fixed_windows(alerts: DataFrame, minutes: int) -> DataFrame:
     width = minutes * MINUTE_US
     rows = rows.withColumn("window_start_us", F.floor(F.col("ts_us") / width) * width)
     keys = ["agent_id", "rule_groups", "window_start_us"]
-    sides = F.array(
-        F.struct(F.lit("rule").alias("kind"), F.col("rule_id").cast("string").alias("v")),
-        F.struct(F.lit("level").alias("kind"), F.col("rule_level").cast("string").alias("v")),
-    )
-    atoms = rows.groupBy(*keys, "rule_id", "rule_level").agg(
-        F.count("*").alias("n"), F.sum(F.col("has_mitre").cast("long")).alias("mitre"),
-        F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.min("agent_name").alias("agent_name"),
-        F.max("criticality_score").alias("score"),
-        F.sum(F.when(F.col("srcip_type") == "external", 1).otherwise(0)).alias("external"),
-        F.collect_set(F.when(F.col("srcip") != "", F.col("srcip"))).alias("ips"),
-    )
-    by_value = atoms.withColumn("side", F.explode(sides)).select("*", "side.kind", "side.v").groupBy(
-        *keys, "kind", "v"
-    ).agg(
-        F.sum("n").alias("n"), F.sum("mitre").alias("mitre"), F.sum("external").alias("external"),
-        F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.min("agent_name").alias("agent_name"),
-        F.max("score").alias("score"),
-        F.array_distinct(F.flatten(F.collect_list("ips"))).alias("ips"),
-    )
-    is_rule = F.col("kind") == "rule"
-    per_rule = lambda c: F.sum(F.when(is_rule, F.col(c)))
-    folded = by_value.groupBy(*keys).agg(
-        per_rule("n").alias("alert_count"), per_rule("mitre").alias("mitre_hit_count"),
-        per_rule("external").alias("external_threat_count"),
-        F.max(F.when(~is_rule, F.col("v").cast("int"))).alias("max_severity"),
-        F.count(F.when(is_rule, 1)).alias("unique_rules_triggered"),
-        F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.min("agent_name").alias("agent_name"),
-        F.max("score").alias("score"),
-        _counted("rule").alias("rules"), _counted("level").alias("levels"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("ips")))).alias("ips"),
-    )
+    folded = sessions.roll_up(sessions.value_atoms(rows, keys, F.col("ts_us")), keys)
     return folded.select(
-        *keys, (F.col("window_start_us") + width).alias("window_end_us"), "agent_name", "start_us", "end_us",
-        F.floor((F.col("end_us") - F.col("start_us")) / MICROS).alias("duration_sec"),
-        "alert_count", "max_severity", "mitre_hit_count", "external_threat_count", "unique_rules_triggered",
+        *keys, (F.col("window_start_us") + width).alias("window_end_us"), F.col("first.txt").alias("agent_name"),
+        F.col("lo_us").alias("start_us"), "end_us",
+        F.floor((F.col("end_us") - F.col("lo_us")) / MICROS).alias("duration_sec"),
+        "alert_count", "max_severity", "mitre_hit_count", "external_threat_count", "internal_src_count",
+        "unique_rules_triggered",
         X.group_severity_code(F.col("rule_groups")).alias("rule_group_severity_enc"),
-        X.agent_criticality(F.col("score"), F.col("agent_name")).alias("agent_criticality"),
-        F.hour(F.timestamp_micros("start_us")).alias("hour_of_day"),
+        X.agent_criticality(F.col("first.score"), F.col("first.txt")).alias("agent_criticality"),
+        F.hour(F.timestamp_micros("lo_us")).alias("hour_of_day"),
         F.size("ips").alias("attacker_count"), F.array_join("ips", "|").alias("attacker_ips"),
-        X.json_counts(F.col("levels")).alias("severity_dist"), X.json_counts(F.col("rules")).alias("rule_id_dist"),
+        X.json_counts(F.col("level_entries")).alias("severity_dist"),
+        X.json_counts(F.col("rule_entries")).alias("rule_id_dist"),
     )
 
 
@@ -166,7 +135,7 @@ def rolling_lookback(
     triggers = triggers.withColumn("cell", F.explode(reach))
     seen = rows.join(triggers, "cell").where(
         (F.col(seq) <= F.col("trigger_seq")) & (F.col("ts_us") >= F.col("now_us") - span))
-    return sessions.fold_in_order(seen, gap_minutes * MINUTE_US, ["trigger_seq", *sessions.KEYS], tie=seq)
+    return sessions.fold_in_order(seen, gap_minutes * MINUTE_US, ["trigger_seq", *sessions.KEYS])
 
 
 # ---- running counts --------------------------------------------------------------------------------

@@ -12,8 +12,9 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Add the parsed ``record``, its ``ts`` and the first ``reject_reason`` that applies (null when accepted)."""
     raw = T.StructType([*S.RAW_ALERT.fields, T.StructField("_corrupt", T.StringType())])
     text = F.trim(F.col(value))
-    parsed = lines.withColumn(
-        "record", F.from_json(text, raw, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    record = F.from_json(text, raw, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    # A generator is evaluated once per row; as a plain column the parse would be repeated for every field used.
+    parsed = lines.select("*", F.explode(F.array(record)).alias("record"))
     stamp = F.col("record.timestamp")
     parsed = parsed.withColumn("ts", F.try_to_timestamp(stamp))
     reason = (
