@@ -140,7 +140,9 @@ def with_processing_order(
                 if b != block:
                     block, seq, top = b, first_seq[b], list(seeds[b])
                     heapq.heapify(top)
-                    following = released[b + 1 - first_full] if first_full <= b + 1 < len(seeds) else None
+                    # Nothing is released before the block in which the buffer fills up.
+                    releasing = max(b, first_full - 1)
+                    following = released[releasing + 1 - first_full] if releasing + 1 < len(seeds) else None
                 position, overtaken = me, 0
                 if len(top) < k:
                     heapq.heappush(top, me)
@@ -149,7 +151,8 @@ def with_processing_order(
                 else:
                     heapq.heapreplace(top, me)
                 waits = following is not None and not overtaken and me > following
-                out.append((seq, *position, overtaken, first_full + bisect_left(released, me) - 1 if waits else b))
+                released_in = first_full + bisect_left(released, me) - 1 if waits else releasing
+                out.append((seq, *position, overtaken, released_in))
                 seq += 1
             added = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 6
             yield pa.RecordBatch.from_arrays([*columns.values(), *added], names=[*columns, *RELEASE_COLUMNS])
