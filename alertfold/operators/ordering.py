@@ -163,7 +163,8 @@ def with_processing_order(
     else:
         block = F.lit(0).cast("long")
     keyed = df.withColumn("_ts", F.unix_micros("timestamp")).withColumn("_block", block)
-    placed = keyed.repartition(len(bounds) + 1, "_block").sortWithinPartitions("_block", order, tie)
+    # At least two partitions: a single one would satisfy every later distribution and keep the rest in one task.
+    placed = keyed.repartition(max(2, len(bounds) + 1), "_block").sortWithinPartitions("_block", order, tie)
     added = [T.StructField(c, T.LongType()) for c in RELEASE_COLUMNS]
     return placed.mapInArrow(release, T.StructType([*df.schema.fields, *added]))
 

@@ -183,8 +183,9 @@ def robustness_sweep(
     original = alerts.agg(F.count("*").alias("n_original"))
     rated = per_rate.crossJoin(F.broadcast(original)).withColumn(
         "arr", X.reduction_rate(F.col("n_meta"), F.col("n_original")))
-    base = rated.where(F.col("noise_rate") == 0).select(F.col("arr").alias("base_arr"))
-    return rated.crossJoin(F.broadcast(base)).select(
+    # One row per rate is left, so the rate without noise is looked up in a window over all of them.
+    quiet_arr = F.max(F.when(F.col("noise_rate") == 0, F.col("arr"))).over(Window.partitionBy())
+    return rated.withColumn("base_arr", quiet_arr).select(
         "noise_rate", "n_original", "n_noise", (F.col("n_original") + F.col("n_noise")).alias("n_total"), "n_meta",
         F.round("arr", 2).alias("arr_pct"), F.round(F.col("base_arr") - F.col("arr"), 2).alias("arr_degradation"),
         "noise_absorbed",

@@ -47,6 +47,7 @@ def block_runs(ordered: DataFrame, gap_us: Column | int, keys: list[str] = KEYS)
         "*",
         F.sum(F.when(breaks, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run_no"),
         F.greatest("ts_us", "_before").alias("reach_us"),
+        F.when(breaks, F.col("ts_us")).alias("opens_us"),
     ).drop("_before")
 
 
@@ -57,15 +58,15 @@ def cell_runs(ordered: DataFrame, gap_us: int) -> DataFrame:
         *[c for c in ordered.columns if c != "proc_block"],
         ts.alias("ts_us"), F.lit(gap_us).cast("long").alias("gap_us"),
         F.floor(ts / F.lit(gap_us)).alias("proc_block"), F.lit(1).cast("long").alias("run_no"), ts.alias("reach_us"),
+        ts.alias("opens_us"),
     )
 
 
 def stitch(runs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """One row per run with the start and end of its session and the newest time before the run."""
-    position = F.struct(*O.RELEASE_ORDER)
-    parts = runs.groupBy(*keys, "proc_block", "run_no").agg(
-        F.min_by("ts_us", position).alias("run_start"), F.max("ts_us").alias("run_end"),
-        F.min_by("gap_us", position).alias("run_gap"),
+    parts = runs.groupBy("proc_block", *keys, "run_no").agg(
+        F.min("opens_us").alias("run_start"), F.max("ts_us").alias("run_end"),
+        F.min(F.when(F.col("opens_us").isNotNull(), F.col("gap_us"))).alias("run_gap"),
     )
     return link(parts, keys)
 
@@ -139,6 +140,7 @@ def bucket_starts(
     records: DataFrame, cap_us: int, session: list[str], scan_limit: int = SCAN_LIMIT
 ) -> DataFrame:
     """Bucket starts of wide sessions from their distinct newest-so-far times ``reach_us``."""
+    records = records.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = records.groupBy(*session).agg(
         F.count("*").alias("n"), (F.max("reach_us") - F.min("reach_us")).alias("span"))
     long_chains = sizes.where(F.col("n") > scan_limit)
@@ -164,7 +166,7 @@ def assign_sessions(runs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     rows = runs.join(sessions, place).withColumn("_s", F.get("_sessions", (F.col("run_no") - 1).cast("int")))
     newest = F.when(F.col("_s.newest_before") >= F.col("_s.session_start_us"), F.col("_s.newest_before"))
     return rows.select(
-        *[c for c in runs.columns if c not in ("run_no", "reach_us")],
+        *[c for c in runs.columns if c not in ("run_no", "reach_us", "opens_us", "gap_us")],
         F.greatest("reach_us", newest).alias("reach_us"), "_s.session_start_us", "_s.session_end_us")
 
 
@@ -186,11 +188,12 @@ def assign_buckets(
     """
     rows = with_key(ordered)
     runs = cell_runs(rows, gap_us) if time_ordered else block_runs(rows, gap_us, keys)
+    # The runs are read to build the session table and again by the rows that look themselves up.
+    runs = runs.persist(StorageLevel.MEMORY_AND_DISK)
     assigned = assign_sessions(runs, keys)
     if cap_us is None:
         return assigned.select(
             "*", F.col("session_start_us").alias("bucket_start_us"), F.lit(None).cast("long").alias("parent_start_us"))
-    assigned = assigned.persist(StorageLevel.MEMORY_AND_DISK)
     session = [*keys, "session_start_us"]
     wide = F.col("session_end_us") - F.col("session_start_us") > cap_us
     records = assigned.where(wide).select(*session, "reach_us").distinct()
@@ -200,12 +203,12 @@ def assign_buckets(
     # Starts of one session are more than the cap apart, so a row's bucket starts in its own cap-wide cell or the
     # one before: an equi-join on the cell finds both candidates.
     cell = lambda t: F.floor((F.col(t) - F.col("session_start_us")) / F.lit(cap_us))
-    at = starts.select(*session, cell("bucket_start_us").alias("cell"), F.struct(
-        "bucket_start_us", "parent_start_us").alias("b"))
-    own = at.select(*session, "cell", F.col("b").alias("own"), F.lit(None).cast(at.schema["b"].dataType).alias("prev"))
-    prev = at.select(*session, (F.col("cell") + 1).alias("cell"),
-                     F.lit(None).cast(at.schema["b"].dataType).alias("own"), F.col("b").alias("prev"))
-    lookup = own.unionByName(prev).groupBy(*session, "cell").agg(F.max("own").alias("own"), F.max("prev").alias("prev"))
+    at = starts.select(
+        *session, cell("bucket_start_us").alias("cell"), F.struct("bucket_start_us", "parent_start_us").alias("b"),
+        F.explode(F.array(F.lit(0), F.lit(1))).alias("ahead"))
+    lookup = at.groupBy(*session, (F.col("cell") + F.col("ahead")).alias("cell")).agg(
+        F.max(F.when(F.col("ahead") == 0, F.col("b"))).alias("own"),
+        F.max(F.when(F.col("ahead") == 1, F.col("b"))).alias("prev"))
     placed = assigned.withColumn("cell", F.when(wide, cell("reach_us"))).join(lookup, [*session, "cell"], "left")
     bucket = F.when(F.col("own.bucket_start_us") <= F.col("reach_us"), F.col("own")).otherwise(F.col("prev"))
     return placed.withColumn("_b", bucket).select(
