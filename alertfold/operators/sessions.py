@@ -285,7 +285,9 @@ def meta_alerts(assigned: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Roll rows with a bucket up to meta-alerts. The first alert of a bucket is the first of those at its start time."""
     bucket = [*keys, "bucket_start_us", "parent_start_us"]
     first_by = F.when(F.col("ts_us") == F.col("bucket_start_us"), F.col("seq"))
-    return describe(roll_up(value_atoms(assigned, bucket, first_by), bucket), keys)
+    # Atoms are few per bucket, so they are placed by bucket once and both steps of the roll-up stay there.
+    atoms = value_atoms(assigned, bucket, first_by).repartition(*bucket)
+    return describe(roll_up(atoms, bucket), keys)
 
 
 def fold_in_order(alerts: DataFrame, gap_us: int, keys: list[str] = KEYS) -> DataFrame:

@@ -55,7 +55,7 @@ def fixed_windows(alerts: DataFrame, minutes: int) -> DataFrame:
     width = minutes * MINUTE_US
     rows = rows.withColumn("window_start_us", F.floor(F.col("ts_us") / width) * width)
     keys = ["agent_id", "rule_groups", "window_start_us"]
-    folded = sessions.roll_up(sessions.value_atoms(rows, keys, F.col("ts_us")), keys)
+    folded = sessions.roll_up(sessions.value_atoms(rows, keys, F.col("ts_us")).repartition(*keys), keys)
     return folded.select(
         *keys, (F.col("window_start_us") + width).alias("window_end_us"), F.col("first.txt").alias("agent_name"),
         F.col("lo_us").alias("start_us"), "end_us",
