@@ -566,7 +566,9 @@ add("A13_stream_sessions", f"agent_id:s rule_groups:s {CLOSED}",
     lambda t: ST.drain(ST.session_stream(ST.watermarked(t.stream(), 60), 5), "sessions"),
     """SELECT * FROM metas WHERE end_us + 300000000 <= (SELECT max(ts_us) // 1000 * 1000 - 120000000 FROM alerts)""")
 add("A13_capped_stream_sessions", f"agent_id:s rule_groups:s parent_start_us:l {CLOSED}",
-    lambda t: ST.drain(ST.capped_session_stream(ST.watermarked(t.stream(), 60), 15, 60), "capped"))
+    lambda t: ST.drain(ST.capped_session_stream(ST.watermarked(t.stream(), 60), 15, 60), "capped"),
+    """SELECT * FROM time_buckets WHERE start_us < last_start
+      OR (end_us + 900000000) // 1000 + 1 < (SELECT max(ts_us) // 1000 - 120000 FROM alerts)""")
 
 # ---- features -------------------------------------------------------------------------------------
 

@@ -229,6 +229,17 @@ CTE.update({
   GROUP BY noise_rate)""",
 })
 
+# Capped buckets of alerts in time order, with the number of their key's later buckets.
+CTE.update({
+    "time_rows": f"(SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY ts_us, event_id) AS n FROM alerts)",
+    "time_walk": _walk("", "", str(15 * MIN), 60)[1] % ("time_rows", "time_walk", "time_rows"),
+    "time_buckets": f"""(
+  SELECT *, max(start_us) OVER (PARTITION BY {KEY}) AS last_start FROM (
+    SELECT {KEY}, bstart AS start_us, parent AS parent_start_us, max(ts_us) AS end_us, count(*) AS alert_count,
+      max(rule_level) AS max_severity, sum(has_mitre) AS mitre_hit_count
+    FROM time_rows JOIN time_walk USING ({KEY}, n) GROUP BY ALL))""",
+})
+
 _ORDER = list(CTE)
 
 
