@@ -33,19 +33,18 @@ RELEASE_COLUMNS = ["seq", "eff_us", "eff_order", "eff_tie", "overtaken", "proc_b
 RELEASE_ORDER = ["eff_us", "eff_order", "eff_tie", "overtaken", "seq"]
 
 
-def plan_blocks(df: DataFrame, k: int = 1, n_blocks: int | None = None) -> int:
+def plan_blocks(n_rows: int, k: int = 1, n_blocks: int | None = None) -> int:
     """Number of blocks: about a million rows each, and a total state that stays small on the driver."""
-    if n_blocks is None:
-        n_blocks = -(-df.count() // ROWS_PER_BLOCK)
-    return max(1, min(n_blocks, MAX_BLOCKS, MAX_STATE_ROWS // max(k, 1)))
+    wanted = n_blocks if n_blocks is not None else -(-n_rows // ROWS_PER_BLOCK)
+    return max(1, min(wanted, MAX_BLOCKS, MAX_STATE_ROWS // max(k, 1)))
 
 
-def block_bounds(df: DataFrame, order: str, tie: str, n_blocks: int) -> list[tuple[int, int]]:
+def block_bounds(df: DataFrame, order: str, tie: str, n_blocks: int, n_rows: int) -> list[tuple[int, int]]:
     """Lower bounds of blocks 1..n-1 on ``(order, tie)``; the sample is picked by a hash of the unique ``tie``."""
     if n_blocks == 1:
         return []
     want = n_blocks * SAMPLES_PER_BLOCK
-    keep = max(1, df.count() // want)
+    keep = max(1, n_rows // want)
     sample = (
         df.where(F.pmod(F.xxhash64(F.col(tie)), F.lit(keep)) == 0)
         .select(F.col(order).alias("o"), F.col(tie).alias("t"))
@@ -120,7 +119,8 @@ def with_processing_order(
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    bounds = block_bounds(df, order, tie, plan_blocks(df, k, n_blocks))
+    n_rows = df.count()
+    bounds = block_bounds(df, order, tie, plan_blocks(n_rows, k, n_blocks), n_rows)
     states = _top_states(df, order, tie, bounds, k) if bounds else [(0, [])]
     first_seq, seeds = _start_states(states, k)
     # Newest position already released when a block starts; blocks before the first full state have none.

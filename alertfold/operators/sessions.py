@@ -230,15 +230,17 @@ def value_atoms(rows: DataFrame, group: list[str], first_by: Column) -> DataFram
     partition: a hot group leaves it as a handful of rows. ``first_by`` is a number that is smallest for the first alert.
     """
     none, text = F.lit(None).cast("int"), F.lit(None).cast("string")
-    synthetic = F.col("is_synthetic") == 1
+    # Alerts without label columns are all real.
+    labelled = {"is_synthetic", "scenario_id"} <= set(rows.columns)
+    synthetic = F.col("is_synthetic") == 1 if labelled else F.lit(False)
+    scenario = F.when(synthetic, F.col("scenario_id")) if labelled else text
 
     def side(kind, num, txt, score=none, scenario=text):
         return F.struct(F.lit(kind).alias("kind"), num.cast("int").alias("num"), txt.alias("txt"),
                         score.cast("int").alias("score"), scenario.alias("scenario"))
 
     sides = F.array(
-        side("level", F.col("rule_level"), F.col("agent_name"), F.col("criticality_score"),
-             F.when(synthetic, F.col("scenario_id"))),
+        side("level", F.col("rule_level"), F.col("agent_name"), F.col("criticality_score"), scenario),
         side("rule", F.col("rule_id"), text),
         side("ip", none, F.when(F.col("srcip") != "", F.col("srcip"))),
     )

@@ -1,6 +1,6 @@
 """Reading alerts: nested JSON lines, stored CSV, exported JSON lines and file streams."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from alertfold import schema as S
 from alertfold.functions import scalar as X
@@ -111,6 +111,20 @@ def read_alert_csv(spark: SparkSession, path: str, columns: list[str] = S.FULL_C
     return spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(path)
 
 
+def read_alert_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Stored alert rows with their arrival order: files by name, rows by position.
+
+    ``arrival_us`` and the unique ``event_id`` are the file's rank and the row's position in one number. Only the list
+    of file names, one row per file, is ranked in a single task.
+    """
+    rows = spark.read.parquet(path).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = rows.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file")))
+    number = F.shiftleft(F.col("_rank").cast("long"), 40) + F.col("_row")
+    return rows.join(files, "_file").withColumns({"event_id": number, "arrival_us": number}).drop(
+        "_file", "_row", "_rank")
+
+
 def read_meta_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """Stored meta-alerts; start and end are parsed, unreadable ones become null."""
     schema = ", ".join(f"`{name}` {kind}" for name, kind in columns.items())

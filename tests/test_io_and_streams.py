@@ -69,6 +69,17 @@ def test_monthly_and_consolidated_sinks(spark, tmp_path):
     assert back.count() == 20 and set(back.columns) == set(S.FULL_COLUMNS)
 
 
+def test_from_raw_lines_to_meta_alerts(spark, tmp_path):
+    lines = [record(id=str(i), timestamp=f"2024-01-01T00:{i:02d}:00Z") for i in range(40)]
+    K.write_consolidated(
+        R.accepted(R.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string"))), str(tmp_path / "c"))
+    arrived = R.read_alert_parquet(spark, str(tmp_path / "c"))
+    assert arrived.select("event_id").distinct().count() == 40
+    alerts = clean.clean_alerts(arrived, keep=("event_id", "arrival_us"))
+    metas = A.run_meta_alerts(alerts, gap_minutes=5, cap_minutes=25, k=5, lateness_sec=60).orderBy("start_us").collect()
+    assert [(m.alert_count, m.parent_meta_id is not None) for m in metas] == [(26, False), (14, True)]
+
+
 def test_json_lines_keep_nulls(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert K.as_json_lines(df).first().value == '{"a":1,"b":null}'

@@ -123,7 +123,7 @@ def test_lateness_bounds_are_inclusive(spark):
 def test_massively_tied_arrivals_still_split_into_blocks(spark):
     rows = [(e, (e * 37 % 500) * 1_000_000, 0, "001", "web") for e in range(2000)]
     df = frame(spark, rows)
-    bounds = O.block_bounds(df, "arrival_us", "event_id", 8)
+    bounds = O.block_bounds(df, "arrival_us", "event_id", 8, 2000)
     assert len(bounds) == 7
     order, _, _ = expected(rows, 10, 10_000_000, MIN, None)
     out = O.with_processing_order(df, 10, n_blocks=8).orderBy("proc_block", *O.RELEASE_ORDER).collect()
