@@ -1,7 +1,5 @@
 """Session settings the operators rely on."""
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,17 +32,17 @@ def pin_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a folder below the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return (shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.shared").rstrip("/")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; a private one only on a local master."""
+    """Checkpoints go to :func:`shared_folder` unless the context has a folder already."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        shared = tempfile.mkdtemp(prefix="alertfold-checkpoint-")
-    context.setCheckpointDir(shared)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
