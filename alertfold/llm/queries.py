@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertfold.llm import quality
+from alertfold.llm import bpe, packing, quality
 from alertfold.llm.common import table
 
 
+def op2_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op4_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return docs.select("doc_id", "quality.*")
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_divergence,)}
+QUERIES = {f.__name__: f for f in (op2_bm25_packing, op4_segment_tree_bpe, op9_quality_divergence)}
 ORACLES: dict[str, str] = {}
