@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertfold.llm import bpe, packing, quality, simhash, warc
+from alertfold.llm import bpe, multi_index, packing, quality, simhash, warc
 from alertfold.llm.common import new_folder, table
 
 
@@ -28,6 +28,10 @@ def op4_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -38,5 +42,5 @@ def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "quality.*")
 
 
-QUERIES = {f.__name__: f for f in (op2_bm25_packing, op3_warc_archive, op4_segment_tree_bpe, op7_simhash_tiles, op9_quality_divergence)}
+QUERIES = {f.__name__: f for f in (op2_bm25_packing, op3_warc_archive, op4_segment_tree_bpe, op6_inverted_multi_index, op7_simhash_tiles, op9_quality_divergence)}
 ORACLES: dict[str, str] = {}
