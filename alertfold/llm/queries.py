@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertfold.llm import bpe, multi_index, packing, quality, simhash, warc
+from alertfold.llm import bpe, lm, multi_index, packing, quality, simhash, warc
 from alertfold.llm.common import new_folder, table
 
 
@@ -42,5 +42,10 @@ def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "quality.*")
 
 
-QUERIES = {f.__name__: f for f in (op2_bm25_packing, op3_warc_archive, op4_segment_tree_bpe, op6_inverted_multi_index, op7_simhash_tiles, op9_quality_divergence)}
+def op10_gated_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bm25_packing, op3_warc_archive, op4_segment_tree_bpe, op6_inverted_multi_index, op7_simhash_tiles, op9_quality_divergence,
+    op10_gated_language_model)}
 ORACLES: dict[str, str] = {}
