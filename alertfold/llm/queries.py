@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertfold.llm import bpe, lm, multi_index, packing, quality, simhash, warc
+from alertfold.llm import bpe, lm, multi_index, packing, quality, simhash, substrings, warc
 from alertfold.llm.common import new_folder, table
 
 
@@ -28,6 +28,11 @@ def op4_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_cover_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return found.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)).drop("kept")
+
+
 def op6_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -46,6 +51,6 @@ def op10_gated_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bm25_packing, op3_warc_archive, op4_segment_tree_bpe, op6_inverted_multi_index, op7_simhash_tiles, op9_quality_divergence,
+QUERIES = {f.__name__: f for f in (op2_bm25_packing, op3_warc_archive, op4_segment_tree_bpe, op5_cover_substrings, op6_inverted_multi_index, op7_simhash_tiles, op9_quality_divergence,
     op10_gated_language_model)}
 ORACLES: dict[str, str] = {}
