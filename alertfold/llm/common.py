@@ -40,3 +40,11 @@ def blocks_for(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYT
     """How many blocks hold the texts at ``block_bytes`` each; at least as many as there are shuffle partitions."""
     total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertfold.llm import bpe, lm, multi_index, packing, quality, simhash, substrings, warc
+from alertfold.llm import bpe, lm, multi_index, packing, quality, simhash, substrings, suffixes, warc
 from alertfold.llm.common import new_folder, table
 
 
@@ -42,6 +42,11 @@ def op7_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_deep_shallow_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), window=400)
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return docs.select("doc_id", "quality.*")
@@ -51,6 +56,6 @@ def op10_gated_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bm25_packing, op3_warc_archive, op4_segment_tree_bpe, op5_cover_substrings, op6_inverted_multi_index, op7_simhash_tiles, op9_quality_divergence,
+QUERIES = {f.__name__: f for f in (op2_bm25_packing, op3_warc_archive, op4_segment_tree_bpe, op5_cover_substrings, op6_inverted_multi_index, op7_simhash_tiles, op8_deep_shallow_suffixes, op9_quality_divergence,
     op10_gated_language_model)}
 ORACLES: dict[str, str] = {}

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from alertfold.llm.common import blocks_for
 
@@ -139,7 +139,7 @@ def request(chunk: int, keys: np.ndarray, checks: np.ndarray, many: np.ndarray,
                      "keys": pick(keys), "checks": pick(checks), "many": pick(many.astype(np.uint8))})
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(table: pa.Table, crowd: int) -> pa.Table:
     """The status of every entry of one range of keys."""
     join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
     keys, checks, many = join("keys", U64), join("checks", U64), join("many", np.uint8)
@@ -156,7 +156,7 @@ def _answer(table: pa.Table) -> pa.Table:
     mixed = kinds[group] > 1
     status |= np.where(~often[pair] & mixed, OPEN, 0)
     status |= np.where(new & mixed & opened[group], SHIP, 0)
-    status |= np.where(mixed & (kinds[group] > CROWD), CROWDED, 0)
+    status |= np.where(mixed & (kinds[group] > crowd), CROWDED, 0)
     out = np.empty(len(k), np.uint8)
     out[order] = status
     ends = np.cumsum([len(x) for x in table.column("many").to_pylist()]).tolist()
@@ -164,8 +164,8 @@ def _answer(table: pa.Table) -> pa.Table:
                      "status": pa.array([out[a:b].tobytes() for a, b in zip([0, *ends], ends)], pa.binary())})
 
 
-def answers(requests: DataFrame, kind: int) -> DataFrame:
-    found = requests.groupBy("bucket").applyInArrow(_answer, REPLY)
+def answers(requests: DataFrame, kind: int, crowd: int = CROWD) -> DataFrame:
+    found = requests.groupBy("bucket").applyInArrow(lambda table: _answer(table, crowd), REPLY)
     return found if kind == 0 else found.withColumn("kind", F.lit(kind))
 
 
@@ -190,10 +190,12 @@ def run(docs: DataFrame, text: str, id_column: str, anchored: Callable[[list[byt
         window_hashes: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]],
         finish: Callable[[pa.Table, list[bytes], np.ndarray, Chunk], pa.Table], schema: str,
         settle: Callable[[DataFrame, int], DataFrame] | None = None,
-        blocks_of: Callable[[list[bytes], Chunk, np.ndarray], pa.Table] | None = None, block_schema: str | None = None) -> DataFrame:
-    """The exchanges. ``finish`` gets a chunk's rows, texts, a mask of repeated window starts and its anchors.
+        blocks_of: Callable[[list[bytes], Chunk, np.ndarray], pa.Table] | None = None, block_schema: str | None = None,
+        crowd: int = CROWD) -> DataFrame:
+    """The exchanges. ``finish`` gets a chunk's rows, texts, a mask of repeated window starts and its anchors,
+    and returns ``id`` and the columns of ``schema``.
 
-    With ``settle`` the open entries of anchors with at most ``CROWD`` distinct blocks go to it as rows of ``blocks_of``; it
+    With ``settle`` the open entries of anchors with at most ``crowd`` distinct blocks go to it as rows of ``blocks_of``; it
     returns replies of kind 2. Without it, and for crowded anchors, open windows are counted one by one.
     """
     texts, buckets = deal(docs, text, id_column)
@@ -257,10 +259,11 @@ def run(docs: DataFrame, text: str, id_column: str, anchored: Callable[[list[byt
         return finish(table, found, starts, chunk)
 
     by_chunk = texts.groupBy("chunk")
-    replies = answers(by_chunk.applyInArrow(ask, REQUEST), 0)
+    replies = answers(by_chunk.applyInArrow(ask, REQUEST), 0, crowd)
     more = answers(by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(ask_windows, REQUEST), 1)
     every = replies.unionByName(more)
     if settle is not None:
         blocks = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(ask_blocks, block_schema)
         every = every.unionByName(settle(blocks, buckets))
-    return by_chunk.cogroup(every.groupBy("chunk")).applyInArrow(conclude, schema)
+    out = T.StructType([texts.schema["id"], *T.StructType.fromDDL(schema).fields])
+    return by_chunk.cogroup(every.groupBy("chunk")).applyInArrow(conclude, out).withColumnRenamed("id", id_column)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from alertfold.llm.common import stored
+from alertfold.llm.common import free_name, stored
 from alertfold.llm.components import components
 
 TILE = 1 << 16
@@ -145,3 +145,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(id_column, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each component of :func:`near_duplicates`: that with the smallest id (ids come before null,
+    equal ids in the order of the stored table). All columns stay as they are."""
+    row = free_name(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    order = free_name(numbered, "order")
+    found = near_duplicates(
+        numbered.withColumn(order, F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col(row).alias("row"))),
+        text, order, words, radius)
+    kept = found.where(F.col(order) == F.col("component_id")).select(F.col(f"{order}.row").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)

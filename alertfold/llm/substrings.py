@@ -93,6 +93,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     """
     if window < PERIOD:
         raise ValueError(f"window: at least {PERIOD} words")
-    kind = docs.schema[id_column].dataType.simpleString()
     return R.run(docs, text, id_column, _anchored(window), _window_hashes(window), _finish,
-                 f"id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("id", id_column)
+                 "n_words long, n_removed long, kept string")
