@@ -46,6 +46,7 @@ LATERAL = [
           0.7, 15 * i)
     for i, agent in enumerate(LATERAL_ORDER)
 ]
+DRAWS = 2_147_483_647  # a prime: multiples of the row number modulo it are the draws of the noise rows
 SCENARIOS = {"A": BRUTE_FORCE, "B": MULTI_STAGE, "C": LATERAL}
 
 
@@ -55,9 +56,14 @@ def time_span(alerts: DataFrame) -> DataFrame:
     return alerts.agg(F.min(ts).alias("lo_us"), F.max(ts).alias("hi_us"), F.count("*").alias("n_alerts"))
 
 
+def millionths(share: float) -> int:
+    """A share in whole parts per million, so that products with counts are exact in integer arithmetic."""
+    return round(share * 1_000_000)
+
+
 def _start(share: float) -> Column:
     """Whole second at a share of the covered time, in integer arithmetic."""
-    at = F.expr(f"lo_us + (hi_us - lo_us) * {round(share * 100)} div 100")
+    at = F.expr(f"lo_us + cast(cast(hi_us - lo_us as decimal(20, 0)) * {millionths(share)} div 1000000 as bigint)")
     return F.floor(at / MICROS) * MICROS
 
 
@@ -72,6 +78,7 @@ def template_rows(alerts: DataFrame, scenario: str, scale: float = 1.0) -> DataF
             F.timestamp_micros(
                 _start(p.at) + F.lit(p.delay_min * MINUTE_US) + F.col("id") * (p.interval_s * MICROS)).alias("timestamp"),
             F.concat(F.lit(f"SYN-{p.scenario}-{no}-"), F.col("id").cast("string")).alias("wazuh_alert_id"),
+            (F.lit(-((list(SCENARIOS).index(scenario) * 64 + no + 1) << 40)) - F.col("id")).alias("event_id"),
             F.lit(S.AGENT_IDS[p.agent]).alias("agent_id"), F.lit(p.agent).alias("agent_name"),
             F.lit(p.group).alias("rule_groups"), F.lit(p.level).alias("rule_level"), F.lit(p.rule_id).alias("rule_id"),
             F.lit(p.srcip).alias("srcip"), F.lit("external").alias("srcip_type"),
@@ -84,11 +91,17 @@ def template_rows(alerts: DataFrame, scenario: str, scale: float = 1.0) -> DataF
 
 
 def inject(alerts: DataFrame, scenarios: tuple[str, ...] = ("A", "B", "C"), scale: float = 1.0) -> DataFrame:
-    """Real alerts, marked as such, with the synthetic alerts of every scenario; in no particular row order."""
+    """Real alerts, marked as such, with the synthetic alerts of every scenario, as one data set in time order.
+
+    Rows come in no particular order, but where the alerts have an arrival time it becomes that of the alert itself for
+    all rows, so that the injection makes nothing late. Synthetic rows get ids below zero, unique over all scenarios.
+    """
     marked = alerts.withColumns({"is_synthetic": F.lit(0), "scenario_id": F.lit("")})
+    has_id = "event_id" in alerts.columns
     for scenario in scenarios:
-        marked = union_injected(marked, template_rows(alerts, scenario, scale))
-    return marked
+        rows = template_rows(alerts, scenario, scale)
+        marked = union_injected(marked, rows if has_id else rows.drop("event_id"))
+    return marked.withColumn("arrival_us", F.unix_micros("timestamp")) if "arrival_us" in alerts.columns else marked
 
 
 def propagate_labels(metas: DataFrame, mapped: DataFrame, labels: DataFrame, alert: str = "event_id") -> DataFrame:
@@ -104,7 +117,8 @@ def propagate_labels(metas: DataFrame, mapped: DataFrame, labels: DataFrame, ale
 def noise_rows(alerts: DataFrame, rate: float, independent: bool = False) -> DataFrame:
     """``int(n * rate)`` low-severity alerts spread over the covered time.
 
-    Times and picks follow from the row number. Agent id and name are picked as a pair unless ``independent``.
+    Times and picks follow from the row number, each by a draw of its own. Agent id and name are picked as a pair unless
+    ``independent``.
     The pools are the distinct agents and groups of the data; they are looked up by rank through a join, so their size
     does not matter.
     """
@@ -113,14 +127,15 @@ def noise_rows(alerts: DataFrame, rate: float, independent: bool = False) -> Dat
     agents = _ranked(alerts.select("agent_id", "agent_name").distinct(), ["agent_id", "agent_name"], "a")
     groups = _ranked(alerts.select("rule_groups").distinct(), ["rule_groups"], "g")
     sizes = agents.agg(F.count("*").alias("n_a")).crossJoin(groups.agg(F.count("*").alias("n_g")))
-    count = span.select(F.floor(F.col("n_alerts") * round(rate * 100) / 100)).first()[0]
+    count = span.select(F.expr(f"n_alerts * {millionths(rate)} div 1000000")).first()[0]
     ids = spark.range(count).crossJoin(F.broadcast(span)).crossJoin(F.broadcast(sizes))
-    offset = F.expr("(hi_us - lo_us) * ((id * 7919) % 10007) div 10007")
+    draw = lambda multiplier: f"((id + 1) * {multiplier} % {DRAWS})"
+    offset = F.expr(f"(hi_us - lo_us) div {DRAWS} * {draw(16807)} + (hi_us - lo_us) % {DRAWS} * {draw(16807)} div {DRAWS}")
     rows = ids.select(
         F.col("id").alias("noise_no"), F.timestamp_micros(F.col("lo_us") + offset).alias("timestamp"),
-        (F.col("id") % F.col("n_a")).alias("a"), (F.floor(F.col("id") / F.col("n_a")) % F.col("n_a")).alias("a2"),
-        (F.col("id") % F.col("n_g")).alias("g"), (F.col("id") % 4 + 1).cast("int").alias("rule_level"),
-        (F.lit(1000) + F.col("id") % 9000).cast("int").alias("rule_id"))
+        F.expr(f"{draw(48271)} % n_a").alias("a"), F.expr(f"{draw(39373)} % n_a").alias("a2"),
+        F.expr(f"{draw(69621)} % n_g").alias("g"), F.expr(f"cast({draw(66911)} % 4 + 1 as int)").alias("rule_level"),
+        F.expr(f"cast(1000 + {draw(85931)} % 9000 as int)").alias("rule_id"))
     names = agents.select(F.col("a").alias("a2" if independent else "a"), "agent_name")
     rows = rows.join(agents.select("a", "agent_id"), "a").join(names, "a2" if independent else "a").join(groups, "g")
     return rows.select(
@@ -164,7 +179,7 @@ def robustness_sweep(
     if noisy:
         n_alerts = time_span(slim).first().n_alerts
         limits = F.explode(F.array(*[
-            F.struct(F.lit(float(r)).alias("noise_rate"), F.lit(n_alerts * round(r * 100) // 100).alias("limit"))
+            F.struct(F.lit(float(r)).alias("noise_rate"), F.lit(n_alerts * millionths(r) // 1_000_000).alias("limit"))
             for r in noisy]))
         mixed = with_noise(slim, noisy[-1]).select(
             *A.KEYS, "timestamp", "event_id", "is_noise", limits.alias("l")).where(

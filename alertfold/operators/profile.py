@@ -38,15 +38,19 @@ def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Type, number of distinct values and the three smallest values of each column, as text."""
+    """Type, number of distinct values and the three smallest values of each column, as text; a column with nulls only
+    has 0 distinct values and no examples."""
     types = X.literal_map({n: t for n, t in df.dtypes if n in columns})
     text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     values = text.unpivot([], columns, "column_name", "value").where(F.col("value").isNotNull()).distinct()
     ranked = values.withColumn("r", F.row_number().over(Window.partitionBy("column_name").orderBy("value")))
     heads = ranked.where(F.col("r") <= 3).groupBy("column_name").agg(
         F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("examples"))
-    return values.groupBy("column_name").agg(F.count("*").alias("n_unique")).join(heads, "column_name").select(
-        "column_name", types[F.col("column_name")].alias("dtype"), "n_unique", "examples")
+    found = values.groupBy("column_name").agg(F.count("*").alias("n_unique")).join(heads, "column_name")
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")  # also columns without values
+    return every.join(found, "column_name", "left").select(
+        "column_name", types[F.col("column_name")].alias("dtype"), F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
+        "examples")
 
 
 def daily_volume(alerts: DataFrame) -> DataFrame:
@@ -116,11 +120,8 @@ def agent_profile(alerts: DataFrame) -> DataFrame:
 
 
 def month_agent_matrix(alerts: DataFrame) -> DataFrame:
-    """Month by known agent; other agents are counted together."""
-    known = list(S.AGENT_IDS)
-    agent = F.when(F.col("agent_name").isin(known), F.col("agent_name")).otherwise("other")
-    return with_calendar(alerts).withColumn("agent_col", agent).groupBy("month").pivot(
-        "agent_col", [*known, "other"]).count().na.fill(0)
+    """Alerts per month and agent in long form, for any number of agents."""
+    return with_calendar(alerts).groupBy("month", "agent_name").agg(F.count("*").alias("n"))
 
 
 def group_share(alerts: DataFrame) -> DataFrame:
@@ -208,6 +209,7 @@ def rule_profile(alerts: DataFrame, order: tuple[str, ...] = ("arrival_us", "eve
     stats = alerts.groupBy("rule_id").agg(
         F.count("*").alias("n"), F.round(F.avg("rule_level"), 4).alias("avg_level"),
         F.max("rule_level").alias("max_level"), first.alias("first_group"),
+        *([F.min_by("rule_description", F.struct(*order)).alias("description")] if "rule_description" in alerts.columns else []),
         F.round(F.avg("has_mitre"), 4).alias("mitre_rate"), F.count_distinct("agent_name").alias("n_agents"))
     return _with_share(stats)
 

@@ -175,12 +175,22 @@ def _csv_roundtrip(t: Tables) -> DataFrame:
     stored = R.accepted(t.parsed, S.FULL_COLUMNS)
     stored = stored.withColumn("timestamp_utc", F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     stored.write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
-    return R.read_alert_csv(t.spark, path)
+    return R.read_alert_csv(t.spark, path, multi_line=False)  # no stored field holds a line break here
 
 
-add("S4_read_alert_csv", "wazuh_alert_id:s timestamp_utc:s rule_id:s mitre_tactic:s", _csv_roundtrip,
-    f"""SELECT wazuh_alert_id, strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M:%S.%f') AS timestamp_utc,
-      CAST(rule_id AS VARCHAR) AS rule_id, nullif(mitre_tactic, '') AS mitre_tactic FROM alerts WHERE {BAD} > 5""")
+STORED = f"""(SELECT event_id, wazuh_alert_id, ts_us, lpad(CAST(event_id % 8 + 1 AS VARCHAR), 3, '0') AS agent_id, agent_name,
+  {PRIMARY} AS rule_group_primary, rule_level, rule_id, nullif(srcip, '') AS srcip, srcip_type, criticality_score, has_mitre,
+  has_critical_mitre, CASE criticality_score WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END
+    AS agent_criticality, mitre_tactic, '' AS mitre_technique, 'T1059' AS mitre_id, '' AS syscheck_event, '' AS syscheck_path,
+  '' AS syscheck_mode, 'rule ' || rule_id AS rule_description,
+  CASE WHEN event_id % 3 = 0 THEN '["ossec","' || rule_groups || '"]' ELSE '["' || rule_groups || '","local"]' END
+    AS rule_groups_all, event_id % 5 + 1 AS rule_firedtimes, '10.1.1.1' AS agent_ip, 'sshd' AS decoder_name,
+  '/var/log/' || rule_groups AS location, '/index' AS data_url, '' AS audit_command, 'mgr' AS manager_name,
+  repeat('x', CAST(event_id % 400 AS INTEGER)) || wazuh_alert_id AS full_log FROM alerts WHERE {BAD} > 5)"""
+add("S4_read_alert_csv", " ".join(f"{c}:s" for c in S.FULL_COLUMNS), _csv_roundtrip,
+    "SELECT " + ", ".join(
+        "strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M:%S.%f') AS timestamp_utc" if c == "timestamp_utc"
+        else f"nullif(CAST({c} AS VARCHAR), '') AS {c}" for c in S.FULL_COLUMNS) + f" FROM {STORED}")
 
 
 def _meta_csv(t: Tables) -> DataFrame:
@@ -208,8 +218,9 @@ def _jsonl(t: Tables) -> DataFrame:
     return back.withColumn("ts_us", us("timestamp"))
 
 
-add("S7_read_jsonl", "event_id:l ts_us:l agent_id:s srcip:s rule_level:i", _jsonl,
-    "SELECT event_id, ts_us, agent_id, nullif(srcip, '') AS srcip, rule_level FROM alerts")
+EVERY = ("event_id:l ts_us:l arrival_us:l wazuh_alert_id:s agent_id:s agent_name:s rule_groups:s rule_level:i rule_id:i srcip:s "
+         "mitre_tactic:s is_synthetic:i scenario_id:s srcip_type:s has_mitre:i has_critical_mitre:i criticality_score:i")
+add("S7_read_jsonl", EVERY, _jsonl, "SELECT * REPLACE (nullif(srcip, '') AS srcip) FROM alerts")
 
 # ---- sinks ----------------------------------------------------------------------------------------
 
@@ -235,10 +246,12 @@ def _consolidated(t: Tables) -> DataFrame:
 
 add("K2_consolidated_sink", "wazuh_alert_id:s ts_us:l agent_id:s rule_id:i", _consolidated,
     "SELECT wazuh_alert_id, ts_us, agent_id, rule_id FROM alerts")
-add("K3_jsonl_export", "value:s",
-    lambda t: K.as_json_lines(t.alerts, ["event_id", "timestamp", "agent_name", "rule_level"]),
-    """SELECT '{"event_id":' || event_id || ',"timestamp":"' || strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%f')
-      || '","agent_name":"' || agent_name || '","rule_level":' || rule_level || '}' AS value FROM alerts""")
+ALERT_FIELDS = [c.split(":")[0].replace("ts_us", "timestamp") for c in EVERY.split()]
+add("K3_jsonl_export", "value:s", lambda t: K.as_json_lines(t.alerts.select(*ALERT_FIELDS)),
+    "SELECT '{' || " + " || ',' || ".join(
+        f"""'"{c}":"' || strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%f') || '"'""" if c == "timestamp"
+        else f"""'"{c}":"' || {c} || '"'""" if f"{c}:s" in EVERY.split() else f"""'"{c}":' || {c}"""
+        for c in ALERT_FIELDS) + " || '}' AS value FROM alerts")
 
 
 def _payload(t: Tables) -> DataFrame:
@@ -285,7 +298,18 @@ def _summary_csv(t: Tables) -> DataFrame:
     return t.spark.read.option("header", True).csv(path)
 
 
+def _as_csv(t: Tables, name: str, rows: DataFrame) -> DataFrame:
+    path = t.folder(name)
+    K.write_summary(rows, path)
+    return t.spark.read.option("header", True).csv(path)
+
+
 add("K8_summary_csvs", "rule_group:s n_raw:l arr_session_pct:d", _summary_csv, "SELECT * FROM per_group")
+add("K8_sensitivity_csv", "delta_t_min:i n_raw:l n_meta:l arr_pct:d",
+    lambda t: _as_csv(t, "sensitivity", E.sensitivity_sweep(t.alerts)), "SELECT * FROM sweep")
+add("K8_agent_csv", "agent_name:s n:l max_level:i n_rule_groups:l", lambda t: _as_csv(t, "agents", D.agent_profile(t.alerts)),
+    """SELECT agent_name, count(*) AS n, max(rule_level) AS max_level, count(DISTINCT rule_groups) AS n_rule_groups
+      FROM alerts GROUP BY agent_name""")
 
 # ---- projections and cleaning ---------------------------------------------------------------------
 
@@ -309,18 +333,12 @@ add("P5_pad_agent_id", "event_id:l padded:s",
     lambda t: t.alerts.select("event_id", X.pad_agent_id(F.col("event_id").cast("string")).alias("padded")),
     "SELECT event_id, CASE WHEN event_id < 1000 THEN printf('%03d', event_id) ELSE CAST(event_id AS VARCHAR) END AS padded FROM alerts")
 add("P6_enrichment_columns",
-    "event_id:l agent_criticality:s mitre_tactic:s mitre_technique:s mitre_id:s syscheck_event:s rule_description:s "
+    "event_id:l agent_criticality:s mitre_tactic:s mitre_technique:s mitre_id:s syscheck_event:s syscheck_path:s "
+    "syscheck_mode:s rule_description:s "
     "rule_groups_all:s rule_firedtimes:i agent_ip:s decoder_name:s location:s data_url:s audit_command:s manager_name:s "
     "full_log:s",
     lambda t: R.accepted(t.parsed, S.FULL_COLUMNS, ("event_id",)),
-    f"""SELECT event_id, CASE criticality_score WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium'
-      ELSE 'low' END AS agent_criticality, mitre_tactic, '' AS mitre_technique, 'T1059' AS mitre_id,
-      '' AS syscheck_event, 'rule ' || rule_id AS rule_description,
-      CASE WHEN event_id % 3 = 0 THEN '["ossec","' || rule_groups || '"]' ELSE '["' || rule_groups || '","local"]' END
-        AS rule_groups_all, event_id % 5 + 1 AS rule_firedtimes, '10.1.1.1' AS agent_ip, 'sshd' AS decoder_name,
-      '/var/log/' || rule_groups AS location, '/index' AS data_url, '' AS audit_command, 'mgr' AS manager_name,
-      left(repeat('x', CAST(event_id % 400 AS INTEGER)) || wazuh_alert_id, 300) AS full_log
-      FROM alerts WHERE {BAD} > 5""")
+    f"SELECT * FROM {STORED}")
 
 # The dirty fixture's columns, restated for the checks.
 D_ID = "CASE event_id % 53 WHEN 0 THEN 'md5' WHEN 1 THEN 'host-x' WHEN 2 THEN 'DVWA' ELSE agent_id END"
@@ -774,6 +792,34 @@ add("X5_inject", "scenario_id:s is_synthetic:i n:l first_us:l last_us:l",
     f"""SELECT scenario_id, 1 AS is_synthetic, count(*) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us
       FROM ({ROWS_A} UNION ALL {ROWS_B} UNION ALL {ROWS_C}) GROUP BY ALL UNION ALL
       SELECT '', 0, count(*), min(ts_us), max(ts_us) FROM alerts""")
+INJECTED = f"""(SELECT event_id, ts_us, agent_id, rule_groups, '' AS scenario_id FROM alerts UNION ALL
+  SELECT -((64 + p + 1)::BIGINT << 40) - i AS event_id, ts_us, agent_id, rule_groups, scenario_id
+  FROM ({ROWS_B.replace("AS wazuh_alert_id,", "AS wazuh_alert_id, p, i,")}) UNION ALL
+  SELECT -((128 + a + 1)::BIGINT << 40) - i, ts_us, agent_id, rule_groups, scenario_id
+  FROM ({ROWS_C.replace("AS wazuh_alert_id,", "AS wazuh_alert_id, a, i,")}))"""
+SCALED = f"""(SELECT * FROM {INJECTED} WHERE event_id >= 0 OR (-event_id) % (1::BIGINT << 40) < CASE
+  WHEN scenario_id = 'C' THEN 1000 ELSE [40, 30, 20][CAST((-event_id) >> 40 AS INTEGER) - 64] END)"""
+
+
+def _injected(t: Tables) -> DataFrame:
+    return P.inject(t.alerts, ("B", "C"), scale=0.02)
+
+
+add("X5_inject_rows", "event_id:l ts_us:l arrival_us:l agent_id:s rule_groups:s scenario_id:s",
+    lambda t: _injected(t).withColumn("ts_us", us("timestamp")), f"SELECT *, ts_us AS arrival_us FROM {SCALED}")
+
+
+def _injected_labels(t: Tables) -> DataFrame:
+    rows = _injected(t)
+    assigned = A.assign_buckets(A.ordered_alerts(rows, 50, 60), GAP_15, None)
+    return P.propagate_labels(A.meta_alerts(assigned), A.mapping(assigned), rows)
+
+
+add("X6_injected_labels", "meta_id:s alert_count:l ground_truth:i scenario_id:s", _injected_labels,
+    f"""SELECT agent_id || '|' || rule_groups || '|' || bstart AS meta_id, count(*) AS alert_count,
+      max(CASE WHEN scenario_id <> '' THEN 1 ELSE 0 END) AS ground_truth,
+      coalesce(min(nullif(scenario_id, '')), '') AS scenario_id
+      FROM {Q._in_order(SCALED, 15)} GROUP BY agent_id, rule_groups, bstart""")
 add("X6_propagate_labels", "meta_id:s ground_truth:i scenario_id:s",
     lambda t: P.propagate_labels(A.meta_alerts(t.capped), A.mapping(t.capped), t.alerts),
     "SELECT meta_id, ground_truth, scenario_id FROM metas_cap")
@@ -788,25 +834,38 @@ add("X7_robustness_sweep",
 
 # ---- profiling ------------------------------------------------------------------------------------
 
-add("D1_overview", "n_alerts:l first_us:l last_us:l n_days:l n_agents:l n_groups:l n_rules:l",
+add("D1_overview", "n_alerts:l n_columns:l first_us:l last_us:l n_days:l n_agents:l n_groups:l n_rules:l",
     lambda t: D.overview(t.day_alerts),
-    """SELECT count(*) AS n_alerts, min(ts_us) AS first_us, max(ts_us) AS last_us, count(DISTINCT local_date) AS n_days,
+    f"""SELECT count(*) AS n_alerts, {len(EVERY.split())} AS n_columns, min(ts_us) AS first_us, max(ts_us) AS last_us, count(DISTINCT local_date) AS n_days,
       count(DISTINCT agent_name) AS n_agents, count(DISTINCT rule_groups) AS n_groups, count(DISTINCT rule_id) AS n_rules
       FROM local""")
-add("D2_null_profile", "column_name:s n_null:l pct:d mostly_null:i",
-    lambda t: D.null_profile(t.dirty, ["rule_group_primary", "rule_level", "srcip"]),
-    f"""SELECT c AS column_name, n AS n_null, round(n / t::DOUBLE * 100, 1) AS pct, CASE WHEN n > t / 2 THEN 1 ELSE 0 END AS
-      mostly_null FROM (SELECT count(*) AS t FROM alerts), (
-      SELECT 'rule_group_primary' AS c, count(*) AS n FROM alerts WHERE {D_GROUP} IS NULL UNION ALL
-      SELECT 'rule_level', count(*) FROM alerts WHERE {D_LEVEL} IS NULL UNION ALL
-      SELECT 'srcip', count(*) FROM alerts WHERE {D_IP} IS NULL)""")
-add("D3_column_profile", "column_name:s dtype:s n_unique:l examples:s",
-    lambda t: D.column_profile(t.alerts, ["agent_name", "rule_level", "srcip_type"]),
-    """SELECT c AS column_name, dtype, count(*) AS n_unique, string_agg(v, ', ' ORDER BY v) FILTER (r <= 3) AS examples FROM (
-      SELECT *, row_number() OVER (PARTITION BY c ORDER BY v) AS r FROM (
-        SELECT DISTINCT 'agent_name' AS c, 'string' AS dtype, agent_name AS v FROM alerts UNION ALL
-        SELECT DISTINCT 'rule_level', 'int', CAST(rule_level AS VARCHAR) FROM alerts UNION ALL
-        SELECT DISTINCT 'srcip_type', 'string', srcip_type FROM alerts)) GROUP BY c, dtype""")
+DIRTY_NULLS = {
+    "timestamp_utc": "event_id % 61 = 1", "rule_group_primary": f"{D_GROUP} IS NULL", "rule_level": f"{D_LEVEL} IS NULL",
+    "srcip": f"{D_IP} IS NULL", "srcip_type": "event_id % 31 = 0", "criticality_score": "event_id % 23 = 1",
+    "has_critical_mitre": "event_id % 19 = 1 AND event_id % 19 <> 0",
+}
+DIRTY_WHOLE = ["event_id", "arrival_us", "agent_id", "agent_name", "rule_id", "has_mitre", "mitre_tactic", "wazuh_alert_id",
+               "is_synthetic", "scenario_id"]
+add("D2_null_profile", "column_name:s n_null:l pct:d mostly_null:i", lambda t: D.null_profile(t.dirty, t.dirty.columns),
+    "SELECT c AS column_name, n AS n_null, round(n / t::DOUBLE * 100, 1) AS pct, CASE WHEN n > t / 2 THEN 1 ELSE 0 END AS "
+    "mostly_null FROM (SELECT count(*) AS t FROM alerts), (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS c, count(*) AS n FROM alerts WHERE {rule}"
+        for c, rule in [*DIRTY_NULLS.items(), *((c, "false") for c in DIRTY_WHOLE)]) + ")")
+
+
+def _column_profile(t: Tables) -> DataFrame:
+    """All columns, and one that holds nulls only."""
+    rows = t.alerts.withColumn("no_value", F.lit(None).cast("string"))
+    return D.column_profile(rows, rows.columns)
+
+
+SPARK_NAMES = {"s": "string", "l": "bigint", "i": "int"}
+add("D3_column_profile", "column_name:s dtype:s n_unique:l examples:s", _column_profile,
+    "SELECT c AS column_name, dtype, count(v) AS n_unique, string_agg(v, ', ' ORDER BY v) FILTER (r <= 3) AS examples FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY c ORDER BY v) AS r FROM (" + " UNION ALL ".join(
+        "SELECT DISTINCT 'timestamp' AS c, 'timestamp' AS dtype, CAST(make_timestamp(ts_us) AS VARCHAR) AS v FROM alerts"
+        if c == "ts_us" else f"SELECT DISTINCT '{c}' AS c, '{SPARK_NAMES[k]}' AS dtype, CAST({c} AS VARCHAR) AS v FROM alerts"
+        for c, k in (x.split(":") for x in EVERY.split())) + " UNION ALL SELECT 'no_value', 'string', NULL)) GROUP BY c, dtype")
 add("D4_daily_volume", "local_date:s n:l rolling7:d", lambda t: D.daily_volume(t.day_alerts),
     """SELECT local_date, n, CASE WHEN count(*) OVER w = 7 THEN round(avg(n) OVER w, 4) END AS rolling7 FROM (
       SELECT local_date, count(*) AS n FROM local GROUP BY ALL)
@@ -844,18 +903,8 @@ add("D7_agent_profile",
       count(DISTINCT rule_groups) AS n_rule_groups, count(DISTINCT rule_id) AS n_rule_ids,
       max(criticality_score) AS criticality, round(count(*) / (SELECT count(*) FROM alerts)::DOUBLE * 100, 4) AS pct
       FROM alerts GROUP BY agent_name""")
-MONTH_COLS = [*S.AGENT_IDS, "other"]
-
-
-def _month_matrix(t: Tables) -> DataFrame:
-    m = D.month_agent_matrix(t.day_alerts)
-    return m.select("month", *[F.col(f"`{a}`").alias(a.lower().replace("-", "_")) for a in MONTH_COLS])
-
-
-add("D8_month_agent_matrix", "month:s " + " ".join(f"{a.lower().replace('-', '_')}:l" for a in MONTH_COLS), _month_matrix,
-    "SELECT month, " + ", ".join(
-        f"count(*) FILTER (agent_name = '{a}') AS {a.lower().replace('-', '_')}" for a in MONTH_COLS)
-    + " FROM local GROUP BY month")
+add("D8_month_agent_matrix", "month:s agent_name:s n:l", lambda t: D.month_agent_matrix(t.day_alerts),
+    "SELECT month, agent_name, count(*) AS n FROM local GROUP BY ALL")
 add("D9_group_share", "rule_groups:s n:l pct:d rank:i", lambda t: D.group_share(t.alerts),
     """SELECT rule_groups, n, round(n / sum(n) OVER ()::DOUBLE * 100, 4) AS pct,
       row_number() OVER (ORDER BY n DESC, rule_groups) AS rank FROM (SELECT rule_groups, count(*) AS n FROM alerts GROUP BY ALL)""")
@@ -895,11 +944,12 @@ add("D12_shared_ips", "srcip:s n_agents:l n_alerts:l agents:s", lambda t: D.shar
     """SELECT srcip, count(DISTINCT agent_name) AS n_agents, count(*) AS n_alerts,
       array_to_string(list_sort(list(DISTINCT agent_name)), '|') AS agents FROM alerts WHERE srcip_type = 'internal'
       GROUP BY srcip HAVING count(DISTINCT agent_name) > 1""")
-add("D13_rule_profile", "rule_id:i n:l avg_level:d max_level:i first_group:s mitre_rate:d n_agents:l pct:d",
-    lambda t: D.rule_profile(t.alerts),
+add("D13_rule_profile",
+    "rule_id:i n:l avg_level:d max_level:i first_group:s description:s mitre_rate:d n_agents:l pct:d",
+    lambda t: D.rule_profile(t.alerts.withColumn("rule_description", F.concat(F.lit("rule "), F.col("rule_id").cast("string")))),
     """SELECT rule_id, count(*) AS n, round(avg(rule_level), 4) AS avg_level, max(rule_level) AS max_level,
       (SELECT b.rule_groups FROM alerts b WHERE b.rule_id = a.rule_id ORDER BY b.arrival_us, b.event_id LIMIT 1) AS first_group,
-      round(avg(has_mitre), 4) AS mitre_rate, count(DISTINCT agent_name) AS n_agents,
+      'rule ' || rule_id AS description, round(avg(has_mitre), 4) AS mitre_rate, count(DISTINCT agent_name) AS n_agents,
       round(count(*) / (SELECT count(*) FROM alerts)::DOUBLE * 100, 4) AS pct FROM alerts a GROUP BY rule_id""")
 add("D13_agent_rule_repeats", "agent_name:s rule_id:i n:l first_group:s first_level:i",
     lambda t: D.agent_rule_repeats(t.alerts),

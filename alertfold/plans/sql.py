@@ -198,14 +198,22 @@ CTE.update({
 })
 
 
+P = 2147483647
+
+
+def _draw(multiplier: int) -> str:
+    return f"((noise_no + 1) * {multiplier} % {P})"
+
+
 def noise(rate: str, ids: str) -> str:
     """Noise rows for the rate expression ``rate``; ``ids`` yields ``noise_no`` and, if needed, the rate."""
     return f"""(
-  SELECT i.*, lo_us + (hi_us - lo_us) * ((noise_no * 7919) % 10007) // 10007 AS ts_us, agent_id, agent_name, rule_groups,
-    CAST(noise_no % 4 + 1 AS INTEGER) AS rule_level, CAST(1000 + noise_no % 9000 AS INTEGER) AS rule_id
+  SELECT i.*, lo_us + (hi_us - lo_us) // {P} * {_draw(16807)} + (hi_us - lo_us) % {P} * {_draw(16807)} // {P} AS ts_us,
+    agent_id, agent_name, rule_groups,
+    CAST({_draw(66911)} % 4 + 1 AS INTEGER) AS rule_level, CAST(1000 + {_draw(85931)} % 9000 AS INTEGER) AS rule_id
   FROM {ids} i CROSS JOIN span
-  JOIN agent_pool ON a = noise_no % (SELECT count(*) FROM agent_pool)
-  JOIN group_pool ON g = noise_no % (SELECT count(*) FROM group_pool))"""
+  JOIN agent_pool ON a = {_draw(48271)} % (SELECT count(*) FROM agent_pool)
+  JOIN group_pool ON g = {_draw(69621)} % (SELECT count(*) FROM group_pool))"""
 
 
 CTE.update({

@@ -69,7 +69,7 @@ def alert_columns() -> dict[str, Column]:
         "data_url": _text("data.url"),
         "audit_command": _text("data.audit.command"),
         "manager_name": _text("manager.name"),
-        "full_log": F.substring(_text("full_log"), 1, 300),  # the stored column holds the first 300 characters
+        "full_log": _text("full_log"),
     }
 
 
@@ -105,10 +105,29 @@ def scan_month_dirs(spark: SparkSession, root: str, names: str = "*.json") -> Da
     return with_month(parse_lines(lines))
 
 
-def read_alert_csv(spark: SparkSession, path: str, columns: list[str] = S.FULL_COLUMNS) -> DataFrame:
-    """Stored alert rows as text; lines that do not fit the header are skipped."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(path)
+def parse_alert_csv(
+    spark: SparkSession, path: str, columns: list[str] = S.FULL_COLUMNS, multi_line: bool = True,
+) -> DataFrame:
+    """Stored alert rows as text with ``_line``, the text of a row whose number of fields is not that of the header, and
+    ``reject_reason``: ``too_many_fields``, or null. A short row is kept, its missing fields are null.
+
+    Quotes inside fields are doubled. ``multi_line`` allows line breaks inside quoted fields; a file is then one task, so
+    switch it off for large files without such fields. Every column is parsed, whichever are selected afterwards.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_beyond", "_line"]])
+    rows = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False)
+            .option("columnNameOfCorruptRecord", "_line").option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line).csv(path))
+    # One field too many fits the schema exactly; a row of the right length is one short of it.
+    too_many = F.col("_line").isNull() | F.col("_beyond").isNotNull()
+    return rows.select(*columns, "_line", F.when(too_many, "too_many_fields").alias("reject_reason"))
+
+
+def read_alert_csv(
+    spark: SparkSession, path: str, columns: list[str] = S.FULL_COLUMNS, multi_line: bool = True,
+) -> DataFrame:
+    """The rows of :func:`parse_alert_csv` that are not rejected; ``reject_counts`` of the same frame counts both."""
+    return parse_alert_csv(spark, path, columns, multi_line).where(F.col("reject_reason").isNull()).select(*columns)
 
 
 def read_alert_parquet(spark: SparkSession, path: str) -> DataFrame:
