@@ -143,7 +143,9 @@ def _answer(table: pa.Table, crowd: int) -> pa.Table:
     """The status of every entry of one range of keys."""
     join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
     keys, checks, many = join("keys", U64), join("checks", U64), join("many", np.uint8)
-    order = np.lexsort((checks, keys))
+    sizes = [len(x) for x in table.column("many").to_pylist()]
+    sender = np.repeat(table.column("chunk").to_numpy(), sizes)  # rows come in any order; the answer must not depend on it
+    order = np.lexsort((sender, checks, keys))
     k, c = keys[order], checks[order]
     new_key, new = np.ones(len(k), bool), np.ones(len(k), bool)
     new_key[1:] = k[1:] != k[:-1]
@@ -159,7 +161,7 @@ def _answer(table: pa.Table, crowd: int) -> pa.Table:
     status |= np.where(mixed & (kinds[group] > crowd), CROWDED, 0)
     out = np.empty(len(k), np.uint8)
     out[order] = status
-    ends = np.cumsum([len(x) for x in table.column("many").to_pylist()]).tolist()
+    ends = np.cumsum(sizes).tolist()
     return pa.table({"chunk": table.column("chunk"), "kind": pa.array([0] * len(ends), pa.int32()), "bucket": table.column("bucket"),
                      "status": pa.array([out[a:b].tobytes() for a, b in zip([0, *ends], ends)], pa.binary())})
 
