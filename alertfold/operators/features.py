@@ -110,12 +110,15 @@ def normalize_core(metas: DataFrame) -> DataFrame:
     return metas.withColumns(cols)
 
 
-def enrich(metas: DataFrame) -> DataFrame:
+def enrich(metas: DataFrame, kept: list[DataFrame] | None = None) -> DataFrame:
     """All eleven features.
 
-    The baseline joins the meta-alerts to sums over themselves, so they are kept: the raw alerts are folded once.
+    The baseline joins the meta-alerts to sums over themselves, so they are kept: the raw alerts are folded once. The kept
+    frame is added to ``kept``, for callers that go on afterwards and release it.
     """
     df = normalize_core(metas).persist(StorageLevel.MEMORY_AND_DISK)
+    if kept is not None:
+        kept.append(df)
     for step in (alert_count_log, alert_velocity, rule_concentration, severity_spread, deviation_from_baseline):
         df = df.transform(step)
     return df

@@ -13,8 +13,6 @@ from alertfold.schema import FEATURES
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = "tree_id int, node_id int, feature int, threshold double, left int, right int, size int, depth int"
-MAX_NODES = 2_000_000
-
 
 def path_bonus(n: np.ndarray) -> np.ndarray:
     """Mean depth of an unsuccessful search among ``n`` points."""
@@ -25,19 +23,20 @@ def path_bonus(n: np.ndarray) -> np.ndarray:
 
 
 def tree_samples(df: DataFrame, features: list[str], trees: int, subsample: int, seed: int, key: str) -> tuple[DataFrame, int]:
-    """Rows of every tree as ``(tree_id, key, features)`` and the number of rows per tree."""
+    """Rows of every tree as ``(tree_id, key, features)`` and the number of rows per tree.
+
+    One rule for tables of any size: a seeded pool of at most ``trees x subsample`` rows is put in a random order, and each
+    tree takes the ``subsample`` rows that follow those of the tree before it, beginning anew at the end of the pool. From a
+    full pool the trees draw without replacement.
+    """
     slim = df.select(F.col(key).cast("string").alias("_key"), *[F.col(f).cast("double").alias(f) for f in features])
-    n = slim.count()
+    pool = seeded_sample(slim, trees * subsample, seed, "_key")
+    rank = F.row_number().over(Window.orderBy(F.xxhash64("_key", F.lit(seed)), "_key")) - 1  # over the bounded pool
+    n = min(slim.count(), trees * subsample)
     size = min(subsample, n)
-    if n >= trees * size and n > 0:
-        # One sample without replacement, dealt out to the trees by rank; the rank runs over trees x subsample rows.
-        picked = seeded_sample(slim, trees * size, seed, "_key")
-        rank = F.row_number().over(Window.orderBy(F.xxhash64("_key", F.lit(seed)), "_key")) - 1
-        return picked.withColumn("tree_id", (rank % trees).cast("int")), size
-    # Fewer rows than the trees need: each tree draws its own sample from the small table.
-    every = slim.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = Window.partitionBy("tree_id").orderBy(F.xxhash64("_key", F.lit(seed), "tree_id"), "_key")
-    return every.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size).drop("_r"), size
+    place = F.pmod(F.col("_rank") - F.col("tree_id") * size, F.lit(max(n, 1)))
+    every = pool.withColumn("_rank", rank).withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    return every.where(place < size).drop("_rank"), size
 
 
 def fit(
@@ -77,9 +76,7 @@ def fit(
 
 def score(df: DataFrame, nodes: DataFrame, size: int, features: list[str] = FEATURES, out: str = "raw_score") -> DataFrame:
     """Add ``-2^(-E[h]/c)``: the lower, the more anomalous."""
-    table = nodes.orderBy("tree_id", "node_id").limit(MAX_NODES + 1).toPandas()
-    if len(table) > MAX_NODES:
-        raise ValueError(f"a forest of more than {MAX_NODES} nodes is too large to send to every task")
+    table = nodes.orderBy("tree_id", "node_id").toPandas()  # trees x (2 x subsample - 1) rows at most
     forest = []
     for _, t in table.groupby("tree_id"):
         depth = t.depth.to_numpy() + path_bonus(t["size"].to_numpy())

@@ -46,7 +46,7 @@ LATERAL = [
           0.7, 15 * i)
     for i, agent in enumerate(LATERAL_ORDER)
 ]
-DRAWS = 2_147_483_647  # a prime: multiples of the row number modulo it are the draws of the noise rows
+DRAWS = 2_147_483_647  # a prime: squares of multiples of the row number modulo it are the draws of the noise rows
 SCENARIOS = {"A": BRUTE_FORCE, "B": MULTI_STAGE, "C": LATERAL}
 
 
@@ -129,7 +129,8 @@ def noise_rows(alerts: DataFrame, rate: float, independent: bool = False) -> Dat
     sizes = agents.agg(F.count("*").alias("n_a")).crossJoin(groups.agg(F.count("*").alias("n_g")))
     count = span.select(F.expr(f"n_alerts * {millionths(rate)} div 1000000")).first()[0]
     ids = spark.range(count).crossJoin(F.broadcast(span)).crossJoin(F.broadcast(sizes))
-    draw = lambda multiplier: f"((id + 1) * {multiplier} % {DRAWS})"
+    multiple = lambda m: f"((id + 1) * {m} % {DRAWS})"
+    draw = lambda m: f"({multiple(m)} * {multiple(m)} % {DRAWS})"
     offset = F.expr(f"(hi_us - lo_us) div {DRAWS} * {draw(16807)} + (hi_us - lo_us) % {DRAWS} * {draw(16807)} div {DRAWS}")
     rows = ids.select(
         F.col("id").alias("noise_no"), F.timestamp_micros(F.col("lo_us") + offset).alias("timestamp"),

@@ -142,11 +142,13 @@ us = lambda c: F.unix_micros(c)
 
 BAD = "event_id % 101"
 PRIMARY = """CASE WHEN event_id % 3 = 0 AND rule_groups = 'sudo' THEN 'ossec' ELSE rule_groups END"""
+SENDER = f"CASE WHEN {BAD} <> 9 THEN nullif(srcip, '') END"
+KIND = f"CASE WHEN {BAD} = 9 THEN 'none' ELSE srcip_type END"
 add("S1_read_alert_json",
     "event_id:l wazuh_alert_id:s ts_us:l agent_id:s agent_name:s rule_group_primary:s rule_level:i rule_id:s srcip:s "
     "srcip_type:s criticality_score:i has_mitre:i has_critical_mitre:i",
     lambda t: R.accepted(t.parsed, S.MINIMAL_COLUMNS, ("event_id",)).withColumn("ts_us", us("timestamp_utc")),
-    f"""SELECT * REPLACE (lpad(CAST(event_id % 8 + 1 AS VARCHAR), 3, '0') AS agent_id, nullif(srcip, '') AS srcip),
+    f"""SELECT * REPLACE (lpad(CAST(event_id % 8 + 1 AS VARCHAR), 3, '0') AS agent_id, {SENDER} AS srcip, {KIND} AS srcip_type),
       {PRIMARY} AS rule_group_primary FROM alerts WHERE {BAD} > 5""")
 add("S2_reject_reasons", "reason:s n:l", lambda t: R.reject_counts(t.parsed),
     f"""SELECT CASE {BAD} WHEN 0 THEN 'blank' WHEN 1 THEN 'json_error' WHEN 2 THEN 'empty_timestamp'
@@ -179,13 +181,13 @@ def _csv_roundtrip(t: Tables) -> DataFrame:
 
 
 STORED = f"""(SELECT event_id, wazuh_alert_id, ts_us, lpad(CAST(event_id % 8 + 1 AS VARCHAR), 3, '0') AS agent_id, agent_name,
-  {PRIMARY} AS rule_group_primary, rule_level, rule_id, nullif(srcip, '') AS srcip, srcip_type, criticality_score, has_mitre,
-  has_critical_mitre, CASE criticality_score WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END
+  {PRIMARY} AS rule_group_primary, rule_level, rule_id, {SENDER} AS srcip, {KIND} AS srcip_type, criticality_score,
+  has_mitre, has_critical_mitre, CASE criticality_score WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END
     AS agent_criticality, mitre_tactic, '' AS mitre_technique, 'T1059' AS mitre_id, '' AS syscheck_event, '' AS syscheck_path,
   '' AS syscheck_mode, 'rule ' || rule_id AS rule_description,
   CASE WHEN event_id % 3 = 0 THEN '["ossec","' || rule_groups || '"]' ELSE '["' || rule_groups || '","local"]' END
-    AS rule_groups_all, event_id % 5 + 1 AS rule_firedtimes, '10.1.1.1' AS agent_ip, 'sshd' AS decoder_name,
-  '/var/log/' || rule_groups AS location, '/index' AS data_url, '' AS audit_command, 'mgr' AS manager_name,
+    AS rule_groups_all, CASE WHEN {BAD} = 8 THEN 1 ELSE event_id % 5 + 1 END AS rule_firedtimes, '10.1.1.1' AS agent_ip, 'sshd' AS decoder_name,
+  '/var/log/' || rule_groups AS location, CASE WHEN {BAD} = 9 THEN '' ELSE '/index' END AS data_url, '' AS audit_command, 'mgr' AS manager_name,
   repeat('x', CAST(event_id % 400 AS INTEGER)) || wazuh_alert_id AS full_log FROM alerts WHERE {BAD} > 5)"""
 add("S4_read_alert_csv", " ".join(f"{c}:s" for c in S.FULL_COLUMNS), _csv_roundtrip,
     "SELECT " + ", ".join(
@@ -226,10 +228,13 @@ add("S7_read_jsonl", EVERY, _jsonl, "SELECT * REPLACE (nullif(srcip, '') AS srci
 
 
 def _monthly(t: Tables) -> DataFrame:
-    path = t.folder("monthly")
-    K.write_monthly(R.accepted(t.parsed), path)
-    return t.spark.read.parquet(path).groupBy("year", "month").agg(
-        F.count("*").alias("n"), F.count_distinct("wazuh_alert_id").alias("n_ids"))
+    path, minimal = t.folder("monthly"), t.folder("monthly-minimal")
+    K.write_monthly(R.accepted(t.parsed), path, minimal_path=minimal)
+    count = lambda p, layer: t.spark.read.parquet(p).groupBy("year", "month").agg(
+        F.count("*").alias("n"), F.count_distinct("wazuh_alert_id").alias("n_ids"),
+        F.sum(F.crc32(F.concat_ws("|", *S.MINIMAL_COLUMNS))).alias("checksum")).withColumn("layer", F.lit(layer))
+    full, small = count(path, "both"), count(minimal, "both")
+    return full.intersect(small)  # the minimal layer holds the same rows
 
 
 add("K1_monthly_sink", "year:i month:i n:l n_ids:l", _monthly,
@@ -238,14 +243,19 @@ add("K1_monthly_sink", "year:i month:i n:l n_ids:l", _monthly,
 
 
 def _consolidated(t: Tables) -> DataFrame:
+    """Copies arrive later, with another rule and an earlier time; the first arrival stays."""
     path = t.folder("consolidated")
-    stored = t.dups.withColumnRenamed("timestamp", "timestamp_utc").withColumnRenamed("rule_groups", "rule_group_primary")
-    K.write_consolidated(stored.select(*S.MINIMAL_COLUMNS), path)
-    return t.spark.read.parquet(path).withColumn("ts_us", us("timestamp_utc"))
+    copy = F.col("arrival_us") >= 600_000_000 + F.expr("unix_micros(timestamp)") - fixtures.BASE_US
+    stored = t.dups.withColumns({
+        "rule_id": F.when(copy, -1).otherwise(F.col("rule_id")),
+        "timestamp_utc": F.when(copy, F.col("timestamp") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("timestamp")),
+    }).withColumnRenamed("rule_groups", "rule_group_primary")
+    K.write_consolidated(stored.select(*S.MINIMAL_COLUMNS, *K.ARRIVAL), path)
+    return R.read_alert_parquet(t.spark, path).withColumn("ts_us", us("timestamp_utc"))
 
 
-add("K2_consolidated_sink", "wazuh_alert_id:s ts_us:l agent_id:s rule_id:i", _consolidated,
-    "SELECT wazuh_alert_id, ts_us, agent_id, rule_id FROM alerts")
+add("K2_consolidated_sink", "wazuh_alert_id:s ts_us:l agent_id:s rule_group_primary:s rule_level:i rule_id:i srcip:s arrival_us:l event_id:l",
+    _consolidated, "SELECT *, rule_groups AS rule_group_primary FROM alerts")
 ALERT_FIELDS = [c.split(":")[0].replace("ts_us", "timestamp") for c in EVERY.split()]
 add("K3_jsonl_export", "value:s", lambda t: K.as_json_lines(t.alerts.select(*ALERT_FIELDS)),
     "SELECT '{' || " + " || ',' || ".join(

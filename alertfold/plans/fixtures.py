@@ -79,7 +79,7 @@ def dup_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts rendered as source JSON lines, with the six kinds of broken line mixed in."""
+    """Alerts rendered as source JSON lines, with six kinds of broken line and five of mistyped fields mixed in."""
     a = alerts(spark, sf_dir)
     bad = F.col("event_id") % 101
     groups = F.when(bad == 5, F.array().cast("array<string>")).when(
@@ -108,6 +108,14 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("sshd").alias("name")).alias("decoder"),
         F.struct(F.lit("mgr").alias("name")).alias("manager"),
     ))
+    # Accepted all the same: a level as text, a level with a fraction, a count in words, texts where objects belong.
+    quoted = F.regexp_replace(record, '"level":([0-9]+)', '"level":"$1"')
+    fraction = F.regexp_replace(record, '"level":([0-9]+)', '"level":$1.0')
+    words = F.regexp_replace(record, '"firedtimes":[0-9]+', '"firedtimes":"many"')
+    flat = F.regexp_replace(record, '"data":\\{[^}]*\\}', '"data":"x","syscheck":[]')
+    audit = F.regexp_replace(record, '"data":\\{', '"data":{"audit":"x",')
+    record = F.when(bad == 6, quoted).when(bad == 7, fraction).when(bad == 8, words).when(bad == 9, flat).when(
+        bad == 10, audit).otherwise(record)
     line = F.when(bad == 0, "  ").when(bad == 1, F.substring(record, 1, 40)).otherwise(record)
     return a.select("event_id", F.explode(F.array(line)).alias("value"))  # rendered once, however often it is read
 

@@ -202,7 +202,8 @@ P = 2147483647
 
 
 def _draw(multiplier: int) -> str:
-    return f"((noise_no + 1) * {multiplier} % {P})"
+    multiple = f"((noise_no + 1) * {multiplier} % {P})"
+    return f"({multiple} * {multiple} % {P})"
 
 
 def noise(rate: str, ids: str) -> str:

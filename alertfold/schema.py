@@ -18,9 +18,9 @@ RAW_ALERT = T.StructType([
     ])),
     T.StructField("rule", T.StructType([
         T.StructField("id", T.StringType()),
-        T.StructField("level", T.IntegerType()),
+        T.StructField("level", T.StringType()),  # a number in any spelling
         T.StructField("description", T.StringType()),
-        T.StructField("firedtimes", T.IntegerType()),
+        T.StructField("firedtimes", T.StringType()),
         T.StructField("groups", T.ArrayType(T.StringType())),
         T.StructField("mitre", T.StructType([
             T.StructField("tactic", T.ArrayType(T.StringType())),

@@ -9,7 +9,10 @@ REJECT_REASONS = ["blank", "json_error", "empty_timestamp", "bad_timestamp", "no
 
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Add the parsed ``record``, its ``ts`` and the first ``reject_reason`` that applies (null when accepted)."""
+    """Add the parsed ``record``, its ``ts`` and the first ``reject_reason`` that applies (null when accepted).
+
+    An optional field of another type than expected counts as absent. ``json_error`` is text that isn't a JSON object.
+    """
     raw = T.StructType([*S.RAW_ALERT.fields, T.StructField("_corrupt", T.StringType())])
     text = F.trim(F.col(value))
     record = F.from_json(text, raw, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
@@ -19,7 +22,7 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     parsed = parsed.withColumn("ts", F.try_to_timestamp(stamp))
     reason = (
         F.when(text.isNull() | (text == ""), "blank")
-        .when(F.col("record").isNull() | F.col("record._corrupt").isNotNull(), "json_error")
+        .when(F.col("record").isNull() | F.col("record._corrupt").isNotNull() & ~_is_object(text), "json_error")
         .when(F.coalesce(stamp, F.lit("")) == "", "empty_timestamp")
         .when(F.col("ts").isNull(), "bad_timestamp")
         .when(F.coalesce(F.col("record.rule.id"), F.lit("")) == "", "no_rule_id")
@@ -28,6 +31,15 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return parsed.withColumn("reject_reason", reason)
 
 
+def _is_object(text: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+
+
+def _whole(field: str, default: int) -> Column:
+    """A whole number from a JSON number or its text; a fraction is cut off."""
+    return F.coalesce(F.col(f"record.{field}").try_cast("double").try_cast("int"), F.lit(default))
+
+
 def _text(field: str, default: str = "") -> Column:
     return F.coalesce(F.col(f"record.{field}"), F.lit(default))
 
@@ -46,7 +58,7 @@ def alert_columns() -> dict[str, Column]:
         "agent_id": X.pad_agent_id(_text("agent.id", "000")),
         "agent_name": name,
         "rule_group_primary": X.primary_group(F.col(f"{rule}.groups")),
-        "rule_level": F.coalesce(F.col(f"{rule}.level"), F.lit(0)),
+        "rule_level": _whole("rule.level", 0),
         "rule_id": F.col(f"{rule}.id"),
         "srcip": F.when(ip != "", ip),
         "srcip_type": X.srcip_type(ip),
@@ -62,7 +74,7 @@ def alert_columns() -> dict[str, Column]:
         "syscheck_mode": _text("syscheck.mode"),
         "rule_description": _text("rule.description"),
         "rule_groups_all": F.to_json(f"{rule}.groups"),
-        "rule_firedtimes": F.coalesce(F.col(f"{rule}.firedtimes"), F.lit(1)),
+        "rule_firedtimes": _whole("rule.firedtimes", 1),
         "agent_ip": _text("agent.ip"),
         "decoder_name": _text("decoder.name"),
         "location": _text("location"),
@@ -131,14 +143,20 @@ def read_alert_csv(
 
 
 def read_alert_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Stored alert rows with their arrival order: files by name, rows by position.
+    """Stored alert rows with their arrival order.
 
-    ``arrival_us`` and the unique ``event_id`` are the file's rank and the row's position in one number. Only the list
-    of file names, one row per file, is ranked in a single task.
+    Rows that were stored with ``arrival_us`` and ``event_id`` keep them. Otherwise files are ranked by year, month and
+    part number, all as numbers, and rows by their position: both columns are the file's rank and the row's position in
+    one number. Only the list of file names, one row per file, is ranked in a single task.
     """
-    rows = spark.read.parquet(path).select(
+    stored = spark.read.parquet(path)
+    if {"arrival_us", "event_id"} <= set(stored.columns):
+        return stored
+    rows = stored.select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    files = rows.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file")))
+    number_in = lambda pattern: F.coalesce(F.expr("nullif({}, '')".format(f"regexp_extract(_file, '{pattern}', 1)")).cast("long"), F.lit(0))
+    by_number = Window.orderBy(number_in("year=([0-9]+)"), number_in("month=([0-9]+)"), number_in("part-([0-9]+)"), "_file")
+    files = rows.select("_file").distinct().withColumn("_rank", F.row_number().over(by_number))
     number = F.shiftleft(F.col("_rank").cast("long"), 40) + F.col("_row")
     return rows.join(files, "_file").withColumns({"event_id": number, "arrival_us": number}).drop(
         "_file", "_row", "_rank")

@@ -7,6 +7,7 @@ continuous approximation. A session is emitted once the watermark has passed its
 import uuid
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -106,12 +107,28 @@ def high_severity_stream(alerts: DataFrame, level: int = HIGH_SEVERITY) -> DataF
     return alerts.where(F.col("rule_level") >= level)
 
 
-def lateness_batches(lateness_sec: float, sink):
-    """``foreachBatch`` handler that adds the lateness class against the newest time of the micro-batch."""
+def lateness_batches(lateness_sec: float, sink, state: str | None = None):
+    """``foreachBatch`` handler that adds the lateness class against the newest time ever seen.
+
+    ``state`` is a folder in shared storage (a new one below the shared folder if not given). Batch ``n`` leaves the newest
+    time up to itself there as one row, which batch ``n + 1`` reads; a batch that is run again finds the same.
+    """
     allowed = int(lateness_sec * MICROS)
+    place = [state]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if place[0] is None:
+            place[0] = _folder(spark, "newest")
         newest = batch.agg(F.max(F.unix_micros("timestamp")).alias("newest"))
+        if batch_id > 0:
+            try:
+                before = spark.read.schema("newest long").parquet(f"{place[0]}/batch-{batch_id - 1}")
+                newest = newest.unionByName(before).agg(F.max("newest").alias("newest"))
+            except AnalysisException:  # the stream began with a later batch
+                pass
+        newest.coalesce(1).write.mode("overwrite").parquet(f"{place[0]}/batch-{batch_id}")
+        newest = spark.read.schema("newest long").parquet(f"{place[0]}/batch-{batch_id}")
         behind = F.col("newest") - F.unix_micros("timestamp")
         label = F.when(behind <= allowed, "on_time").when(behind <= 2 * allowed, "late_ok").otherwise("late_drop")
         sink(batch.crossJoin(F.broadcast(newest)).withColumn("lateness", label).drop("newest"), batch_id)
@@ -122,10 +139,15 @@ def score_batches(gap_minutes: int, scorer, sink):
     """``foreachBatch`` handler: fold a micro-batch, derive features, apply a ``DataFrame -> DataFrame`` scorer with a
     ``score`` column, decide, and hand the escalated meta-alerts to ``sink(frame, batch_id)``."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        metas = features.enrich(sessions.fold_in_order(batch, gap_minutes * MINUTE_US))
-        scored = scorer(metas)
-        decided = decide.decide(scored, decide.threshold(scored))
-        sink(decide.escalated(decided), batch_id)
+        kept: list[DataFrame] = []
+        try:
+            metas = features.enrich(sessions.fold_in_order(batch, gap_minutes * MINUTE_US), kept)
+            scored = scorer(metas)
+            decided = decide.decide(scored, decide.threshold(scored))
+            sink(decide.escalated(decided), batch_id)
+        finally:
+            for frame in kept:
+                frame.unpersist()
     return handle
 
 

@@ -32,7 +32,7 @@ def test_parse_and_reject(spark):
     assert first.timestamp_utc.isoformat() == "2024-01-01T00:00:00.500000"
     assert (first.rule_group_primary, first.srcip_type, first.criticality_score) == ("web", "internal", 3)
     assert (first.has_mitre, first.has_critical_mitre, first.mitre_tactic) == (1, 1, "Execution")
-    assert len(first.full_log) == 300 and second.agent_name == "unknown"
+    assert len(first.full_log) == 400 and second.agent_name == "unknown"
     assert R.rejected(parsed).count() == 6
 
 
