@@ -5,10 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertfold.llm import bpe, lm, multi_index, packing, quality, simhash, substrings, suffixes, warc
+from alertfold.llm import bpe, licenses, lm, multi_index, packing, quality, simhash, substrings, suffixes, warc
 from alertfold.llm.common import new_folder, table
 
 
+def op1_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.size("license.ids").cast("long").alias("n_sentences"), F.array_join("license.ids", "|").alias("sentence_ids"),
+        F.array_join("license.licenses", "|").alias("licenses"), F.col("license.unmatched").alias("n_unmatched"))
+
+
 def op2_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
@@ -56,6 +63,7 @@ def op10_gated_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bm25_packing, op3_warc_archive, op4_segment_tree_bpe, op5_cover_substrings, op6_inverted_multi_index, op7_simhash_tiles, op8_deep_shallow_suffixes, op9_quality_divergence,
-    op10_gated_language_model)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_license_sentences, op2_bm25_packing, op3_warc_archive, op4_segment_tree_bpe, op5_cover_substrings,
+    op6_inverted_multi_index, op7_simhash_tiles, op8_deep_shallow_suffixes, op9_quality_divergence, op10_gated_language_model)}
+ORACLES: dict[str, str] = {"op1_license_sentences": licenses.oracle("documents")}
