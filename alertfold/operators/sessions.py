@@ -297,18 +297,17 @@ def fold_in_order(alerts: DataFrame, gap_us: int, keys: list[str] = KEYS) -> Dat
     rows = with_key(alerts).withColumn("ts_us", F.unix_micros("timestamp"))
     rows = rows.withColumn("cell", F.floor(F.col("ts_us") / F.lit(gap_us)))
     atoms = value_atoms(rows, [*keys, "cell"], F.col("ts_us"))
-    # Cells of a key in order; a cell opens a session when it starts more than the gap after the newest earlier row.
+    # Cells of a key in order, one row per gap of covered time; a cell opens a session when it starts more than the gap
+    # after the newest earlier row. Atoms, which are many where a key has many addresses, find their cell by a join.
+    cells = atoms.groupBy(*keys, "cell").agg(F.min("lo_us").alias("cell_start"), F.max("hi_us").alias("cell_end"))
     in_order = Window.partitionBy(*keys).orderBy("cell")
-    atoms = atoms.select(
-        "*",
-        F.min("lo_us").over(in_order.rangeBetween(0, 0)).alias("cell_start"),
-        F.max("hi_us").over(in_order.rangeBetween(Window.unboundedPreceding, -1)).alias("newest_before"),
-    )
+    cells = cells.withColumn(
+        "newest_before", F.max("cell_end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
     opens = F.col("newest_before").isNull() | (F.col("cell_start") - F.col("newest_before") > gap_us)
     opened = F.last(F.when(opens, F.col("cell_start")), ignorenulls=True)
-    atoms = atoms.withColumn(
-        "bucket_start_us", opened.over(in_order.rangeBetween(Window.unboundedPreceding, 0)))
-    folded = roll_up(atoms, [*keys, "bucket_start_us"])
+    cells = cells.select(
+        *keys, "cell", opened.over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("bucket_start_us"))
+    folded = roll_up(atoms.join(cells, [*keys, "cell"]), [*keys, "bucket_start_us"])
     return describe(folded.withColumn("parent_start_us", F.lit(None).cast("long")), keys)
 
 
