@@ -26,8 +26,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from alertfold.llm.common import blocks_for
 
-RECORD = ("page_id long, url string, payload binary, payload_bytes long, sha1 string, record_type string, refers_to long, "
-          "refers_to_url string")
+# A row with a payload is a record to be written; one without is a note that the records of its key revisit another.
+RECORD = "page_id long, url string, sha1 string, payload binary, payload_bytes long, refers_to long, refers_to_url string"
+KEY = ("page_id", "url", "sha1")
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 DATE = "2000-01-01T00:00:00Z"  # records carry no time of their own; a fixed one keeps the archive reproducible
 MANIFEST = "_MANIFEST.json"
@@ -86,14 +87,22 @@ class _Writer(DataSourceArrowWriter):
         system, folder = fs.FileSystem.from_uri(self.folder)
         context = TaskContext.get()
         own = f"{folder}/_temporary/{context.partitionId()}-{context.taskAttemptId()}-{uuid.uuid4().hex}"
-        files, out = [], None
+        files, out, note = [], None, None
         for batch in iterator:
             for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                key = [row[c] for c in KEY]
+                if row["payload"] is None:
+                    note = key, row
+                    continue
+                row["record_type"] = "response"
+                if note is not None and note[0] == key:
+                    row |= {"record_type": "revisit", "refers_to": note[1]["refers_to"], "refers_to_url": note[1]["refers_to_url"]}
                 if out is None:
                     name = f"part-{context.partitionId():06}-{len(files):05}.warc.gz"
                     system.create_dir(own, recursive=True)
                     out, size, records, sha = system.open_output_stream(f"{own}/{name}", compression=None), 0, 0, hashlib.sha256()
-                data = gzip.compress(record_bytes(batch.slice(k, 1).to_pylist()[0]), 6, mtime=0)
+                data = gzip.compress(record_bytes(row), 6, mtime=0)
                 out.write(data)
                 sha.update(data)
                 size, records = size + len(data), records + 1
@@ -138,32 +147,32 @@ class WarcArchive(DataSource):
 
 
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One row of ``RECORD`` per row of ``pages`` (page_id, url, html).
+    """Rows of ``RECORD``: one with the payload per row of ``pages`` (page_id, url, html), and one note per key of revisits.
 
     Of pages with equal payloads of at least ``min_bytes`` bytes the one with the largest page_id is the response and the
     others revisit it; smaller ones are all responses. A null html is an empty payload. Rows that tie on the largest id are
-    responses; a row without id is the response only where none of its copies has one. Other columns are ignored.
+    responses; a row without id is the response only where none of its copies has one. Other columns are ignored. Payloads
+    don't travel to the comparison of digests; the notes, which are short, travel to the payloads' place in the archive.
     """
     rows = pages.select(
         "page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumns(
         {"payload_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
-    newest = (rows.where(F.col("payload_bytes") >= min_bytes).groupBy("sha1")
-              .agg(F.max(F.struct("page_id", "url")).alias("newest"), F.count("*").alias("n"))
+    keys = rows.where(F.col("payload_bytes") >= min_bytes).select(*KEY)
+    newest = (keys.groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("newest"), F.count("*").alias("n"))
               .where("n > 1 AND newest.page_id IS NOT NULL")
-              .select("sha1", F.col("newest.page_id").alias("newest_id"), F.col("newest.url").alias("newest_url")))
-    revisit = (F.col("payload_bytes") >= min_bytes) & F.col("newest_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest_id"))
-    return rows.join(newest, "sha1", "left").select(
-        "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "sha1",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("newest_id")).alias("refers_to"), F.when(revisit, F.col("newest_url")).alias("refers_to_url"))
+              .select("sha1", F.col("newest.page_id").alias("refers_to"), F.col("newest.url").alias("refers_to_url")))
+    notes = keys.join(newest, "sha1").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    nothing = lambda kind: F.lit(None).cast(kind)
+    return rows.select(*KEY, "payload", "payload_bytes", nothing("long").alias("refers_to"), nothing("string").alias("refers_to_url")).unionByName(
+        notes.select(*KEY, nothing("binary").alias("payload"), nothing("long").alias("payload_bytes"), "refers_to", "refers_to_url"))
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = 64 << 20) -> str:
     """Writes the archive of ``pages`` below ``folder`` (a path or URI that all executors reach) and returns its URI."""
     uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     pages.sparkSession.dataSource.register(WarcArchive)
-    order = ["page_id", "url", "sha1"]
-    (records(pages, min_bytes).repartitionByRange(blocks_for(pages, "html"), *order).sortWithinPartitions(*order)
+    (records(pages, min_bytes).repartitionByRange(blocks_for(pages, "html"), *KEY)
+     .sortWithinPartitions(*KEY, F.col("payload").isNotNull())
      .write.format("warc").option("path", uri).option("rollBytes", roll_bytes).mode("append").save())
     return uri
 
