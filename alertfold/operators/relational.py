@@ -1,6 +1,6 @@
 """Dedup, union, order, sampling and lookups on alert tables."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def dedup_alerts(df: DataFrame, alert_id: str = "wazuh_alert_id", order: tuple[str, ...] = ("arrival_us", "event_id")) -> DataFrame:
@@ -73,13 +73,13 @@ def missing_dates(df: DataFrame, date: str = "local_date") -> DataFrame:
     return every.join(days, date, "left_anti")
 
 
-def seeded_sample(df: DataFrame, n: int, seed: int, key: str = "event_id") -> DataFrame:
+def seeded_sample(df: DataFrame, n: int, seed: int, key: str = "event_id", draw: Column | None = None) -> DataFrame:
     """The ``n`` rows with the smallest seeded hash of a unique key: exact size, independent of partitioning.
 
-    A cut-off on the hash, taken from a count per hash prefix, replaces a global sort: only the rows of the prefix that
+    ``draw`` takes the place of the hash; it should spread over the whole range of a long. A cut-off on the hash, taken from a count per hash prefix, replaces a global sort: only the rows of the prefix that
     holds the cut-off are ordered.
     """
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)) if draw is None else draw)
     hashed = hashed.withColumn("_p", F.shiftright("_h", 44))
     sizes = hashed.groupBy("_p").agg(F.count("*").alias("c"))
     cut = sizes.withColumn("before", F.sum("c").over(Window.orderBy("_p")) - F.col("c"))

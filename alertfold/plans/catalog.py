@@ -469,8 +469,11 @@ add("I8_missing_dates", "local_date:s",
     """SELECT CAST(d AS DATE) AS local_date FROM (SELECT unnest(generate_series(min(local_date), max(local_date),
       INTERVAL 1 DAY)) AS d FROM local WHERE rule_level = 15) WHERE CAST(d AS DATE) NOT IN (
       SELECT local_date FROM local WHERE rule_level = 15)""")
+DRAW = f"((event_id + 42) * 48271 % {Q.P} * ((event_id + 42) * 48271 % {Q.P}) % {Q.P})"
 add("I9_seeded_sample", "event_id:l ts_us:l",
-    lambda t: I.sort_time(I.seeded_sample(t.alerts, 500, 42)).withColumn("ts_us", us("timestamp")))
+    lambda t: I.sort_time(I.seeded_sample(t.alerts, 500, 42, draw=F.expr(f"{DRAW} * 4294967296"))).withColumn(
+        "ts_us", us("timestamp")),
+    f"SELECT event_id, ts_us FROM alerts ORDER BY {DRAW}, event_id LIMIT 500")
 
 # ---- order, lateness, adaptive gap ----------------------------------------------------------------
 
@@ -486,6 +489,8 @@ add("T4_lateness_counts", "lateness:s n:l pct:d", lambda t: O.lateness_counts(O.
       FROM classified GROUP BY ALL""")
 add("T5_adaptive_gap", "event_id:l cur_dt_us:l", lambda t: adaptive.with_adaptive_gap(
     O.drop_late(O.with_lateness(t.released, 60)), 15))
+add("T6_gap_history", "eff_us:l seq:l ts_us:l dt_min:d", lambda t: adaptive.gap_history(adaptive.with_adaptive_gap(
+    O.drop_late(O.with_lateness(t.released, 60)), 15)))
 add("T6_adaptive_history", "n:l min_dt_min:d max_dt_min:d final_dt_min:d", lambda t: adaptive.gap_summary(
     adaptive.with_adaptive_gap(O.drop_late(O.with_lateness(t.released, 60)), 15)))
 
@@ -672,7 +677,14 @@ add("M10_feature_contrast", "feature:s escalate:i mean_relative:d", lambda t: M.
     """SELECT feature, escalate, round(CASE WHEN m > 0 THEN avg(value) / m ELSE 0 END, 6) AS mean_relative FROM (
       SELECT feature, escalate, value, max(abs(value)) OVER (PARTITION BY feature) AS m FROM flong JOIN scored USING (meta_id))
       GROUP BY feature, escalate, m""")
-add("M11_pca_2d", "meta_id:s pc1:d pc2:d", lambda t: forest.pca_2d(t.scaled)[0])
+
+
+def _pca(t: Tables) -> DataFrame:
+    placed, (first, second) = forest.pca_2d(t.scaled)
+    return placed.withColumns({"share1": F.lit(first), "share2": F.lit(second)})
+
+
+add("M11_pca_2d", "meta_id:s pc1:d pc2:d share1:d share2:d", _pca)
 add("M12_score_histogram", "escalate:i bin:i n:l", lambda t: M.score_histogram(t.scored),
     """SELECT escalate, least(CAST(floor(anomaly_score * 59) AS INTEGER), 58) AS bin, count(*) AS n FROM scored
       GROUP BY ALL""")

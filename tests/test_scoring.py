@@ -108,3 +108,17 @@ def test_score_metas_end_to_end(spark):
               "mitre_hit_count long, duration_sec long, rule_id_dist string, severity_dist string")
     out = {r.meta_id: r for r in score_metas(metas, trees=40, subsample=64).collect()}
     assert len(out) == 300 and out["m7"].anomaly_score == 1.0 and out["m7"].decision == "CRITICAL"
+
+
+def test_projection_matches_a_decomposition(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 4)) @ np.diag([5.0, 2.0, 0.5, 0.1]) @ np.linalg.qr(rng.standard_normal((4, 4)))[0]
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(str(k), *map(float, row)) for k, row in enumerate(x)], "meta_id string, a double, b double, c double, d double")
+    placed, shares = forest.pca_2d(df, names)
+    _, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(shares, (s ** 2 / (s ** 2).sum())[:2])
+    rows = sorted(placed.collect(), key=lambda r: int(r.meta_id))
+    for k, got in enumerate((np.array([r.pc1 for r in rows]), np.array([r.pc2 for r in rows]))):
+        want = x @ vt[k]
+        assert np.allclose(got, want) or np.allclose(got, -want)
