@@ -45,7 +45,7 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return np.tanh(x * F32(0.5)) * F32(0.5) + F32(0.5)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -126,7 +126,7 @@ class Gru:
                 dh[at] += d @ w["word"][c].T
         return log_p, dh
 
-    def score(self, texts: list[np.ndarray], lanes: int = 256, window: int = 32) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
         """Natural log probability of each text."""
         if not texts:
             return np.zeros(0)
@@ -140,7 +140,7 @@ class Gru:
             total += np.bincount(laid.text[steps, :n][real], log_p, len(texts))
         return total
 
-    def train(self, texts: list[np.ndarray], squares: dict[str, np.ndarray], rate: float = 0.1, lanes: int = 128,
+    def train(self, texts: list[np.ndarray], squares: dict[str, np.ndarray], rate: float = 0.15, lanes: int = 256,
               window: int = 32, carry: int = 1024) -> None:
         """One pass over all tokens of ``texts``, a step per window. ``squares`` holds the sums of squared gradients
         between calls. The state is carried over ``carry`` tokens, so that long texts don't run on alone."""

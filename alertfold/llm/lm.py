@@ -34,7 +34,7 @@ class Settings:
     head: int = 65536
     hidden: int = 16
     per_class: int = 32
-    rate: float = 0.1
+    rate: float = 0.15
     first_squares: float = 1e-5
     seed: int = 7
 
@@ -121,6 +121,23 @@ def train(docs: DataFrame, weights: dict[str, np.ndarray], ids: dict[bytes, int]
     return gru.unpack(np.frombuffer(bytes(models.first()["model"]), gru.F32), weights)
 
 
+def _head(counts: DataFrame, size: int) -> dict[bytes, int]:
+    """The most frequent words, at most ``size``, most frequent first: all words above a count that a histogram of at
+    most a thousand bins gives, so that no task and not the driver holds more."""
+    bins = counts.groupBy(F.floor(F.log2("c") * 16).cast("int").alias("bin")).agg(
+        F.min("c").alias("least"), F.count("*").alias("n")).collect()
+    least, held = None, 0
+    for row in sorted(bins, key=lambda r: -r["bin"]):
+        held += row["n"]
+        if held > size:
+            break
+        least = row["least"]
+    if least is None:
+        return {}
+    rows = counts.where(F.col("c") >= least).collect()
+    return {r["word"].encode(): r["c"] for r in sorted(rows, key=lambda r: (-r["c"], r["word"]))}
+
+
 def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", settings: Settings = Settings()) -> DataFrame:
     """One row per row of ``docs``: its id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
@@ -132,7 +149,7 @@ def score(docs: DataFrame, text: str = "text", id_column: str = "doc_id", settin
     counts = stored(count_words(docs.where("training")), "word-counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
-    head = {r["word"].encode(): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(settings.head).collect()}
+    head = _head(counts, settings.head)
     ends = head.pop(END_WORD.encode(), None)
     if ends is None:  # fewer training documents than the least count of the head
         ends = (counts.where(F.col("word") == END_WORD).agg(F.sum("c").alias("c")).first()["c"]) or 0
