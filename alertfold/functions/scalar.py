@@ -83,18 +83,19 @@ def group_is_mapped(rule_groups: Column) -> Column:
     return literal_map(S.GROUP_SEVERITY_CODE)[group_key(rule_groups)].isNotNull()
 
 
+def _up_to(level: Column, labels: dict[int, str], above: str) -> Column:
+    found = F.lit(above)
+    for limit in sorted(labels, reverse=True):
+        found = F.when(level <= limit, labels[limit]).otherwise(found)
+    return F.when(level.isNull(), above).otherwise(found)
+
+
 def severity_bucket(level: Column) -> Column:
-    return (
-        F.when(level <= 2, "1-2_Info").when(level <= 4, "3-4_Medium")
-        .when(level <= 6, "5-6_High").otherwise("7+_Critical")
-    )
+    return _up_to(level, S.SEVERITY_BUCKETS, S.SEVERITY_ABOVE)
 
 
 def severity_zone(level: Column) -> Column:
-    return (
-        F.when(level <= 4, "Low").when(level <= 6, "Medium")
-        .when(level <= 11, "High").otherwise("Critical")
-    )
+    return _up_to(level, S.SEVERITY_ZONES, S.ZONE_ABOVE)
 
 
 def subnet24(ip: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from alertfold.operators.features import value_counts
-from alertfold.schema import FEATURES, HIGH_SEVERITY, REFERENCE_ZONE
+from alertfold.schema import FEATURES, HIGH_SEVERITY, MESSAGE_LINES, MESSAGE_TAGS, PAYLOAD_REASON, REFERENCE_ZONE
 
 MIN_GATE_COUNT = 5
 BASE_EXPORT = [
@@ -98,7 +98,7 @@ def soar_payload(scored: DataFrame) -> DataFrame:
         F.col("agent_name").alias("agent"), "rule_groups", "alert_count", "max_severity",
         F.col("mitre_hit_count").alias("mitre_hits"), F.lit(0.0).alias("rule_entropy"),
         F.lit(0.0).alias("tactic_progression"), dev.alias("baseline_deviation"), F.col("action").alias("decision"),
-        F.format_string("score=%.4f sev=%d mitre=%d entropy=0.000 dev=%.3f", F.col("anomaly_score"),
+        F.format_string(PAYLOAD_REASON, F.col("anomaly_score"),
                         F.col("max_severity"), F.col("mitre_hit_count"), F.round(dev, 3)).alias("reason"),
     )
     return escalated(scored).select("meta_id", F.to_json(body).alias("payload"))
@@ -108,15 +108,15 @@ def notification_text(scored: DataFrame, severity_max: int = 15, zone: str = REF
     """Four-line message per escalated meta-alert, with clock times in the zone that is printed."""
     clock = lambda us: F.coalesce(
         F.date_format(F.from_utc_timestamp(F.timestamp_micros(us), zone), "HH:mm"), F.lit("??:??"))
-    tag = F.when(F.col("decision").isin("CRITICAL", "SUSPICIOUS"), "[ESCALATE]").otherwise("[DIGEST]")
+    tag = F.when(F.col("decision").isin("CRITICAL", "SUSPICIOUS"), MESSAGE_TAGS[0]).otherwise(MESSAGE_TAGS[1])
     minutes = F.greatest(F.lit(1).cast("long"), F.floor(F.col("duration_sec") / 60))
     text = F.concat_ws(
         "\n",
-        F.format_string("%s %s | %s | %s", tag, "agent_name", "rule_groups", "decision"),
-        F.format_string("Severity: %d/%d  |  %d alerts dalam %d menit", "max_severity", F.lit(severity_max),
+        F.format_string(MESSAGE_LINES[0], tag, "agent_name", "rule_groups", "decision"),
+        F.format_string(MESSAGE_LINES[1], "max_severity", F.lit(severity_max),
                         "alert_count", minutes),
-        F.format_string("Mulai: %s %s  |  Selesai: %s %s", clock("start_us"), F.lit(label), clock("end_us"), F.lit(label)),
-        F.format_string("Score anomali: %.2f", F.round("anomaly_score", 2)),
+        F.format_string(MESSAGE_LINES[2], clock("start_us"), F.lit(label), clock("end_us"), F.lit(label)),
+        F.format_string(MESSAGE_LINES[3], F.round("anomaly_score", 2)),
     )
     return escalated(scored).select("meta_id", text.alias("message"))
 

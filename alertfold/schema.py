@@ -42,6 +42,10 @@ RAW_ALERT = T.StructType([
     T.StructField("manager", T.StructType([T.StructField("name", T.StringType())])),
 ])
 
+# --------------------------------------------------------------------------------------------------
+# These must equal the values the alert source and its analysts use for results to match.
+# --------------------------------------------------------------------------------------------------
+
 # Column order of the two ingest layers.
 MINIMAL_COLUMNS = [
     "wazuh_alert_id", "timestamp_utc", "agent_id", "agent_name", "rule_group_primary", "rule_level", "rule_id",
@@ -82,10 +86,6 @@ FEATURES = [
     "alert_velocity", "mitre_hit_count", "rule_concentration", "severity_spread", "deviation_from_baseline",
 ]
 
-# --------------------------------------------------------------------------------------------------
-# These must equal the values the alert source and its analysts use for results to match.
-# --------------------------------------------------------------------------------------------------
-
 # Known agents, their ids and the criticality label of each.
 AGENT_IDS = {
     "soc-1": "001", "pusatkarir": "002", "dfir-iris": "003", "siput": "004",
@@ -131,3 +131,17 @@ SWEEP_MINUTES = [1, 5, 10, 15, 20, 30, 45, 60]
 NOISE_RATES = [0.0, 0.05, 0.10, 0.20, 0.30]
 HIGH_SEVERITY = 7
 REFERENCE_ZONE = "Asia/Makassar"
+
+# Upper level of each severity bucket and zone, and the label above the last.
+SEVERITY_BUCKETS, SEVERITY_ABOVE = {2: "1-2_Info", 4: "3-4_Medium", 6: "5-6_High"}, "7+_Critical"
+SEVERITY_ZONES, ZONE_ABOVE = {4: "Low", 6: "Medium", 11: "High"}, "Critical"
+
+# Wording of outgoing messages.
+PAYLOAD_REASON = "score=%.4f sev=%d mitre=%d entropy=0.000 dev=%.3f"
+MESSAGE_TAGS = ("[ESCALATE]", "[DIGEST]")
+MESSAGE_LINES = (
+    "%s %s | %s | %s",
+    "Severity: %d/%d  |  %d alerts dalam %d menit",
+    "Mulai: %s %s  |  Selesai: %s %s",
+    "Score anomali: %.2f",
+)
