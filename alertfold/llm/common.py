@@ -12,7 +12,7 @@ from alertfold.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES, LEAST_BLOCKS = 24 << 20, 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +37,9 @@ def let(value: Column, body) -> Column:
 
 
 def blocks_for(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    """How many blocks hold the texts at ``block_bytes`` each; at least as many as there are shuffle partitions."""
+    """How many blocks hold the texts at ``block_bytes`` each, at least ``LEAST_BLOCKS``."""
     total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
+    return max(LEAST_BLOCKS, -(-total // block_bytes))
 
 
 def free_name(df: DataFrame, name: str) -> str:
