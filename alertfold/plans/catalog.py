@@ -197,8 +197,8 @@ add("S4_read_alert_csv", " ".join(f"{c}:s" for c in S.FULL_COLUMNS), _csv_roundt
 
 def _meta_csv(t: Tables) -> DataFrame:
     path = t.folder("meta-csv")
-    K.write_summary(t.metas.select("meta_id", X.iso_utc(F.col("start_us")).alias("start_time"),
-                                   X.iso_utc(F.col("end_us")).alias("end_time"), "alert_count"), path)
+    K.write_meta_csv(t.metas.select("meta_id", X.iso_utc(F.col("start_us")).alias("start_time"),
+                                    X.iso_utc(F.col("end_us")).alias("end_time"), "alert_count"), path)
     back = R.read_meta_csv(t.spark, path, {
         "meta_id": "string", "start_time": "string", "end_time": "string", "alert_count": "bigint"})
     return back.select("meta_id", (us("start_time") / 1_000_000).alias("start_s"),

@@ -31,7 +31,7 @@ def alerts_from(ev: DataFrame, compress: int = 60) -> DataFrame:
     elapsed = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))")
     names = F.array(*[F.lit(n) for n in AGENT_NAMES])
     agent_no = (F.col("user_id") % 8).cast("int")
-    octet = (F.col("user_id") % 250).cast("string")
+    octet = (F.col("user_id") % 25).cast("string")  # so that agents share addresses
     ip_kind = F.col("event_id") % 4
     ev = ev.select("event_id", "user_id", "event_type", "value", elapsed.alias("elapsed_us"))
     ev = ev.withColumn("off_us", F.expr(f"elapsed_us div {compress}") if compress > 1 else F.col("elapsed_us"))

@@ -27,8 +27,8 @@ def _alerts(divide: int) -> str:
            WHEN 'purchase' THEN 'syscheck_file' ELSE 'sudo' END AS rule_groups,
       least(15, CAST(floor(value / 20) AS INTEGER)) AS rule_level,
       CAST(1000 + event_id % 7 AS INTEGER) AS rule_id,
-      CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '10.0.0.' || (user_id % 250)
-           WHEN 2 THEN '192.168.1.' || (user_id % 250) ELSE '203.0.113.' || (user_id % 250) END AS srcip,
+      CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '10.0.0.' || (user_id % 25)
+           WHEN 2 THEN '192.168.1.' || (user_id % 25) ELSE '203.0.113.' || (user_id % 25) END AS srcip,
       CASE WHEN event_id % 11 = 0 THEN 'Execution|Persistence' WHEN event_id % 7 = 0 THEN 'Discovery'
            ELSE '' END AS mitre_tactic,
       CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS is_synthetic,

@@ -66,7 +66,12 @@ def write_payloads(payloads: DataFrame, path: str) -> None:
 
 def write_summary(df: DataFrame, path: str) -> None:
     """A small, already aggregated table as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)  # only the finished rows meet in one task
+
+
+def write_meta_csv(metas: DataFrame, path: str) -> None:
+    """Meta-alerts as CSV files with a header each, as many as there are tasks."""
+    metas.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_scored(scored: DataFrame, path: str, columns: list[str]) -> None:
