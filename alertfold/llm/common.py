@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from alertfold.session import shared_folder
 
-# A word is a maximal run of bytes other than these; bytes.split() cuts at exactly the same six.
-WORD = r"[^\x20\x09-\x0D]+"
+# What words lie between; bytes.split() cuts at exactly these six bytes.
 SPACES = r"[\x20\x09-\x0D]+"
 
 BLOCK_BYTES, LEAST_BLOCKS = 24 << 20, 32

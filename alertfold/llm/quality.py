@@ -38,7 +38,6 @@ COMMON_WORDS = {
     },
 }
 # Shares of the characters of words: lower-case and caseless letters, upper-case letters, digits, punctuation, other signs.
-CLASSES = ("letter", "upper", "digit", "punct", "sign")
 CLASS_SHARES = {
     "de": (91.0, 5.5, 0.5, 2.8, 0.2), "en": (93.0, 3.0, 0.8, 3.0, 0.2),
     "es": (93.5, 2.8, 0.6, 2.9, 0.2), "fr": (93.0, 2.8, 0.6, 3.4, 0.2),
