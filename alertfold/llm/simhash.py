@@ -9,6 +9,7 @@ tile pair gives a spanning forest of its links, never all of them, and the fores
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -30,14 +31,25 @@ _PLACE = np.arange(8) * 256
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
     """A bit is set if it is set in over half of the XXH64 values of the text's shingles of ``words`` words, repeats
     included. A shorter text is one shingle; one without words has fingerprint 0. Only A-Z are lower-cased."""
-    found = text.encode().translate(_LOWER).split()
-    if not found:
+    values = _shingles(text, words, seed)[1]
+    if not values:
         return 0
+    return _votes(values)
+
+
+def _shingles(text: str, words: int, seed: int) -> tuple[bytes, list[int]]:
+    """The words of ``text`` with one space between them, and the XXH64 values of their shingles."""
+    found = text.encode().translate(_LOWER).split()
     body = b" ".join(found)
+    if not found:
+        return body, []
     ends = list(accumulate(len(w) + 1 for w in found))
     starts = [0, *ends[:-1]]
     hashed = xxhash.xxh64_intdigest
-    values = [hashed(body[a:b - 1], seed) for a, b in zip(starts, ends[words - 1:] or ends[-1:])]
+    return body, [hashed(body[a:b - 1], seed) for a, b in zip(starts, ends[words - 1:] or ends[-1:])]
+
+
+def _votes(values: list[int]) -> int:
     bytes_ = np.array(values, "<u8").view(np.uint8).reshape(-1, 8)
     votes = np.bincount((bytes_ + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int.from_bytes(np.packbits(2 * votes.ravel() > len(values), bitorder="little").tobytes(), "little")
@@ -147,6 +159,153 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     return fps.join(named, "fp").select(id_column, "fp", "component_id")
 
 
+def _nodes(numbered: DataFrame, order: str, text: str, words: int) -> DataFrame:
+    """One row per different word sequence of ``numbered``: ``first``, the smallest ``order`` that has it, ``node``, the
+    row number in there, the fingerprint ``fp`` and ``n``, how many different shingles it has."""
+    docs = numbered.select(F.col(order).alias("first"), text)
+    schema = T.StructType([docs.schema["first"], *T.StructType.fromDDL("digest binary, fp long, n int").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_shingles(t or "", words, 42) for t in batch.column(1).to_pylist()]
+            prints = np.array([_votes(values) if values else 0 for _, values in found], "<u8")
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([xxhash.xxh3_128_digest(body) for body, _ in found], pa.binary()),
+                pa.array(prints.view("<i8")), pa.array([len(set(values)) for _, values in found], pa.int32())], schema.fieldNames())
+
+    return docs.mapInArrow(run, schema).groupBy("digest", "fp", "n").agg(F.min("first").alias("first")).select(
+        F.col("first.row").alias("node"), "fp", "n", "first")
+
+
+def _span(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Unites the ends of the pairs (a, b) in ``label``; positions of pairs that span what is new, early ones first."""
+    taken, left = [], np.arange(len(a))
+    while True:
+        x, y = _root(label, a[left]), _root(label, b[left])
+        apart = x != y
+        left, x, y = left[apart], x[apart], y[apart]
+        if not len(left):
+            return np.concatenate(taken) if taken else left
+        high, at = np.unique(np.maximum(x, y), return_index=True)
+        label[high] = np.minimum(x, y)[at]
+        taken.append(left[at])
+
+
+def near_pairs(left: np.ndarray, right: np.ndarray, same: bool, radius: int, share: float, every: bool) -> Iterator[tuple]:
+    """Pairs of nodes of two tiles (columns node, root, fp, n) that differ in at most ``radius`` bits, whose shingle
+    counts allow a Jaccard similarity of ``share`` and whose roots differ: ``every`` one, or those that span the others,
+    close ones first. ``same``: both tiles are one."""
+    left, right = (t[:, np.argsort(t[3], kind="stable")] for t in (left, right))
+    label = np.arange(left.shape[1] + (0 if same else right.shape[1]))
+    offset, at = 0 if same else left.shape[1], 0
+    while at < left.shape[1]:
+        least = np.searchsorted(right[3], np.ceil(share * left[3, at] - 1e-9))
+        step = max(1, _PAIRS_AT_ONCE // max(1, right.shape[1] - least))
+        rows = left[:, at:at + step]
+        most = np.searchsorted(right[3], np.floor(rows[3, -1] / share + 1e-9), side="right")
+        others = right[:, least:most]
+        bits = np.bitwise_count(rows[2].view(np.uint64)[:, None] ^ others[2].view(np.uint64)[None, :])
+        r, c = np.nonzero(bits <= radius)
+        n, m = rows[3][r], others[3][c]
+        fit = (np.minimum(n, m) >= share * np.maximum(n, m) - 1e-9) & (rows[1][r] != others[1][c])
+        if same:
+            fit &= rows[0][r] < others[0][c]
+        r, c = r[fit], c[fit]
+        if not every:
+            close = np.argsort(bits[r, c], kind="stable")
+            r, c = r[close], c[close]
+            spanning = _span(label, at + r, offset + least + c)
+            r, c = r[spanning], c[spanning]
+        yield rows[0][r], others[0][c]
+        at += step
+
+
+def _candidates(nodes: DataFrame, radius: int, share: float, every: bool, tile: int) -> DataFrame:
+    """Pairs (u, v) of :func:`near_pairs` over all tiles. A tile holds nodes of one size class; the shingle counts of
+    neighbouring classes differ by the factor ``share``, so that only a class and the next one meet."""
+    nodes = nodes.where("n > 0").withColumn("p", F.floor(F.log("n") / math.log(1 / share)).cast("int"))
+    sizes = {r["p"]: r["size"] for r in nodes.groupBy("p").agg(F.count("*").alias("size")).collect()}  # one row per class
+    slots = [-(-sizes.get(p, 0) // tile) for p in range(max(sizes, default=0) + 2)]
+    slots_of = lambda p: F.get(F.array(*map(F.lit, slots)), p)
+    columns = ("node", "root", "fp", "n")
+    tiles = (nodes.select(*columns, "p", F.pmod(F.xxhash64("node"), slots_of(F.col("p"))).cast("int").alias("i"))
+             .groupBy("p", "i").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+             .select("p", "i", F.array(*[F.col("rows")[c].cast("array<long>") for c in columns]).alias("rows")))
+    partners = F.flatten(F.transform(F.array(F.col("p"), F.col("p") + 1), lambda q: F.when(slots_of(q) > 0, F.transform(
+        F.sequence(F.lit(0), slots_of(q) - 1), lambda j: F.struct(q.alias("q"), j.alias("j")))).otherwise(
+            F.array().cast("array<struct<q:int,j:int>>"))))
+    mine = tiles.select("p", "i", F.col("rows").alias("mine"), F.explode(partners).alias("to")).select(
+        "p", "i", "mine", "to.q", "to.j").where("q > p OR j >= i")
+    theirs = tiles.select(F.col("p").alias("q"), F.col("i").alias("j"), F.col("rows").alias("theirs"))
+    met = mine.join(theirs, ["q", "j"]).select("mine", "theirs", F.expr("p = q AND i = j").alias("same"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = lambda x: x.values.flatten().to_numpy(zero_copy_only=False).reshape(4, -1)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sides = matrix(batch.column(0)[k]), matrix(batch.column(1)[k])
+                for u, v in near_pairs(*sides, batch.column(2)[k].as_py(), radius, share, every):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return met.mapInArrow(run, "u long, v long")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
+    """Pairs whose sets of shingles, compared as words, have a Jaccard similarity of at least ``share``."""
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = texts.join(needed, "node", "left_semi")
+    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"{name}_text"))
+
+    def shingles(text: str | None) -> set[bytes]:
+        found = (text or "").encode().translate(_LOWER).split()
+        return {b" ".join(found[k:k + words]) for k in range(max(1, len(found) - words + 1))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, one = None, set()
+        for batch in batches:
+            keep = []
+            for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if u != last:
+                    last, one = u, shingles(a.as_py())
+                other = shingles(b.as_py())
+                both = len(one & other)
+                keep.append(both >= share * (len(one) + len(other) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
+
+
+def keep_one_similar(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 5, radius: int = 13,
+                     share: float = 0.8, tile: int = TILE) -> DataFrame:
+    """``docs`` with one row, chosen as in :func:`keep_one`, of each group that links join. A link needs at most ``radius``
+    differing bits and a Jaccard similarity of the sets of shingles of ``words`` words of at least ``share``, which is
+    computed on the texts; texts with equal words, or with none, are copies.
+
+    A first pass tests the pairs that span all candidates, a second one every candidate pair whose ends are still apart.
+    So no link is missed, while a large group of near copies costs about as many tests as it has rows.
+    """
+    row = free_name(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    order = free_name(numbered, "order")
+    ordered = numbered.withColumn(
+        order, F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col(row).alias("row")))
+    nodes = stored(_nodes(ordered, order, text, words), "nodes")
+    texts = numbered.select(F.col(row).alias("node"), F.col(text).alias("text"))
+
+    def tested(marked: DataFrame, every: bool) -> DataFrame:
+        pairs = stored(_candidates(marked, radius, share, every, tile), "pairs")
+        return stored(_confirmed(pairs, texts, words, share), "confirmed")
+
+    rooted = lambda found: nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    spanning = tested(nodes.withColumn("root", F.col("node")), False)
+    roots = rooted(components(spanning))
+    others = tested(roots, True)
+    if not others.isEmpty():
+        roots = rooted(components(spanning.unionByName(others)))
+    kept = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)
+
+
 def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 4, radius: int = 4) -> DataFrame:
     """``docs`` with one row of each component of :func:`near_duplicates`: that with the smallest id (ids come before null,
     equal ids in the order of the stored table). All columns stay as they are."""

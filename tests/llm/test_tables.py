@@ -102,6 +102,54 @@ def test_one_of_each_group_is_kept(awkward):
     assert got == Counter(None if none else i for none, i in smallest.values())
 
 
+def similar(a, b, size=5):
+    one, two = ({tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} for w in (a.split(), b.split()))
+    return len(one & two) / len(one | two)
+
+
+@pytest.mark.parametrize("tile", [1 << 16, 7])
+def test_near_copies_are_confirmed(spark, tile):
+    """Groups by exact similarity, with edits of all strengths around the limit; distances reach well beyond 4 bits."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.randrange(60, 200))]
+        for edits in (0, 0, 1, 2, 3, 4, 5, 6, 8, 12):
+            new = list(base)
+            for _ in range(edits):
+                new[rng.randrange(len(new))] = f"e{rng.randrange(10 ** 6)}"
+            texts.append(" ".join(new))
+    texts += ["one two", "One  two", "one three", "", "  "]
+    lowered = [t.lower() for t in texts]
+    prints = np.array([plain_fingerprint(t, 5) for t in texts], np.uint64)
+    bits = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    near = np.array([[a.split() == b.split() or bool(a.split() and b.split()) and bits[i, j] <= 13 and similar(a, b) >= 0.8
+                      for j, b in enumerate(lowered)] for i, a in enumerate(lowered)])
+    assert (near & (bits > 4)).sum() > 20 and (~near & (bits <= 13)).sum() > 20
+    label = np.arange(len(texts))
+    for _ in texts:
+        label = np.array([label[near[k]].min() for k in range(len(texts))])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = simhash.keep_one_similar(frame, tile=tile)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(label.tolist()))
+    assert simhash.keep_one_similar(frame.where("false")).count() == 0
+
+
+def test_pipeline_drops_copies_beyond_four_bits(spark):
+    rng = random.Random(0)
+    while True:
+        base = [f"w{rng.randrange(900)}" for _ in range(100)]
+        edited = list(base)
+        for at in (20, 60):
+            edited[at] = f"e{rng.randrange(900)}"
+        a, b = " ".join(base), " ".join(edited)
+        bits = [(plain_fingerprint(a, k) ^ plain_fingerprint(b, k)).bit_count() for k in (4, 5)]
+        if bits[0] > 4 and bits[1] <= 13 and similar(a, b) >= 0.8:
+            break
+    frame = spark.createDataFrame([(1, a), (2, b), (3, "another text of some words")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()) == [1, 3]
+
+
 # --- repeated passages
 
 def plain_cut(items, window):
