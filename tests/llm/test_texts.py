@@ -76,6 +76,20 @@ def test_quality_verdicts(spark):
     assert found[2]["class_distance"] > 0.25 and found[3]["class_distance"] > 0.25 and not found[3]["kept"]
 
 
+def test_text_without_common_words_is_rejected(spark):
+    rng = random.Random(2)
+    for lang, known in quality.COMMON_WORDS.items():
+        text = lambda share: " ".join(
+            rng.choice(list(known)) if k % 100 < share else "".join(rng.choice("abcdefghij") for _ in range(7)) for k in range(300))
+        rows = [(share, text(share), lang) for share in (0, 2, 12, 25, 40)] + [(100, text(0), None)]
+        found = {r["share"]: r["quality"] for r in quality.judge(spark.createDataFrame(rows, "share long, text string, lang string")).collect()}
+        assert {k: q["kept"] for k, q in found.items()} == {0: False, 2: False, 12: True, 25: True, 40: True, 100: True}
+        assert not any(q["base_failed"] or (q["class_distance"] or 0) > 0.25 for q in found.values())
+        total = sum(known.values())
+        assert all(found[k]["common_distance"] == pytest.approx(divergence([k, 100 - k], [total, 100 - total])) for k in (0, 2, 12, 25, 40))
+        assert found[100]["common_distance"] is None
+
+
 def test_quality_is_native(spark):
     plan = quality.judge(spark.range(9).selectExpr("cast(id as string) AS text", "'en' AS lang"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
