@@ -10,6 +10,7 @@ that one is dealt out to sequences whose lengths are powers of two and need no p
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ PIECE = "start long, length long, ids binary, doc_tokens long, sequence_id long,
 @cache
 def _encoder(path: str) -> WordEncoder:
     """An encoder with the ids of the tokenizer file at ``path``, a byte-level BPE without normaliser whose ids follow the
-    order of its merges; the strings of its special tokens are ordinary text."""
+    order of its merges; it knows no added tokens."""
     import public_tokenizers
     import tiktoken
     with open(path, encoding="utf-8") as file:
@@ -49,6 +50,27 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(lambda texts: [array("I", encode(t)).tobytes() for t in texts])
 
 
+@cache
+def _added(path: str) -> tuple[re.Pattern | None, dict[str, bytes]]:
+    """What finds the added tokens of the tokenizer file at ``path`` in a text, and their ids as bytes."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError(f"{path}: added tokens that look at their neighbours are not supported")
+    ids = {t["content"]: t["id"].to_bytes(4, "little") for t in sorted(tokens, key=lambda t: -len(t["content"]))}
+    return re.compile("(" + "|".join(map(re.escape, ids)) + ")") if ids else None, ids
+
+
+def _encode(path: str, texts: list[str], added_tokens: bool) -> list[bytes]:
+    """Ids of texts; with ``added_tokens``, texts are cut at the strings of the file's added tokens, which have their own ids."""
+    encoder, (pattern, own) = _encoder(path), _added(path) if added_tokens else (None, {})
+    if pattern is None:
+        return encoder(texts)
+    cut = [pattern.split(t) for t in texts]  # every second part is an added token
+    ids = iter(encoder([part for parts in cut for part in parts[::2]]))
+    return [b"".join(own[part] if k % 2 else next(ids) for k, part in enumerate(parts)) for parts in cut]
+
+
 class ShardIndex:
     """BM25 postings of one shard, ``k1`` and ``b`` as usual. Words with an inverse document frequency of 0 or less, and
     words of a single document, rank nothing and have no postings."""
@@ -140,10 +162,11 @@ def _fill(texts: list[str], ids: list[bytes], base: int, packer: _Packer) -> Ite
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-         window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
+         window: int = WINDOW, shard_docs: int = SHARD_DOCS, added_tokens: bool = False) -> DataFrame:
     """Pieces of documents laid out in sequences of ``window`` ids: the columns ``keep`` and those of ``PIECE``.
 
-    A document's ids are those of its text and ``end_id`` (a null or empty text has that id alone). Every id is in exactly
+    A document's ids are those of its text and ``end_id`` (a null or empty text has that id alone). With ``added_tokens``,
+    strings of the tokenizer file's added tokens become their ids, as in ``tokenizers``; else they are ordinary text. Every id is in exactly
     one piece; ``ids`` holds a piece's ids as little-endian unsigned 32-bit integers. ``start`` counts the document's ids
     before the piece, ``offset`` the sequence's. Every sequence has ``window`` ids or a power of two, so nothing is padded.
     No shuffle: a partition of ``docs`` is packed by itself in shards, so memory is bounded by a shard, and sequence
@@ -154,7 +177,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text",
     schema = T.StructType(fields + T.StructType.fromDDL(PIECE).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = _encoder(tokenizer_path), _Packer(window, TaskContext.get().partitionId() << 40)
+        packer = _Packer(window, TaskContext.get().partitionId() << 40)
         end = end_id.to_bytes(4, "little")
         held: dict[int, list] = {}  # the kept columns of rows with open pieces, by row number
         done = 0
@@ -181,7 +204,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text",
                 shard = batch.slice(at, size)
                 texts = [t or "" for t in shard.column(len(keep)).to_pylist()]
                 held.update(enumerate(zip(*(c.to_pylist() for c in shard.columns[:len(keep)])), done))
-                pieces = list(_fill(texts, [x + end for x in encoder(texts)], done, packer))
+                pieces = list(_fill(
+                    texts, [x + end for x in _encode(tokenizer_path, texts, added_tokens)], done, packer))
                 if pieces:
                     yield rows_out(pieces)
                 still = {p[0] for p in packer.open}

@@ -18,7 +18,7 @@ def op1_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, added_tokens=True)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

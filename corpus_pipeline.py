@@ -49,7 +49,7 @@ def _without_broken(column: str):
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, added_tokens=True)
 
 
 STAGES = [

@@ -151,6 +151,20 @@ def test_packing(awkward, nothing, window, shard):
     assert packing.pack(nothing, TOKENIZER, 1).count() == 0
 
 
+def test_added_tokens_have_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+    model = Tokenizer.from_file(TOKENIZER)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "x <|endoftext|", "\n <|endoftext|>  y ", "plain text"]
+    texts += [t or "" for _, t, _ in awkward_texts()]
+    expected = {k: [np.array([*model.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()] for k, t in enumerate(texts)}
+    assert np.array([64, 220, 50256, 275, 1], "<u4").tobytes() == expected[0][0]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_pieces(packing.pack(frame, TOKENIZER, 1, added_tokens=True).collect(), expected, 2048)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    whole = {r["doc_id"]: r["doc_tokens"] for r in queries.op2_bm25_packing(spark, str(tmp_path)).collect()}
+    assert whole == {k: len(ids) // 4 for k, (ids,) in expected.items()}
+
+
 def test_bm25_ranking():
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 30))) for _ in range(60)]
