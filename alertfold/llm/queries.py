@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertfold.llm import bpe, licenses, lm, multi_index, packing, quality, simhash, substrings, suffixes, warc
-from alertfold.llm.common import new_folder, table
+from alertfold.llm import (
+    bpe, laesa, licenses, lm, multi_index, packing, quality, simhash, substrings, suffixes, url_filter, vantage, warc)
+from alertfold.llm.common import new_folder, stored, table
 
 
 def op1_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,36 @@ def op10_gated_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_url_ngram_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "judged.*")
+
+
+def op12_laesa_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = laesa.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    coded = stored(coded.select("vec_id", "label", "coded.*"), "codes")
+    # Sums are formed before rows meet them: a label that many rows have is one row of the small side.
+    sums = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    return coded.join(sums, F.col("label").eqNullSafe(F.col("of"))).select(
+        "vec_id", "code", "error", "label_error", F.sha2(F.lit(laesa.flat_text(books)).cast("binary"), 256).alias("codebooks_sha256"))
+
+
+def op13_vantage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = vantage.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, seed=2)
+    found = stored(found.select("vec_id", "clustered.*"), "clusters")
+    sums = dict(found.groupBy("cluster").agg(F.sum("distance")).collect())  # at most one row per centroid
+    of = lambda values: F.get(F.array(*values), F.col("cluster"))
+    if not len(centroids):
+        return found.select("vec_id", "cluster", "distance", *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("cluster_inertia", "long"), ("inertia", "long"), ("centroid_sha256", "string"))])
+    return found.select(
+        "vec_id", "cluster", "distance", of([F.lit(sums.get(c, 0)).cast("long") for c in range(len(centroids))]).alias("cluster_inertia"),
+        F.lit(sum(sums.values())).cast("long").alias("inertia"),
+        of([F.lit(vantage.fingerprint(c)) for c in centroids]).alias("centroid_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_sentences, op2_bm25_packing, op3_warc_archive, op4_segment_tree_bpe, op5_cover_substrings,
-    op6_inverted_multi_index, op7_simhash_tiles, op8_deep_shallow_suffixes, op9_quality_divergence, op10_gated_language_model)}
-ORACLES: dict[str, str] = {"op1_license_sentences": licenses.oracle("documents")}
+    op6_inverted_multi_index, op7_simhash_tiles, op8_deep_shallow_suffixes, op9_quality_divergence, op10_gated_language_model, op11_url_ngram_filter, op12_laesa_codes, op13_vantage_clusters)}
+ORACLES: dict[str, str] = {
+    "op1_license_sentences": licenses.oracle("documents"), "op11_url_ngram_filter": url_filter.oracle("pages"),
+    "op12_laesa_codes": laesa.oracle("embeddings"), "op13_vantage_clusters": vantage.oracle("embeddings", k=40, rounds=5)}
