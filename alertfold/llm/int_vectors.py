@@ -13,8 +13,9 @@ LIMIT = 1 << 25
 
 
 def floored(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of every component, as ints."""
-    return F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("int"))
+    """floor(scale * x) of every component, as ints; null where a component is not within ``LIMIT``."""
+    return F.transform(vector, lambda x: F.when(
+        F.abs(x.cast("double")) * scale < LIMIT, F.floor(F.lit(scale) * x.cast("double")).cast("int")))
 
 
 def sound(vector: Column, scale: int = 256) -> Column:

@@ -31,7 +31,11 @@ track-ads.example.net adtrack.example.org m.click-track.example.net tracker-ads.
 spam-mail.example.org www.spam-links.example.net link-farm.example.org m.linkfarm.example.net content-farm.example.org
 spam-seo.example.net farm-clicks.example.org click-farm.example.net spamfarm.test warez-crack.example.org
 www.crack-keys.example.net free-crack.example.org keygen-warez.example.net phish-login.example.org
-m.login-verify-bank.example.net payday-loans.example.org fake-replica.example.net""".split()
+m.login-verify-bank.example.net payday-loans.example.org fake-replica.example.net replica-watches.example.org
+cheap-replica.example.net fake-watches.test free-viagra.example.org buy-viagra.example.net poker-bets.example.net
+www.poker-casino.example.org slots-casino.example.net bonus-slots.example.org jackpot-win.example.net verify-login.example.net
+phish-bank.example.org crack-warez.example.org m.keygen-crack.example.net porn-cams.example.net adult-porn.example.org
+sex-cams.example.org sex-dating.example.net money-loans.example.net cash-loans.example.org spam-ads.example.org""".split()
 ALLOWED = """example.org www.example.org example.net www.example.net blog.example.net m.example.org news.example.org
 www.library.example.net city-library.example.org m.museum.example.net blog.garden.example.org recipes.example.net
 www.weather.example.org weather-maps.example.net open-maps.example.org university.example.net www.history.example.org
@@ -43,10 +47,16 @@ blog.thermal.example.net m.thesis.example.org theory.example.net www.nation.exam
 blog.education.example.org m.translation.example.net the-shire.example.org thatch.example.net www.harvest.example.org
 bakery.example.net blog.carpentry.example.org m.river.example.net hill-walks.example.org wiki.example.net
 forum.example.org www.archive.example.net blog.letters.example.org m.radio.example.net rail-times.example.org
-airport.example.net www.encyclopedia.example.org blog.chess.example.net trains.test birds.test""".split()
+airport.example.net www.encyclopedia.example.org blog.chess.example.net trains.test birds.test
+www.cathedral.example.net farmers-market.example.org m.gardening.example.org window-makers.example.net blog.winter.example.org
+alphabet.example.net www.betterhomes.example.org loan-library.example.net m.adultlearning.example.org tracks.example.net
+cashmere-knits.example.org www.essex.example.net blog.mountains.example.net newspaper.example.org m.cinema.example.net
+www.astronomy.example.org poetry.example.net choir.example.org blog.teachers.example.org m.students.example.net
+research.example.org www.engineering.example.net kitchen.example.org blog.weaving.example.net m.pottery.example.org
+lighthouse.example.net www.harbour.example.org village.example.net blog.rowing.example.org m.climbing.example.net""".split()
 PATHS = ["/en/1234", "/de/99/", "/fr/4321.html", "/es/7", "/", "/en/803.html", "/de/5", "", "/index.html"]
 
-SIZES, BUCKETS, ROUNDS, RATE, DECAY, PRIOR, MOST_LABELLED = (3, 4), 65536, 200, 20.0, 0.0003, -1.0, 2000
+SIZES, BUCKETS, ROUNDS, RATE, DECAY, PRIOR, MOST_LABELLED = (2, 3, 4), 65536, 200, 20.0, 0.0003, -1.0, 2000
 PRIME, STEP = 2147483647, 1000003
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -44,6 +44,8 @@ def build(centroids: np.ndarray, leaf: int = LEAF) -> list[Node]:
         order = np.argsort(far, kind="stable")
         nodes[me].centroids = [vantage]
         for side in np.array_split(order, 2):
+            if not len(side):
+                continue
             nodes[me].children.append((grow(rest[side].tolist()), float(far[side].min()), float(far[side].max())))
         return me
 
