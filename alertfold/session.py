@@ -1,5 +1,7 @@
 """Session settings the operators rely on."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,6 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
     return (shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.shared").rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: what follows doesn't run it again, and a lost executor takes
+    nothing with it."""
+    path = f"{shared_folder(df.sparkSession)}/work/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Checkpoints go to :func:`shared_folder` unless the context has a folder already."""
     context = spark.sparkContext

@@ -50,7 +50,7 @@ def expected(rows, k, lateness, gap, cap):
     return [r[2] for r in released], {e: label for _, e, label in classes}, models.buckets(kept, gap, cap, key_of)
 
 
-@pytest.mark.parametrize("seed,k,n_blocks", [(1, 50, 1), (1, 50, 7), (2, 8, 13), (3, 1, 5), (4, 400, 9)])
+@pytest.mark.parametrize("seed,k,n_blocks", [(1, 50, 1), (1, 50, 7), (2, 8, 13), (3, 1, 5), (4, 400, 9), (1, 50, 100), (2, 5000, 7), (3, 1, 100)])
 def test_release_order_and_lateness(spark, seed, k, n_blocks):
     rows = stream(seed, 900)
     order, classes, _ = expected(rows, k, 10_000_000, MIN, None)
