@@ -21,7 +21,7 @@ def reduction(n_in: DataFrame, metas: DataFrame) -> DataFrame:
 
 def sensitivity_sweep(
     alerts: DataFrame, minutes: list[int] = S.SWEEP_MINUTES, cap_minutes: int | None = 60, k: int = 50,
-    lateness_sec: float = 60.0, scan_limit: int = A.SCAN_LIMIT, n_blocks: int | None = None,
+    lateness_sec: float = 60.0, block_caps: int = A.BLOCK_CAPS, n_blocks: int | None = None,
 ) -> DataFrame:
     """Meta-alerts and reduction rate per gap, in one pass over the alerts.
 
@@ -47,7 +47,7 @@ def sensitivity_sweep(
         records = A.wide_session_times(
             runs.select(*A.KEYS, "proc_block", "run_no", "reach_us"), linked, cap, session,
             [*A.KEYS, "proc_block", "run_no"])
-        starts = A.bucket_starts(records, cap, session, scan_limit)
+        starts = A.chain_starts(records, session, cap, max(minutes) * MINUTE_US, block_caps=block_caps)
         wide = starts.groupBy("delta_t_min").agg(F.count("*").alias("n"))
         n_meta = narrow.unionByName(wide).groupBy("delta_t_min").agg(F.sum("n").alias("n_meta"))
     raw = alerts.agg(F.count("*").alias("n_raw"))

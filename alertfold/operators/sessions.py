@@ -11,22 +11,18 @@ Either way what remains per key is at most one element per gap of covered time p
 stitched with a window per key, and rows find their session through an equi-join.
 
 A capped session is split greedily: a new bucket starts at the first newest-so-far time that lies more than the cap
-after the bucket's start. That is a chain of jumps over the session's distinct newest-so-far times.
+after the bucket's start. That is a chain over the session's distinct newest-so-far times (``chains``).
 """
 
-from math import ceil, log2
-
-import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from alertfold.functions import scalar as X
 from alertfold.operators import ordering as O
+from alertfold.operators.chains import BLOCK_CAPS, chain_starts
 from alertfold.schema import MINUTE_US
-from alertfold.session import cut_lineage
 
 KEYS = ["agent_id", "rule_groups"]
-SCAN_LIMIT = 20_000_000  # longest chain walked by one task; longer ones are resolved by pointer doubling
 
 
 def with_key(alerts: DataFrame) -> DataFrame:
@@ -83,75 +79,6 @@ def link(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.withColumn("session_end_us", F.max("run_end").over(session))
 
 
-# ---- cap split -------------------------------------------------------------------------------------
-
-def _scan_chain(records: DataFrame, session: list[str], cap_us: int) -> DataFrame:
-    """Walk each session's times once, in order, holding only the current bucket start."""
-    schema = T.StructType([*records.select(*session).schema.fields, T.StructField("bucket_start_us", T.LongType())])
-    names = [*session, "bucket_start_us"]
-
-    def walk(batches):
-        current, start = None, 0
-        for batch in batches:
-            groups = list(zip(*[batch.column(c).to_pylist() for c in session]))
-            picked = []
-            for i, (group, t) in enumerate(zip(groups, batch.column("reach_us").to_pylist())):
-                if group != current or t - start > cap_us:
-                    current, start = group, t
-                    picked.append(i)
-            if picked:
-                found = batch.take(pa.array(picked))
-                yield pa.RecordBatch.from_arrays(
-                    [found.column(c) for c in session] + [found.column("reach_us")], names=names)
-
-    placed = records.select(*session, "reach_us").repartition(*session).sortWithinPartitions(*session, "reach_us")
-    return placed.mapInArrow(walk, schema)
-
-
-def _next_bucket(records: DataFrame, session: list[str], cap_us: int) -> DataFrame:
-    """For every time of a session: the first one more than the cap later, found inside one-minute cells."""
-    times = records.select(*session, F.col("reach_us").alias("t"), F.lit(None).cast("long").alias("at"))
-    probes = records.select(*session, (F.col("reach_us") + cap_us).alias("t"), F.col("reach_us").alias("at"))
-    both = times.unionByName(probes).withColumn("cell", F.floor(F.col("t") / MINUTE_US))
-    is_time = F.col("at").isNull()
-    newest_first = Window.partitionBy(*session, "cell").orderBy(F.desc("t"), F.desc_nulls_last("at"))
-    in_cell = F.min(F.when(is_time, F.col("t"))).over(newest_first.rowsBetween(Window.unboundedPreceding, 0))
-    cells = both.groupBy(*session, "cell").agg(F.min(F.when(is_time, F.col("t"))).alias("first_time"))
-    later = Window.partitionBy(*session).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("later_time", F.last("first_time", ignorenulls=True).over(later))
-    found = both.withColumn("in_cell", in_cell).where(~is_time)
-    return found.join(cells, [*session, "cell"]).select(
-        *session, "at", F.coalesce("in_cell", "later_time").alias("next"))
-
-
-def _double_chain(records: DataFrame, session: list[str], cap_us: int, longest_us: int) -> DataFrame:
-    """Resolve the chains of all sessions together; round ``i`` doubles the jump and the known part of each chain."""
-    jump = cut_lineage(_next_bucket(records, session, cap_us).where(F.col("next").isNotNull()))
-    known = records.groupBy(*session).agg(F.min("reach_us").alias("at"))
-    for _ in range(ceil(log2(longest_us / cap_us + 2))):
-        reached = known.join(jump, [*session, "at"]).select(*session, F.col("next").alias("at"))
-        known = cut_lineage(known.unionByName(reached))
-        onward = jump.select(*session, F.col("at").alias("next"), F.col("next").alias("far"))
-        jump = cut_lineage(jump.join(onward, [*session, "next"]).select(*session, "at", F.col("far").alias("next")))
-    return known.withColumnRenamed("at", "bucket_start_us")
-
-
-def bucket_starts(
-    records: DataFrame, cap_us: int, session: list[str], scan_limit: int = SCAN_LIMIT
-) -> DataFrame:
-    """Bucket starts of wide sessions from their distinct newest-so-far times ``reach_us``."""
-    records = records.persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = records.groupBy(*session).agg(
-        F.count("*").alias("n"), (F.max("reach_us") - F.min("reach_us")).alias("span"))
-    long_chains = sizes.where(F.col("n") > scan_limit)
-    longest = long_chains.agg(F.max("span")).first()[0]
-    if longest is None:
-        return _scan_chain(records, session, cap_us)
-    keys = long_chains.select(*session)
-    short = _scan_chain(records.join(keys, session, "left_anti"), session, cap_us)
-    return short.unionByName(_double_chain(records.join(keys, session, "left_semi"), session, cap_us, longest))
-
-
 # ---- rows to buckets -------------------------------------------------------------------------------
 
 def assign_sessions(runs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -180,7 +107,7 @@ def wide_session_times(runs: DataFrame, sessions: DataFrame, cap_us: int, sessio
 
 def assign_buckets(
     ordered: DataFrame, gap_us: int | Column, cap_us: int | None = None, keys: list[str] = KEYS,
-    time_ordered: bool = False, scan_limit: int = SCAN_LIMIT,
+    time_ordered: bool = False, block_caps: int = BLOCK_CAPS,
 ) -> DataFrame:
     """Every row with ``bucket_start_us`` and, for a bucket that continues another, ``parent_start_us``.
 
@@ -197,7 +124,8 @@ def assign_buckets(
     session = [*keys, "session_start_us"]
     wide = F.col("session_end_us") - F.col("session_start_us") > cap_us
     records = assigned.where(wide).select(*session, "reach_us").distinct()
-    starts = bucket_starts(records, cap_us, session, scan_limit)
+    longest_gap = runs.agg(F.max("gap_us")).first()[0] if isinstance(gap_us, Column) else gap_us
+    starts = chain_starts(records, session, cap_us, longest_gap or 0, block_caps=block_caps)
     by_session = Window.partitionBy(*session).orderBy("bucket_start_us")
     starts = starts.withColumn("parent_start_us", F.lag("bucket_start_us").over(by_session))
     # Starts of one session are more than the cap apart, so a row's bucket starts in its own cap-wide cell or the
@@ -339,12 +267,12 @@ def describe(folded: DataFrame, keys: list[str]) -> DataFrame:
 
 def run_meta_alerts(
     alerts: DataFrame, gap_minutes: int = 15, cap_minutes: int | None = 60, k: int = 50, lateness_sec: float = 10.0,
-    scan_limit: int = SCAN_LIMIT, n_blocks: int | None = None,
+    block_caps: int = BLOCK_CAPS, n_blocks: int | None = None,
 ) -> DataFrame:
     """Reorder, drop what is too late, sessionize, split at the cap and roll up."""
     kept = ordered_alerts(alerts, k, lateness_sec, n_blocks)
     cap = None if cap_minutes is None else cap_minutes * MINUTE_US
-    return meta_alerts(assign_buckets(kept, gap_minutes * MINUTE_US, cap, scan_limit=scan_limit))
+    return meta_alerts(assign_buckets(kept, gap_minutes * MINUTE_US, cap, block_caps=block_caps))
 
 
 SESSION_COLUMNS = [

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from alertfold.operators import adaptive, ordering as O, sessions as A
+from alertfold.operators import adaptive, chains, ordering as O, sessions as A
 from tests import models
 from tests.models import MIN
 
@@ -61,26 +61,55 @@ def test_release_order_and_lateness(spark, seed, k, n_blocks):
     assert sorted(r.seq for r in got) == list(range(len(rows)))
 
 
-@pytest.mark.parametrize("seed,n_blocks,scan_limit", [(5, 1, 10**9), (5, 6, 0), (6, 11, 10**9), (7, 4, 60), (8, 9, 0)])
-def test_capped_buckets(spark, seed, n_blocks, scan_limit):
+@pytest.mark.parametrize("seed,n_blocks,block_caps", [(5, 1, 64), (5, 6, 1), (6, 11, 64), (7, 4, 3), (8, 9, 2)])
+def test_capped_buckets(spark, seed, n_blocks, block_caps):
     rows = stream(seed)
     _, _, want = expected(rows, 20, 20_000_000, 2 * MIN, 10 * MIN)
     kept = A.ordered_alerts(frame(spark, rows), 20, 20, n_blocks)
-    got = A.assign_buckets(kept, 2 * MIN, 10 * MIN, scan_limit=scan_limit).collect()
+    got = A.assign_buckets(kept, 2 * MIN, 10 * MIN, block_caps=block_caps).collect()
     assert {r.event_id: ((r.agent_id, r.rule_groups), r.bucket_start_us, r.parent_start_us) for r in got} == want
     assert any(v[2] is not None for v in want.values())
 
 
-@pytest.mark.parametrize("scan_limit", [10**9, 0])
-def test_time_ordered_buckets_equal_the_scan_on_sorted_input(spark, scan_limit):
+@pytest.mark.parametrize("block_caps", [64, 1])
+def test_time_ordered_buckets_equal_the_scan_on_sorted_input(spark, block_caps):
     rows = [(e, us, us, agent, group) for e, us, _, agent, group in stream(9)]
     df = frame(spark, rows)
     slow = A.assign_buckets(A.ordered_alerts(df, 20, 20, 5), 2 * MIN, 10 * MIN)
-    fast = A.assign_buckets(O.in_time_order(df), 2 * MIN, 10 * MIN, time_ordered=True, scan_limit=scan_limit)
+    fast = A.assign_buckets(O.in_time_order(df), 2 * MIN, 10 * MIN, time_ordered=True, block_caps=block_caps)
     pick = lambda d: {(r.event_id, r.bucket_start_us, r.parent_start_us) for r in d.collect()}
     assert pick(slow) == pick(fast)
 
 
+@pytest.mark.parametrize("block_caps,gap", [(1, 90), (1, 7), (4, 25), (64, 90)])
+def test_chains_of_many_blocks(spark, block_caps, gap):
+    rng, rows, want = random.Random(gap), [], set()
+    for group in range(5):
+        first = t = rng.randrange(10**6) - 5 * 10**5
+        times = []
+        for _ in range([1, 40, 3000, 3000, 700][group]):
+            times.append(t)
+            t += rng.randrange(1, gap + 1)
+        start = None
+        for t in times:
+            if start is None or t - start > 60:
+                start = t
+                want.add((f"g{group}", first, t))
+        rows += [(f"g{group}", first, t) for t in times]
+    records = spark.createDataFrame(rows, "g string, session_start_us long, reach_us long").repartition(3)
+    got = chains.chain_starts(records, ["g", "session_start_us"], 60, gap, block_caps=block_caps).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_one_long_session_is_spread_over_many_blocks(spark):
+    seconds, cap = 400_000, 3_600_000_000
+    records = spark.range(seconds).select(F.lit("hot").alias("g"), F.lit(0).cast("long").alias("session_start_us"),
+                                          (F.col("id") * 1_000_000).alias("reach_us"))
+    got = sorted(r.bucket_start_us for r in chains.chain_starts(
+        records, ["g", "session_start_us"], cap, 1_000_000, times_per_block=20_000).collect())
+    assert got == [i * (cap + 1_000_000) for i in range(len(got))] and len(got) == -(-seconds // 3601)
+
+
 def test_fold_in_order_equals_row_level_sessions(spark):
     rows = [(e, us, us, agent, group) for e, us, _, agent, group in stream(10)]
     df = frame(spark, rows)
