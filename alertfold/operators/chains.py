@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from alertfold.session import stored
 
-BLOCK_CAPS = 64  # caps per block, fewer where times are dense
-TIMES_PER_BLOCK = 2_000_000
-OWN, AFTER = 0, 1  # a block's own times, and those after it in which a chain may go on
+BLOCK_CAPS = 1024  # caps per block, fewer where times are dense
+TIMES_PER_BLOCK = 250_000
+BEFORE, OWN, AFTER = -1, 0, 1  # times before a block that tell its first gap, its own, and those in which a chain may go on
 NONE = -(1 << 62)
 
 
@@ -182,3 +182,100 @@ def _real_entries(maps: DataFrame, group: list[str], start: str, width: int, jum
         known = stored(known.unionByName(inner), "chain-entries")
         span //= 2
     return known
+
+
+# ---- many gaps at once -----------------------------------------------------------------------------
+
+COUNT, LEAVE, MAP = range(3)
+
+
+def _gap_block(before: np.ndarray, own: np.ndarray, after: np.ndarray, gap: int, cap: int, entry_until: int):
+    """One block under one gap: links that need no entry, where that chain leaves (``NONE``: at a break, or not at all), and
+    for each possible entry before the first break (entry, where its chain leaves, links)."""
+    both = np.concatenate([own, after])
+    steps = np.diff(both, prepend=before[-1] if len(before) else NONE)
+    breaks = np.append(np.flatnonzero(steps > gap), len(both))
+    head = min(int(breaks[0]), len(own))
+    follows = np.searchsorted(both, both + cap, side="right")
+    # A break ends the chain before it and starts another, so a chain goes on at the nearer of the two.
+    next_break = breaks[np.searchsorted(breaks, np.arange(len(both)), side="right")] if len(both) else breaks[:0]
+    onward = np.minimum(follows, next_break)
+    count, i, out, steps_on = 0, head, NONE, onward.tolist()
+    while i < len(own):
+        count, last, i = count + 1, i, steps_on[i]
+    if count and i < len(both) and i != next_break[last]:
+        out = int(both[i])
+    # Before the first break: pointer jumping; ``size`` counts the links up to ``last`` without it.
+    last = np.where(onward[:head] < head, onward[:head], np.arange(head))
+    size = (last != np.arange(head)).astype("int64")
+    while True:
+        further = last[last]
+        if (further == last).all():
+            break
+        size, last = size + size[last], further
+    if head < len(own) or not head:
+        leaves = np.full(head, NONE)
+    else:
+        at = onward[last]
+        leaves = np.where((at < len(both)) & (at != next_break[last]), np.append(both, NONE)[np.minimum(at, len(both))], NONE)
+    entries = np.flatnonzero(own[:head] < entry_until)
+    return count, out, own[entries], leaves[entries], size[entries] + 1
+
+
+def chain_counts(times: DataFrame, keys: list[str], gaps_us: list[int], cap_us: int | None, block_caps: int = BLOCK_CAPS,
+                 times_per_block: int = TIMES_PER_BLOCK) -> DataFrame:
+    """``gap_us, n``: how many sessions, split at the cap, the distinct times ``t`` of the keys form under each gap.
+
+    With the times of a key in order, a gap breaks them wherever neighbours are farther apart: all gaps are read off one
+    sorted pass, and no row is copied per gap. Without a cap that is a histogram of the neighbours' distances. With one, a
+    break also starts a chain anew, so only the piece of a block before its first break depends on the block before; those
+    pieces are small maps as in :func:`chain_starts`, and only where whole blocks have no break are maps composed.
+    """
+    gaps, cap = sorted(set(gaps_us)), cap_us if cap_us is not None else (1 << 60)
+    times = stored(times.select(*keys, "t"), "chain-times")
+    unit = cap_us if cap_us is not None else gaps[-1]
+    cells = times.groupBy(*keys, F.floor(F.col("t") / F.lit(unit)).alias("cell")).agg(F.count("*").alias("n"))
+    dense = cells.agg(F.max("n")).first()[0] or 1
+    jump = unit + gaps[-1]
+    width = max(max(1, min(block_caps, times_per_block // dense)) * unit, jump)
+    block = F.floor(F.col("t") / F.lit(width))
+    offset = F.col("t") - block * width
+    place = [*keys, "block"]
+    placed = times.select(*keys, F.explode(F.concat(
+        F.array(F.struct(block.alias("block"), F.lit(OWN).alias("side"))),
+        F.when(offset < jump, F.array(F.struct((block - 1).alias("block"), F.lit(AFTER).alias("side")))).otherwise(F.array()),
+        F.when(offset >= width - gaps[-1], F.array(F.struct((block + 1).alias("block"), F.lit(BEFORE).alias("side")))).otherwise(F.array()),
+    )).alias("at"), "t").select(*keys, "at.block", "at.side", "t")
+
+    def walk(batches):
+        def run(groups):
+            for head, (side, t) in groups:
+                before, own, after = (t[side == s] for s in (BEFORE, OWN, AFTER))
+                if not len(own):
+                    continue
+                until = head.column("block")[0].as_py() * width + jump
+                rows = []
+                for gap in gaps:
+                    count, out, entries, leaves, sizes = _gap_block(before, own, after, gap, cap, until)
+                    rows.append(([gap], [COUNT], [0], [0], [count]))
+                    if out != NONE:
+                        rows.append(([gap], [LEAVE], [out], [0], [0]))
+                    n = len(entries)
+                    rows.append((np.full(n, gap), np.full(n, MAP), entries, leaves, sizes))
+                yield head, [np.concatenate(c).astype("int64") for c in zip(*rows)]
+        yield from _flow(run(_groups(batches, place)), place, ["gap_us", "kind", "at", "to", "n"])
+
+    fields = [*[times.schema[c] for c in keys], *[T.StructField(c, T.LongType()) for c in ("block", "gap_us", "kind", "at", "to", "n")]]
+    found = stored(placed.repartition(*place).sortWithinPartitions(*place, "t").mapInArrow(walk, T.StructType(fields)), "chain-counts")
+    group = ["gap_us", *keys]
+    free = found.where(F.col("kind") == COUNT).select("gap_us", "n")
+    known = found.where(F.col("kind") == LEAVE).select(*group, "at")
+    maps = found.where(F.col("kind") == MAP).select(*group, "at", "to", "n")
+    onward = maps.where(F.col("to") != NONE).select(*group, "at", "to")
+    # Chains that cross blocks without a break: entries double the distance they reach with every round.
+    while not onward.isEmpty():
+        known = stored(known.unionByName(known.join(onward, [*group, "at"]).select(*group, F.col("to").alias("at"))).distinct(), "chain-entries")
+        step = onward.select(*group, F.col("at").alias("to"), F.col("to").alias("far"))
+        onward = stored(onward.join(step, [*group, "to"]).select(*group, "at", F.col("far").alias("to")), "chain-maps")
+    entered = known.join(maps, [*group, "at"]).select("gap_us", "n")
+    return free.unionByName(entered).groupBy("gap_us").agg(F.sum("n").alias("n"))

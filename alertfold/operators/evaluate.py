@@ -1,11 +1,11 @@
 """Reduction rates, gap sensitivity, score quality and scorecards."""
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from alertfold import schema as S
 from alertfold.functions import scalar as X
 from alertfold.operators import sessions as A
+from alertfold.operators.chains import BLOCK_CAPS, chain_counts
 from alertfold.schema import MINUTE_US
 
 
@@ -21,35 +21,17 @@ def reduction(n_in: DataFrame, metas: DataFrame) -> DataFrame:
 
 def sensitivity_sweep(
     alerts: DataFrame, minutes: list[int] = S.SWEEP_MINUTES, cap_minutes: int | None = 60, k: int = 50,
-    lateness_sec: float = 60.0, block_caps: int = A.BLOCK_CAPS, n_blocks: int | None = None,
+    lateness_sec: float = 60.0, block_caps: int = BLOCK_CAPS, n_blocks: int | None = None,
 ) -> DataFrame:
     """Meta-alerts and reduction rate per gap, in one pass over the alerts.
 
-    Rows are cut into runs for the smallest gap only. A run for a small gap never holds a break for a larger one, so
-    every other gap is a re-stitching of the runs.
+    What a gap makes of a key depends only on the distinct newest-so-far times of its alerts, whatever the gap; these are
+    counted under all gaps at once (``chains.chain_counts``).
     """
-    kept = A.with_key(A.ordered_alerts(alerts.drop("mitre_tactic", "wazuh_alert_id"), k, lateness_sec, n_blocks))
-    slim = kept.select(*A.KEYS, "timestamp", *A.O.RELEASE_ORDER, "proc_block")
-    runs = A.block_runs(slim, min(minutes) * MINUTE_US).persist(StorageLevel.MEMORY_AND_DISK)
-    base = A.stitch(runs).select(*A.KEYS, "proc_block", "run_no", "run_start", "run_end")
-    gaps = F.explode(F.array(*[F.lit(m) for m in minutes]))
-    keys = ["delta_t_min", *A.KEYS]
-    parts = base.withColumn("delta_t_min", gaps).withColumn("run_gap", F.col("delta_t_min").cast("long") * MINUTE_US)
-    linked = A.link(parts, keys)
-    session = [*keys, "session_start_us"]
-    counts = linked.groupBy(*session).agg(F.max("session_end_us").alias("end_us"))
-    if cap_minutes is None:
-        n_meta = counts.groupBy("delta_t_min").agg(F.count("*").alias("n_meta"))
-    else:
-        cap = cap_minutes * MINUTE_US
-        spans = F.col("end_us") - F.col("session_start_us")
-        narrow = counts.where(spans <= cap).groupBy("delta_t_min").agg(F.count("*").alias("n"))
-        records = A.wide_session_times(
-            runs.select(*A.KEYS, "proc_block", "run_no", "reach_us"), linked, cap, session,
-            [*A.KEYS, "proc_block", "run_no"])
-        starts = A.chain_starts(records, session, cap, max(minutes) * MINUTE_US, block_caps=block_caps)
-        wide = starts.groupBy("delta_t_min").agg(F.count("*").alias("n"))
-        n_meta = narrow.unionByName(wide).groupBy("delta_t_min").agg(F.sum("n").alias("n_meta"))
+    kept = A.with_key(A.ordered_alerts(alerts.select("event_id", "arrival_us", "timestamp", *A.KEYS), k, lateness_sec, n_blocks))
+    cap = None if cap_minutes is None else cap_minutes * MINUTE_US
+    counts = chain_counts(A.newest_times(kept), A.KEYS, [m * MINUTE_US for m in minutes], cap, block_caps)
+    n_meta = counts.select((F.col("gap_us") / MINUTE_US).cast("int").alias("delta_t_min"), F.col("n").alias("n_meta"))
     raw = alerts.agg(F.count("*").alias("n_raw"))
     return n_meta.crossJoin(F.broadcast(raw)).select(
         "delta_t_min", "n_raw", "n_meta",

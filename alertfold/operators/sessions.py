@@ -97,12 +97,17 @@ def assign_sessions(runs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         F.greatest("reach_us", newest).alias("reach_us"), "_s.session_start_us", "_s.session_end_us")
 
 
-def wide_session_times(runs: DataFrame, sessions: DataFrame, cap_us: int, session: list[str], on: list[str]) -> DataFrame:
-    """Distinct newest-so-far times of the sessions that are longer than the cap."""
-    wide = sessions.where(F.col("session_end_us") - F.col("session_start_us") > cap_us)
-    newest = F.when(F.col("newest_before") >= F.col("session_start_us"), F.col("newest_before"))
-    rows = runs.join(wide, on)
-    return rows.select(*session, F.greatest("reach_us", newest).alias("reach_us")).distinct()
+def newest_times(ordered: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """``keys`` and ``t``: the distinct newest-so-far times of every key, for rows in processing order."""
+    rows = ordered.select("proc_block", *keys, *O.RELEASE_ORDER, F.unix_micros("timestamp").alias("t"))
+    w = Window.partitionBy("proc_block", *keys).orderBy(*O.RELEASE_ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.max("t").over(w)).where(F.col("before").isNull() | (F.col("t") > F.col("before")))
+    rows = rows.select("proc_block", *keys, "t")
+    by_block = Window.partitionBy(*keys).orderBy("proc_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = rows.groupBy("proc_block", *keys).agg(F.max("t").alias("newest")).select(
+        "proc_block", *keys, F.max("newest").over(by_block).alias("newest"))
+    return rows.join(earlier, ["proc_block", *keys]).where(
+        F.col("newest").isNull() | (F.col("t") > F.col("newest"))).select(*keys, "t")
 
 
 def assign_buckets(

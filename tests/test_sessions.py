@@ -202,3 +202,38 @@ def test_sessions_with_adaptive_gap(spark):
     gaps = [round(g) for g in models.adaptive([BASE + r[1] for r in rows], 2 * MIN)]
     want = models.buckets([(BASE + r[1], r[0]) for r in rows], gaps, 20 * MIN, {r[0]: (r[3], "web") for r in rows})
     assert {r.event_id: ((r.agent_id, r.rule_groups), r.bucket_start_us, r.parent_start_us) for r in got} == want
+
+
+def counted(times, gap, cap):
+    n, start, last = 0, None, None
+    for t in times:
+        if last is None or t - last > gap or (cap is not None and t - start > cap):
+            n, start = n + 1, t
+        last = t
+    return n
+
+
+@pytest.mark.parametrize("block_caps,cap", [(1, 60), (3, 60), (1024, 60), (1, None), (2, 10)])
+def test_counts_under_many_gaps(spark, block_caps, cap):
+    rng, groups, gaps = random.Random(block_caps), {}, [3, 9, 30, 70]
+    for group in range(4):
+        t = rng.randrange(-500, 500)
+        for _ in range([1, 50, 2500, 2500][group]):
+            groups.setdefault(f"g{group}", []).append(t)
+            t += rng.randrange(1, 9) if group == 3 else rng.choice([1, 2, 2, 5, 12, 40] + [90, 4000] * (rng.random() < 0.02))
+    df = spark.createDataFrame([(g, t) for g, times in groups.items() for t in times], "g string, t long").repartition(3)
+    got = {r.gap_us: r.n for r in chains.chain_counts(df, ["g"], gaps, cap, block_caps).collect()}
+    assert got == {gap: sum(counted(times, gap, cap) for times in groups.values()) for gap in gaps}
+
+
+def test_newest_times_follow_processing_order(spark):
+    rows = stream(15, 800)
+    key_of = {r[0]: (r[3], r[4].strip().lower()) for r in rows}
+    newest, want = {}, set()
+    for ts, _, event in models.release([(BASE + r[1], r[2], r[0]) for r in rows], 8):
+        if ts > newest.get(key_of[event], 0):
+            newest[key_of[event]] = ts
+            want.add((*key_of[event], ts))
+    ordered = A.with_key(O.with_processing_order(frame(spark, rows), 8, n_blocks=6))
+    got = [tuple(r) for r in A.newest_times(ordered).collect()]
+    assert len(got) == len(want) and set(got) == want
