@@ -13,6 +13,10 @@ from alertfold.llm import packing, quality, simhash, suffixes
 from alertfold.llm.common import free_name, stored, table
 
 
+# A passage of 51 words of the given languages has more bytes than this; most of them have fewer than 400.
+REPEAT_BYTES = 272
+
+
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the divergence rules keep."""
     verdict = free_name(docs, "quality")
@@ -26,12 +30,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated 400-byte strings; a character that a cut leaves incomplete goes too. ``n_chars``
+    """Texts without the bytes of repeated strings of ``REPEAT_BYTES``; a character that a cut leaves incomplete goes too. ``n_chars``
     is that of the new text. A null text stays null, and a document stays even if nothing is left of it."""
     row, names = free_name(docs, "row"), docs.columns
     cut = suffixes.remove_repeats(
         docs.select(F.struct(*[c for c in names if c != "text"], F.col("text").isNull().alias(row)).alias(row), "text"),
-        id_column=row, window=400)
+        id_column=row, window=REPEAT_BYTES)
     whole = F.when(~F.col(f"{row}.{row}"), F.try_validate_utf8(F.col("kept")))
     text = F.when(F.col(f"{row}.{row}"), F.lit(None)).otherwise(F.coalesce(whole, _without_broken("kept")))
     out = cut.withColumn(free_name(cut, "new"), text)
