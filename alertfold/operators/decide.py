@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from alertfold.operators.features import value_counts
+from alertfold.operators.quantiles import exact_quantiles
 from alertfold.schema import FEATURES, HIGH_SEVERITY, MESSAGE_LINES, MESSAGE_TAGS, PAYLOAD_REASON, REFERENCE_ZONE
+from alertfold.session import stored
 
 MIN_GATE_COUNT = 5
 BASE_EXPORT = [
@@ -15,8 +17,7 @@ DECISION_COLUMNS = ["anomaly_score", "decision", "action", "escalate"]
 
 def scale_table(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     """One row: map feature -> (centre, width)."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
-    per = value_counts(df, features).groupBy("feature").agg(q.alias("q"))
+    per = exact_quantiles(stored(value_counts(df, features), "feature-values"), [0.25, 0.5, 0.75], "feature")
     width = F.col("q")[2] - F.col("q")[0]
     entry = F.struct("feature", F.struct(
         F.col("q")[1].alias("centre"), F.when(width == 0, F.lit(1.0)).otherwise(width).alias("width")))
@@ -43,13 +44,13 @@ def threshold(df: DataFrame, score: str = "score", method: str = "iqr", override
     """One row ``theta``."""
     if override is not None:
         return df.sparkSession.range(1).select(F.lit(float(override)).alias("theta"))
-    counts = df.groupBy(F.col(score).alias("value")).agg(F.count("*").alias("n"))
+    counts = stored(df.groupBy(F.col(score).cast("double").alias("value")).agg(F.count("*").alias("n")), "scores")
     if method == "iqr":
-        q = counts.agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q"))
+        q = exact_quantiles(counts, [0.25, 0.75])
         fence = F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])
         return q.select(F.round(F.least(fence, F.lit(1.0)), 4).alias("theta"))
     if method == "percentile":
-        return counts.agg(F.round(F.percentile("value", 0.95, F.col("n")), 4).alias("theta"))
+        return exact_quantiles(counts, [0.95]).select(F.round(F.col("q")[0], 4).alias("theta"))
     raise ValueError(f"unknown threshold method {method!r}")
 
 

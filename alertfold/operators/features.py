@@ -4,7 +4,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from alertfold.functions import scalar as X
+from alertfold.operators.quantiles import exact_quantiles
 from alertfold.schema import DAY_S, FEATURES, MICROS
+from alertfold.session import stored
 
 DEVIATION_CLIP = 5.0
 
@@ -138,11 +140,11 @@ def value_counts(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def feature_summary(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
-    counts = value_counts(df, features)
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
+    counts = stored(value_counts(df, features), "feature-values")
     stats = counts.groupBy("feature").agg(
-        F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("n_unique"), q.alias("q"),
+        F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("n_unique"),
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+    stats = stats.join(F.broadcast(exact_quantiles(counts, [0.25, 0.5, 0.75], "feature")), "feature", "left")
     rounded = lambda c: F.round(c, 6)
     return stats.select(
         "feature", "min", "max", "n_unique", rounded(F.col("q")[0]).alias("q1"), rounded(F.col("q")[1]).alias("median"),

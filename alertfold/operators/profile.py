@@ -4,8 +4,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from alertfold import schema as S
 from alertfold.functions import scalar as X
+from alertfold.operators.quantiles import exact_quantiles
 from alertfold.operators.windows import positive_gaps
 from alertfold.schema import MICROS
+from alertfold.session import stored
 
 
 def with_calendar(alerts: DataFrame, zone: str = S.REFERENCE_ZONE) -> DataFrame:
@@ -89,8 +91,10 @@ def iat_stats(alerts: DataFrame) -> DataFrame:
     """One row on the positive inter-arrival times."""
     sec = F.col("gap_us") / MICROS
     share = lambda limit: F.round(F.sum(F.when(sec < limit, F.col("n")).otherwise(0)) / F.sum("n") * 100, 4)
-    return positive_gaps(alerts).agg(
-        F.sum("n").alias("n_gaps"), F.round(F.percentile("gap_us", 0.5, F.col("n")) / MICROS, 6).alias("median_sec"),
+    gaps = stored(positive_gaps(alerts), "gaps")
+    median = exact_quantiles(gaps, [0.5], value="gap_us").first().q
+    return gaps.agg(
+        F.sum("n").alias("n_gaps"), F.round(F.lit(median[0] if median else None).cast("double") / MICROS, 6).alias("median_sec"),
         F.round(F.sum(F.col("gap_us") * F.col("n")) / F.sum("n") / MICROS, 6).alias("mean_sec"),
         *[share(limit).alias(f"pct_lt_{limit}s") for limit in (1, 5, 60, 300, 900)])
 
