@@ -34,9 +34,10 @@ def tree_samples(df: DataFrame, features: list[str], trees: int, subsample: int,
     rank = F.row_number().over(Window.orderBy(F.xxhash64("_key", F.lit(seed)), "_key")) - 1  # over the bounded pool
     n = min(slim.count(), trees * subsample)
     size = min(subsample, n)
-    place = F.pmod(F.col("_rank") - F.col("tree_id") * size, F.lit(max(n, 1)))
-    every = pool.withColumn("_rank", rank).withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    return every.where(place < size).drop("_rank"), size
+    # The trees' shares lie one after the other on the endless repetition of the pool; a row stands there every n places.
+    places = F.sequence(rank.cast("long"), F.lit(max(trees * size - 1, 0)).cast("long"), F.lit(max(n, 1)).cast("long"))
+    every = pool.withColumn("_places", F.when(rank < trees * size, places)).withColumn("_place", F.explode("_places"))
+    return every.withColumn("tree_id", F.expr(f"cast(_place div {max(size, 1)} as int)")).drop("_places", "_place"), size
 
 
 def fit(
