@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from alertfold.functions import scalar as X
 from alertfold.operators import ordering as O
+from alertfold.operators.adaptive import with_adaptive_gap
 from alertfold.operators.chains import BLOCK_CAPS, chain_starts
 from alertfold.schema import MINUTE_US
 
@@ -272,11 +273,15 @@ def describe(folded: DataFrame, keys: list[str]) -> DataFrame:
 
 def run_meta_alerts(
     alerts: DataFrame, gap_minutes: int = 15, cap_minutes: int | None = 60, k: int = 50, lateness_sec: float = 10.0,
-    block_caps: int = BLOCK_CAPS, n_blocks: int | None = None,
+    block_caps: int = BLOCK_CAPS, n_blocks: int | None = None, adaptive: bool = False,
 ) -> DataFrame:
-    """Reorder, drop what is too late, sessionize, split at the cap and roll up."""
+    """Reorder, drop what is too late, sessionize, split at the cap and roll up. With ``adaptive`` the gap follows the
+    alert rate, from ``gap_minutes`` on, and every row is held to the gap in force when it is processed."""
     kept = ordered_alerts(alerts, k, lateness_sec, n_blocks)
     cap = None if cap_minutes is None else cap_minutes * MINUTE_US
+    if adaptive:
+        adapted = with_adaptive_gap(kept, gap_minutes)
+        return meta_alerts(assign_buckets(adapted, F.col("cur_dt_us"), cap, block_caps=block_caps))
     return meta_alerts(assign_buckets(kept, gap_minutes * MINUTE_US, cap, block_caps=block_caps))
 
 

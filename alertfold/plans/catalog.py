@@ -63,6 +63,10 @@ class Tables:
     def kept(self) -> DataFrame:
         return A.ordered_alerts(self.alerts, 50, 60)
 
+    @cached_property
+    def adapted(self) -> DataFrame:
+        return adaptive.with_adaptive_gap(O.drop_late(O.with_lateness(self.released, 60)), 15)
+
     @cached_property
     def metas(self) -> DataFrame:
         return A.fold_in_order(self.alerts, GAP_5)
@@ -487,12 +491,13 @@ add("T3_drop_late", "event_id:l", lambda t: O.drop_late(O.with_lateness(t.releas
 add("T4_lateness_counts", "lateness:s n:l pct:d", lambda t: O.lateness_counts(O.with_lateness(t.released, 60)),
     """SELECT lateness, count(*) AS n, round(count(*) / (SELECT count(*) FROM alerts)::DOUBLE * 100, 4) AS pct
       FROM classified GROUP BY ALL""")
-add("T5_adaptive_gap", "event_id:l cur_dt_us:l", lambda t: adaptive.with_adaptive_gap(
-    O.drop_late(O.with_lateness(t.released, 60)), 15))
-add("T6_gap_history", "eff_us:l seq:l ts_us:l dt_min:d", lambda t: adaptive.gap_history(adaptive.with_adaptive_gap(
-    O.drop_late(O.with_lateness(t.released, 60)), 15)))
-add("T6_adaptive_history", "n:l min_dt_min:d max_dt_min:d final_dt_min:d", lambda t: adaptive.gap_summary(
-    adaptive.with_adaptive_gap(O.drop_late(O.with_lateness(t.released, 60)), 15)))
+add("T5_adaptive_gap", "event_id:l cur_dt_us:l", lambda t: t.adapted, "SELECT event_id, cur_dt_us FROM adapted")
+add("T6_gap_history", "eff_us:l seq:l ts_us:l dt_min:d", lambda t: adaptive.gap_history(t.adapted),
+    "SELECT eff_us, seq, ts_us, cur_dt_us / 60000000 AS dt_min FROM adapted")
+add("T6_adaptive_history", "n:l min_dt_min:d max_dt_min:d final_dt_min:d", lambda t: adaptive.gap_summary(t.adapted),
+    f"""SELECT count(*) AS n, round(min(dt), 4) AS min_dt_min, round(max(dt), 4) AS max_dt_min,
+      round(arg_max(dt, place), 4) AS final_dt_min FROM (
+      SELECT cur_dt_us / 60000000 AS dt, row_number() OVER (ORDER BY {Q.RELEASE}) AS place FROM adapted)""")
 
 # ---- sessions and windows -------------------------------------------------------------------------
 
@@ -504,6 +509,8 @@ META = (
 )
 add("A1_meta_sessions", META, lambda t: A.meta_alerts(A.assign_buckets(t.kept, GAP_5)), "SELECT * FROM metas_t1")
 add("A2_capped_sessions", META, lambda t: A.meta_alerts(t.capped), "SELECT * FROM metas_cap")
+add("A1_adaptive_sessions", META, lambda t: A.run_meta_alerts(t.alerts, 15, 60, 50, 60, adaptive=True),
+    "SELECT * FROM metas_adapt")
 add("A3_compound_windows",
     "agent_id:s agent_name:s window_start_us:l window_end_us:l start_us:l end_us:l duration_sec:l alert_count:l "
     "max_severity:i mitre_hit_count:l n_rule_groups:l n_tactics:l attacker_count:l attacker_ips:s rule_group_dist:s",
@@ -643,6 +650,25 @@ add("M2_isolation_forest_fit", "tree_id:i node_id:i feature:i threshold:d left:i
     lambda t: forest.fit(t.scaled)[0])
 add("M3_isolation_forest_score", "meta_id:s raw_score:d score:d",
     lambda t: M.normalize_scores(forest.score(t.scaled, *forest.fit(t.scaled))))
+# A forest given by hand, so that SQL can walk it: tree, node, feature, cut, left, right, size, depth.
+GIVEN_FOREST = [
+    (0, 0, 1, 6.0, 1, 2, 64, 0), (0, 1, 0, 1.0, 3, 4, 40, 1), (0, 2, -1, 0.0, -1, -1, 24, 1), (0, 3, -1, 0.0, -1, -1, 38, 2),
+    (0, 4, -1, 0.0, -1, -1, 2, 2), (1, 0, 2, 90.0, 1, 2, 64, 0), (1, 1, -1, 0.0, -1, -1, 63, 1), (1, 2, -1, 0.0, -1, -1, 1, 1),
+    (2, 0, 5, 11.0, 1, 2, 64, 0), (2, 1, 7, 0.0, 3, 4, 30, 1), (2, 2, -1, 0.0, -1, -1, 34, 1), (2, 3, -1, 0.0, -1, -1, 3, 2),
+    (2, 4, 8, 0.5, 5, 6, 27, 2), (2, 5, -1, 0.0, -1, -1, 20, 3), (2, 6, -1, 0.0, -1, -1, 7, 3)]
+BONUS = "CASE WHEN %s > 2 THEN 2 * (ln(%s - 1) + 0.5772156649015329) - 2 * (%s - 1) / %s::DOUBLE WHEN %s = 2 THEN 1 ELSE 0 END"
+add("M3_given_forest", "meta_id:s raw_score:d",
+    lambda t: forest.score(t.feats, t.spark.createDataFrame(GIVEN_FOREST, forest.NODE_SCHEMA), 64).withColumn(
+        "raw_score", F.round("raw_score", 6)),
+    f"""WITH RECURSIVE given(tree_id, node_id, feature, cut, l, r, size, depth) AS (VALUES {', '.join(map(str, GIVEN_FOREST))}),
+      place AS (
+        SELECT meta_id, [{', '.join(f'{c}::DOUBLE' for c in S.FEATURES)}] AS x, tree_id, 0 AS node_id
+        FROM feats, (SELECT DISTINCT tree_id FROM given)
+        UNION ALL
+        SELECT meta_id, x, tree_id, CASE WHEN x[feature + 1] <= cut THEN l ELSE r END
+        FROM place JOIN given USING (tree_id, node_id) WHERE feature >= 0)
+      SELECT meta_id, round(-pow(2, -avg(depth + {BONUS % (('size',) * 5)}) / ({BONUS % (('64',) * 5)})), 6) AS raw_score
+      FROM place JOIN given USING (tree_id, node_id) WHERE feature < 0 GROUP BY meta_id""")
 add("M4_normalize_scores", "meta_id:s unit:d",
     lambda t: M.normalize_scores(t.raw_scored.withColumn("raw_score", -F.col("score")), out="unit").withColumn(
         "unit", F.round("unit", 6)),

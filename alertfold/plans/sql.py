@@ -99,6 +99,30 @@ CTE: dict[str, str] = {
 }
 
 
+# The adaptive gap, one positive gap between processed alerts after the other.
+START = 15 * MIN
+CTE.update({
+    "kept_seq": f"""(
+  SELECT *, count(*) FILTER (step > 0) OVER (ORDER BY {RELEASE} ROWS UNBOUNDED PRECEDING) AS gap_no FROM (
+    SELECT *, ts_us - lag(ts_us) OVER (ORDER BY {RELEASE}) AS step FROM kept))""",
+    "gap_lists": """(
+  SELECT list(step / 1000000::DOUBLE ORDER BY gap_no) AS v, count(*) AS n,
+    avg(step / 1000000::DOUBLE) FILTER (gap_no <= 100) AS mean FROM kept_seq WHERE step > 0)""",
+    "gap_walk": f"""(
+  SELECT 100 AS gap_no, mean AS pace, {START}::DOUBLE AS cur FROM gap_lists WHERE n >= 100
+  UNION ALL
+  SELECT gap_no, pace, CASE WHEN mean / pace >= 3 THEN greatest(0.8::DOUBLE * cur, {0.5 * START}::DOUBLE)
+    WHEN mean / pace <= 0.33::DOUBLE THEN least(1.2::DOUBLE * cur, {1.5 * START}::DOUBLE) ELSE cur END
+  FROM (SELECT w.gap_no + 1 AS gap_no, 0.1::DOUBLE * v[w.gap_no + 1] + 0.9::DOUBLE * w.pace AS pace, cur, mean
+    FROM gap_walk w, gap_lists WHERE w.gap_no < n))""",
+    "adapted": f"""(
+  SELECT k.*, CAST(round(coalesce(cur, {START})) AS BIGINT) AS cur_dt_us FROM kept_seq k LEFT JOIN gap_walk USING (gap_no))""",
+    "adapt_rows": _walk("adapted", RELEASE, "r.cur_dt_us", 60)[0],
+    "adapt_walk": _walk("adapted", RELEASE, "r.cur_dt_us", 60)[1] % ("adapt_rows", "adapt_walk", "adapt_rows"),
+    "m_adapt": f"(SELECT r.*, w.bstart, w.parent FROM adapt_rows r JOIN adapt_walk w USING ({KEY}, n))",
+})
+
+
 def _metas(members: str) -> str:
     tail = f"{KEY}, bstart"
     dist = lambda col: f"""(
@@ -146,6 +170,7 @@ CTE.update({
     "metas_day": _metas("m_day"),
     "metas_t1": _metas("m_t1"),
     "metas_cap": _metas("m_cap"),
+    "metas_adapt": _metas("m_adapt"),
     "feats": FEATURES_SQL % "metas",
     "feats_day": FEATURES_SQL % "metas_day",
     "flong": "(" + " UNION ALL ".join(
