@@ -184,59 +184,77 @@ def _real_entries(maps: DataFrame, group: list[str], start: str, width: int, jum
     return known
 
 
-# ---- many gaps at once -----------------------------------------------------------------------------
+# ---- many gaps, or many mixtures, at once ----------------------------------------------------------
 
 COUNT, LEAVE, MAP = range(3)
 
 
-def _gap_block(before: np.ndarray, own: np.ndarray, after: np.ndarray, gap: int, cap: int, entry_until: int):
-    """One block under one gap: links that need no entry, where that chain leaves (``NONE``: at a break, or not at all), and
-    for each possible entry before the first break (entry, where its chain leaves, links)."""
-    both = np.concatenate([own, after])
+def _piece(before: np.ndarray, both: np.ndarray, n_own: int, gap: int, cap: int, entry_until: int, weigh=None):
+    """One block under one gap: links and weight of the chain that needs no entry, where it leaves (``NONE``: at a break, or
+    not at all), and for each possible entry before the first break: entry, where its chain leaves, links, weight.
+
+    ``both`` holds the block's ``n_own`` times and those after it; ``weigh(i, j)`` is the weight of links i whose buckets end
+    before the places j.
+    """
     steps = np.diff(both, prepend=before[-1] if len(before) else NONE)
     breaks = np.append(np.flatnonzero(steps > gap), len(both))
-    head = min(int(breaks[0]), len(own))
+    head = min(int(breaks[0]), n_own)
     follows = np.searchsorted(both, both + cap, side="right")
     # A break ends the chain before it and starts another, so a chain goes on at the nearer of the two.
     next_break = breaks[np.searchsorted(breaks, np.arange(len(both)), side="right")] if len(both) else breaks[:0]
     onward = np.minimum(follows, next_break)
-    count, i, out, steps_on = 0, head, NONE, onward.tolist()
-    while i < len(own):
-        count, last, i = count + 1, i, steps_on[i]
-    if count and i < len(both) and i != next_break[last]:
+    weight = weigh(np.arange(len(both)), onward) if weigh else np.zeros(len(both), "int64")
+    i, out, links, steps_on = head, NONE, [], onward.tolist()
+    while i < n_own:
+        links.append(i)
+        i = steps_on[i]
+    if links and i < len(both) and i != next_break[links[-1]]:
         out = int(both[i])
-    # Before the first break: pointer jumping; ``size`` counts the links up to ``last`` without it.
+    # Before the first break: pointer jumping; ``size`` and ``sums`` cover the links up to ``last`` without it.
     last = np.where(onward[:head] < head, onward[:head], np.arange(head))
     size = (last != np.arange(head)).astype("int64")
+    sums = weight[:head] * size
     while True:
         further = last[last]
         if (further == last).all():
             break
-        size, last = size + size[last], further
-    if head < len(own) or not head:
+        size, sums, last = size + size[last], sums + sums[last], further
+    if head < n_own or not head:
         leaves = np.full(head, NONE)
     else:
         at = onward[last]
         leaves = np.where((at < len(both)) & (at != next_break[last]), np.append(both, NONE)[np.minimum(at, len(both))], NONE)
-    entries = np.flatnonzero(own[:head] < entry_until)
-    return count, out, own[entries], leaves[entries], size[entries] + 1
+    entries = np.flatnonzero(both[:head] < entry_until)
+    return (len(links), int(weight[links].sum()), out, both[entries], leaves[entries], size[entries] + 1,
+            (sums + weight[last])[entries])
 
 
 def chain_counts(times: DataFrame, keys: list[str], gaps_us: list[int], cap_us: int | None, block_caps: int = BLOCK_CAPS,
                  times_per_block: int = TIMES_PER_BLOCK) -> DataFrame:
-    """``gap_us, n``: how many sessions, split at the cap, the distinct times ``t`` of the keys form under each gap.
-
-    With the times of a key in order, a gap breaks them wherever neighbours are farther apart: all gaps are read off one
-    sorted pass, and no row is copied per gap. Without a cap that is a histogram of the neighbours' distances. With one, a
-    break also starts a chain anew, so only the piece of a block before its first break depends on the block before; those
-    pieces are small maps as in :func:`chain_starts`, and only where whole blocks have no break are maps composed.
+    """``gap_us, n``: how many sessions, split at the cap, the distinct times ``t`` of the keys form under each gap."""
+    gaps = sorted(set(gaps_us))
+    rows = times.select(*keys, "t", *[F.lit(v).cast("long").alias(c) for c, v in (("level", 0), ("n", 1), ("noise", 0))])
+    found = chain_sums(rows, keys, [(g, 0) for g in gaps], cap_us, block_caps, times_per_block)
+    return found.select(F.get(F.array(*map(F.lit, gaps)), F.col("variant")).cast("long").alias("gap_us"), "n")
+
+
+def chain_sums(times: DataFrame, keys: list[str], variants: list[tuple[int, int]], cap_us: int | None,
+               block_caps: int = BLOCK_CAPS, times_per_block: int = TIMES_PER_BLOCK) -> DataFrame:
+    """``variant, n, absorbed`` for each variant (gap, level): sessions, split at the cap, of the rows of that level and below,
+    and the ``noise`` in those of them that hold other rows as well. ``times`` has keys, t, level, n (rows) and noise.
+
+    With the times of a key in order, a gap breaks them wherever neighbours are farther apart, and the rows of a level are a
+    selection of them: all variants are read off one sorted pass, and no row is copied per variant. Without a cap that is a
+    count of breaks. With one, a break also starts a chain anew, so only the piece of a block before its first break depends
+    on the block before; those pieces are small maps as in :func:`chain_starts`, and only where whole blocks have no break
+    are maps composed.
     """
-    gaps, cap = sorted(set(gaps_us)), cap_us if cap_us is not None else (1 << 60)
-    times = stored(times.select(*keys, "t"), "chain-times")
-    unit = cap_us if cap_us is not None else gaps[-1]
+    cap, longest = cap_us if cap_us is not None else (1 << 60), max(g for g, _ in variants)
+    times = stored(times.select(*keys, "t", "level", "n", "noise"), "chain-times")
+    unit = cap_us if cap_us is not None else longest
     cells = times.groupBy(*keys, F.floor(F.col("t") / F.lit(unit)).alias("cell")).agg(F.count("*").alias("n"))
     dense = cells.agg(F.max("n")).first()[0] or 1
-    jump = unit + gaps[-1]
+    jump = unit + longest
     width = max(max(1, min(block_caps, times_per_block // dense)) * unit, jump)
     block = F.floor(F.col("t") / F.lit(width))
     offset = F.col("t") - block * width
@@ -244,38 +262,52 @@ def chain_counts(times: DataFrame, keys: list[str], gaps_us: list[int], cap_us:
     placed = times.select(*keys, F.explode(F.concat(
         F.array(F.struct(block.alias("block"), F.lit(OWN).alias("side"))),
         F.when(offset < jump, F.array(F.struct((block - 1).alias("block"), F.lit(AFTER).alias("side")))).otherwise(F.array()),
-        F.when(offset >= width - gaps[-1], F.array(F.struct((block + 1).alias("block"), F.lit(BEFORE).alias("side")))).otherwise(F.array()),
-    )).alias("at"), "t").select(*keys, "at.block", "at.side", "t")
+        F.when(offset >= width - longest, F.array(F.struct((block + 1).alias("block"), F.lit(BEFORE).alias("side")))).otherwise(F.array()),
+    )).alias("at"), "t", "level", "n", "noise").select(*keys, "at.block", "at.side", "t", "level", "n", "noise")
+
+    def of_level(side, t, level, n, noise, most):
+        """The rows of a level and below: times before the block, the block's and later ones without repeats, and sums."""
+        rows = level <= most
+        before, later = t[rows & (side == BEFORE)], rows & (side != BEFORE)
+        t, side = t[later], side[later]
+        first = np.flatnonzero(np.diff(t, prepend=NONE))
+        add = lambda c: np.concatenate([[0], np.cumsum(np.add.reduceat(c[later], first) if len(first) else c[:0])])
+        return before, t[first], int((side[first] == OWN).sum()), add(n), add(noise)
 
     def walk(batches):
         def run(groups):
-            for head, (side, t) in groups:
-                before, own, after = (t[side == s] for s in (BEFORE, OWN, AFTER))
-                if not len(own):
+            for head, columns in groups:
+                if not (columns[0] == OWN).any():
                     continue
                 until = head.column("block")[0].as_py() * width + jump
-                rows = []
-                for gap in gaps:
-                    count, out, entries, leaves, sizes = _gap_block(before, own, after, gap, cap, until)
-                    rows.append(([gap], [COUNT], [0], [0], [count]))
+                rows, levels = [], {m: of_level(*columns, m) for m in {m for _, m in variants}}
+                for v, (gap, most) in enumerate(variants):
+                    before, both, n_own, all_rows, noise_rows = levels[most]
+
+                    def absorbed(i, j):
+                        noise = noise_rows[j] - noise_rows[i]
+                        return np.where(noise < all_rows[j] - all_rows[i], noise, 0)
+
+                    count, weight, out, entries, leaves, sizes, sums = _piece(before, both, n_own, gap, cap, until, absorbed)
+                    rows.append(([v], [COUNT], [0], [0], [count], [weight]))
                     if out != NONE:
-                        rows.append(([gap], [LEAVE], [out], [0], [0]))
-                    n = len(entries)
-                    rows.append((np.full(n, gap), np.full(n, MAP), entries, leaves, sizes))
+                        rows.append(([v], [LEAVE], [out], [0], [0], [0]))
+                    rows.append((np.full(len(entries), v), np.full(len(entries), MAP), entries, leaves, sizes, sums))
                 yield head, [np.concatenate(c).astype("int64") for c in zip(*rows)]
-        yield from _flow(run(_groups(batches, place)), place, ["gap_us", "kind", "at", "to", "n"])
+        yield from _flow(run(_groups(batches, place)), place, names)
 
-    fields = [*[times.schema[c] for c in keys], *[T.StructField(c, T.LongType()) for c in ("block", "gap_us", "kind", "at", "to", "n")]]
+    names = ["variant", "kind", "at", "to", "n", "absorbed"]
+    fields = [*[times.schema[c] for c in keys], *[T.StructField(c, T.LongType()) for c in ("block", *names)]]
     found = stored(placed.repartition(*place).sortWithinPartitions(*place, "t").mapInArrow(walk, T.StructType(fields)), "chain-counts")
-    group = ["gap_us", *keys]
-    free = found.where(F.col("kind") == COUNT).select("gap_us", "n")
+    group, sums = ["variant", *keys], ["variant", "n", "absorbed"]
+    free = found.where(F.col("kind") == COUNT).select(*sums)
     known = found.where(F.col("kind") == LEAVE).select(*group, "at")
-    maps = found.where(F.col("kind") == MAP).select(*group, "at", "to", "n")
+    maps = found.where(F.col("kind") == MAP).select(*group, "at", "to", "n", "absorbed")
     onward = maps.where(F.col("to") != NONE).select(*group, "at", "to")
     # Chains that cross blocks without a break: entries double the distance they reach with every round.
     while not onward.isEmpty():
         known = stored(known.unionByName(known.join(onward, [*group, "at"]).select(*group, F.col("to").alias("at"))).distinct(), "chain-entries")
         step = onward.select(*group, F.col("at").alias("to"), F.col("to").alias("far"))
         onward = stored(onward.join(step, [*group, "to"]).select(*group, "at", F.col("far").alias("to")), "chain-maps")
-    entered = known.join(maps, [*group, "at"]).select("gap_us", "n")
-    return free.unionByName(entered).groupBy("gap_us").agg(F.sum("n").alias("n"))
+    entered = known.join(maps, [*group, "at"]).select(*sums)
+    return free.unionByName(entered).groupBy("variant").agg(F.sum("n").alias("n"), F.sum("absorbed").alias("absorbed"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from alertfold import schema as S
 from alertfold.functions import scalar as X
 from alertfold.operators import sessions as A
+from alertfold.operators.chains import chain_counts, chain_sums
 from alertfold.operators.relational import union_injected
 from alertfold.schema import MICROS, MINUTE_US
 
@@ -167,35 +168,31 @@ def robustness_sweep(
     """Reduction, its loss against no noise, and how much noise falls into buckets with real alerts, per rate.
 
     Without noise the alerts are taken in arrival order; noisy mixtures are in time order, so that nothing is late.
-    A noise row depends on its number only, so the noise of a rate is the head of the noise of a higher rate, and all
-    noisy rates are sessionized together with the rate in the key.
+    A noise row depends on its number only, so the noise of a rate is the head of the noise of a higher rate: each row has
+    the smallest rate it belongs to as its level, rows of equal time and level are counted before the shuffle, and all noisy
+    rates are counted in one sorted pass (``chains.chain_sums``).
     """
-    slim = alerts.select(*[c for c in A.SESSION_COLUMNS if c != "mitre_tactic" and c in alerts.columns])
-    cap = cap_minutes * MINUTE_US
-    keys = ["noise_rate", *A.KEYS]
-    columns = [*keys, "bucket_start_us", "is_noise"]
-    quiet = A.ordered_alerts(slim, k, lateness_sec).withColumns({"noise_rate": F.lit(0.0), "is_noise": F.lit(0)})
-    parts = [A.assign_buckets(quiet, gap_minutes * MINUTE_US, cap, keys).select(*columns)]
-    noisy = sorted(r for r in rates if r > 0)
+    slim = alerts.select("event_id", "arrival_us", "timestamp", "agent_id", "agent_name", "rule_groups")
+    gap, cap = gap_minutes * MINUTE_US, cap_minutes * MINUTE_US
+    quiet = chain_counts(A.newest_times(A.with_key(A.ordered_alerts(slim, k, lateness_sec))), A.KEYS, [gap], cap)
+    none = F.lit(0).cast("long")
+    per_rate = quiet.select(F.lit(0.0).alias("noise_rate"), F.col("n").alias("n_meta"), none.alias("n_noise"), none.alias("noise_absorbed"))
+    noisy = sorted({float(r) for r in rates if r > 0})
     if noisy:
-        n_alerts = time_span(slim).first().n_alerts
-        limits = F.explode(F.array(*[
-            F.struct(F.lit(float(r)).alias("noise_rate"), F.lit(n_alerts * millionths(r) // 1_000_000).alias("limit"))
-            for r in noisy]))
-        mixed = with_noise(slim, noisy[-1]).select(
-            *A.KEYS, "timestamp", "event_id", "is_noise", limits.alias("l")).where(
-            (F.col("is_noise") == 0) | (-F.col("event_id") <= F.col("l.limit")))
-        ordered = A.O.in_time_order(mixed.select("l.noise_rate", *A.KEYS, "timestamp", "event_id", "is_noise"))
-        parts.append(A.assign_buckets(ordered, gap_minutes * MINUTE_US, cap, keys, time_ordered=True).select(*columns))
-    placed = parts[0]
-    for other in parts[1:]:
-        placed = placed.unionByName(other)
-    buckets = placed.groupBy(*keys, "bucket_start_us").agg(
-        F.count("*").alias("n"), F.sum(F.col("is_noise").cast("long")).alias("noise"))
-    mixed_bucket = (F.col("noise") > 0) & (F.col("noise") < F.col("n"))
-    per_rate = buckets.groupBy("noise_rate").agg(
-        F.count("*").alias("n_meta"), F.sum("noise").alias("n_noise"),
-        F.sum(F.when(mixed_bucket, F.col("noise")).otherwise(0)).alias("noise_absorbed"))
+        n_alerts = slim.count()
+        limits = [n_alerts * millionths(r) // 1_000_000 for r in noisy]
+        mixed = with_noise(slim, noisy[-1])
+        level = F.lit(len(noisy))
+        for i, limit in reversed(list(enumerate(limits))):
+            level = F.when(-F.col("event_id") <= limit, i).otherwise(level)
+        level = F.when(F.col("is_noise") == 0, 0).otherwise(level)
+        times = A.with_key(mixed).groupBy(*A.KEYS, F.unix_micros("timestamp").alias("t"), level.cast("long").alias("level")).agg(
+            F.count("*").alias("n"), F.sum(F.col("is_noise").cast("long")).alias("noise"))
+        sums = chain_sums(times, A.KEYS, [(gap, i) for i in range(len(noisy))], cap)
+        of = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("variant"))
+        per_rate = per_rate.unionByName(sums.select(
+            of(noisy, "double").alias("noise_rate"), F.col("n").alias("n_meta"), of(limits, "long").alias("n_noise"),
+            F.col("absorbed").alias("noise_absorbed")))
     original = alerts.agg(F.count("*").alias("n_original"))
     rated = per_rate.crossJoin(F.broadcast(original)).withColumn(
         "arr", X.reduction_rate(F.col("n_meta"), F.col("n_original")))

@@ -237,3 +237,30 @@ def test_newest_times_follow_processing_order(spark):
     ordered = A.with_key(O.with_processing_order(frame(spark, rows), 8, n_blocks=6))
     got = [tuple(r) for r in A.newest_times(ordered).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("block_caps", [1, 4, 1024])
+def test_mixtures_are_counted_in_one_pass(spark, block_caps):
+    rng, rows = random.Random(block_caps), []
+    for group in range(3):
+        t = rng.randrange(500)
+        for _ in range([3, 900, 2500][group]):
+            level = rng.choice([0, 0, 0, 1, 2])
+            rows.append((f"g{group}", t, level, int(level > 0)))
+            t += rng.choice([0, 1, 2, 3] if group == 2 else [0, 1, 3, 8, 20, 45])
+    df = spark.createDataFrame(rows, "g string, t long, level long, noise long").repartition(3)
+    times = df.groupBy("g", "t", "level").agg(F.count("*").alias("n"), F.sum("noise").alias("noise"))
+    variants = [(9, 0), (9, 1), (9, 2), (30, 2)]
+    got = {r.variant: (r.n, r.absorbed) for r in chains.chain_sums(times, ["g"], variants, 60, block_caps).collect()}
+    for v, (gap, most) in enumerate(variants):
+        buckets = []
+        for group in ("g0", "g1", "g2"):
+            start = last = None
+            for _, t, _, noise in sorted(r for r in rows if r[0] == group and r[2] <= most):
+                if last is None or t - last > gap or t - start > 60:
+                    start = t
+                    buckets.append([0, 0])
+                last = t
+                buckets[-1][0] += 1
+                buckets[-1][1] += noise
+        assert got[v] == (len(buckets), sum(z for n, z in buckets if z < n)), v
