@@ -24,7 +24,7 @@ REQUEST = "chunk int, bucket int, keys binary, checks binary, many binary"
 REPLY = "chunk int, kind int, bucket int, status binary"
 CHUNKS_PER_BLOCK = 4
 CROWD = 64  # distinct blocks of an anchor up to which a group is settled in one task
-SLICE = 1 << 20
+SLICE = 1 << 18  # bytes hashed at once: what a task holds besides its chunk is some twenty arrays of so many numbers
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _BYTE = np.random.default_rng(20240229).integers(0, 1 << 64, (2, 256), U64)
 _powers: dict[int, np.ndarray] = {}
