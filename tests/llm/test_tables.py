@@ -364,10 +364,30 @@ def test_queries_on_given_tables(spark, given):
     assert sorted((str(r["page_id"]), *r[1:]) for r in found) == plain_archive(pages)
 
 
+def plain_near_copies(texts, words=5, radius=13, share=0.8):
+    """Components of texts whose fingerprints are within ``radius`` bits and whose sets of shingles have the similarity ``share``."""
+    split = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split() for t in texts]
+    sets = [{b" ".join(w[i:i + words]) for i in range(max(1, len(w) - words + 1))} for w in split]
+    prints = np.array([plain_fingerprint(t, words) for t in texts], np.uint64)
+    label = list(range(len(texts)))
+
+    def root(k):
+        while label[k] != k:
+            label[k] = label[label[k]]
+            k = label[k]
+        return k
+
+    for i in range(len(texts)):
+        for j in np.flatnonzero(np.bitwise_count(prints[i] ^ prints[:i]) <= radius).tolist():
+            if root(i) != root(j) and len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j]) - 1e-9:
+                label[root(i)] = root(j)
+    return [root(k) for k in range(len(texts))]
+
+
 def plain_pipeline(docs):
     """What the first three stages keep of ``docs`` (rows as dicts): id and text. Verdicts of the rules come from the operator."""
     kept = [d for d in docs if d["keep"]]
-    label = plain_components([plain_fingerprint(d["text"]) for d in kept], 4)
+    label = plain_near_copies([d["text"] for d in kept])
     best = {}
     for d, c in zip(kept, label):
         key = (d["doc_id"] is None, d["doc_id"] or 0)
@@ -376,7 +396,7 @@ def plain_pipeline(docs):
     kept = [d for _, d in best.values()]
     data = [(d["text"] or "").encode() for d in kept]
     return {d["doc_id"]: bytes(c for c, y in zip(x, m) if not y).decode(errors="ignore")
-            for d, x, m in zip(kept, data, plain_cut(data, 400))}
+            for d, x, m in zip(kept, data, plain_cut(data, corpus_pipeline.REPEAT_BYTES))}
 
 
 @pytest.mark.parametrize("source", ["given", "awkward"])
@@ -397,6 +417,24 @@ def test_pipeline(spark, request, source):
     assert {r["doc_id"] for r in packed} == set(expected)
 
 
+def test_repeats_of_over_fifty_words_go(spark, given):
+    """Stage 3 on the given texts: passages of 51 to 60 words of a text, put into other documents, are cut; the rest stays."""
+    pool = [t.split() for (t,) in table(spark, given, "documents").where("length(text) > 3000").select("text").limit(20).collect()]
+    rng, rows, planted = random.Random(2), [], []
+    for k, words in enumerate(pool):
+        passage = words[100:151 + k % 10]
+        planted.append(" ".join(passage))
+        for copy in range(3):
+            own = [f"{rng.choice(words[:40])}{rng.randrange(10**6)}" for _ in range(120)]
+            rows.append((len(rows), " ".join([*own[:60], *passage, *own[60:]]), " ".join(own), k))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeated_strings(spark, docs, "").collect()}
+    caught = sum(planted[k] not in got[i] and len(got[i]) <= len(own) + 40 for i, _, own, k in rows)
+    assert caught / len(rows) >= 0.95
+    kept = sum(set(own.split()[:59] + own.split()[61:]) <= set(got[i].split()) for i, _, own, _ in rows)
+    assert kept / len(rows) >= 0.95
+
+
 def test_pipeline_of_nothing(spark, nothing):
     now = nothing
     for name, stage in corpus_pipeline.STAGES:
