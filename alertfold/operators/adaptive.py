@@ -9,8 +9,7 @@ of the processing order is therefore reduced to one map, the few maps are chaine
 own starting state. Rows are never gathered.
 """
 
-from bisect import bisect_right
-
+import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -27,12 +26,16 @@ SHRINK, GROW = 0.80, 1.20
 def _blocks(batches):
     """``(block, times)`` pieces in processing order; a block may arrive in several pieces."""
     for batch in batches:
-        blocks, times = batch.column("proc_block").to_pylist(), batch.column("_ts").to_pylist()
-        i = 0
-        while i < len(blocks):
-            j = bisect_right(blocks, blocks[i], i)
-            yield blocks[i], times[i:j]
-            i = j
+        blocks, times = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("proc_block", "_ts"))
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for i, j in zip(cuts, cuts[1:]):
+            if j > i:
+                yield int(blocks[i]), times[i:j]
+
+
+def _steps(times: np.ndarray, before: int | None) -> np.ndarray:
+    """Distance of every row to the row before it; 0 for the first row of all."""
+    return np.diff(times, prepend=times[0] if before is None else before)
 
 
 def _summaries(narrow: DataFrame) -> list:
@@ -40,12 +43,10 @@ def _summaries(narrow: DataFrame) -> list:
     def run(batches):
         found = {}
         for block, times in _blocks(batches):
-            first, last, gaps = found.get(block, (times[0], None, []))
-            for t in times:
-                if last is not None and t > last and len(gaps) < WARMUP:
-                    gaps.append(t - last)
-                last = t
-            found[block] = (first, last, gaps)
+            first, last, gaps = found.get(block, (int(times[0]), None, []))
+            steps = _steps(times, last)
+            gaps = [*gaps, *steps[steps > 0][: WARMUP - len(gaps)].tolist()]
+            found[block] = (first, int(times[-1]), gaps)
         if found:
             yield pa.RecordBatch.from_pydict({
                 "block": list(found), "first": [v[0] for v in found.values()], "last": [v[1] for v in found.values()],
@@ -54,6 +55,25 @@ def _summaries(narrow: DataFrame) -> list:
     return sorted(narrow.mapInArrow(run, "block long, first long, last long, gaps array<long>").collect())
 
 
+def moving_average(values: np.ndarray, start: float, alpha: float, chunk: int = 128) -> np.ndarray:
+    """The exponential mean after each value, from ``start`` on: a chunk at a time by its triangle of weights."""
+    ages = np.arange(chunk)[:, None] - np.arange(chunk)[None, :]
+    weights = np.where(ages >= 0, alpha * (1 - alpha) ** np.maximum(ages, 0), 0.0)
+    fade, out = (1 - alpha) ** np.arange(1, chunk + 1), np.empty(len(values))
+    for at in range(0, len(values), chunk):
+        part = values[at:at + chunk]
+        n = len(part)
+        out[at:at + n] = weights[:n, :n] @ part + fade[:n] * start
+        start = out[at + n - 1]
+    return out
+
+
+def _runs(factors: np.ndarray):
+    """(first, end, factor) of runs of equal factors, those of 1 left out."""
+    cuts = [0, *(np.flatnonzero(np.diff(factors)) + 1).tolist(), len(factors)]
+    return ((i, j, float(factors[i])) for i, j in zip(cuts, cuts[1:]) if j > i and factors[i] != 1)
+
+
 def _plan(summaries: list):
     """Time before each block, positive gaps counted before it (up to the warm-up) and the base gap in seconds."""
     before, seen, start, gaps = None, {}, {}, []
@@ -78,26 +98,22 @@ def with_adaptive_gap(ordered: DataFrame, base_minutes: float, alpha: float = AL
     start, seen, mean = _plan(summaries)
     order = [s[0] for s in summaries]
 
-    def gaps_of(state, times):
-        """Positive gaps after the warm-up, or None for rows that do not move the mean."""
-        last, count = state
-        for t in times:
-            moved = None
-            if last is not None and t > last:
-                if count >= WARMUP:
-                    moved = (t - last) / MICROS
-                count += 1
-            last = t
-            yield moved, (last, count)
+    def gaps_of(states, block, times):
+        """Where the mean moves, and by which gaps (seconds); keeps the block's last time and number of positive gaps."""
+        before, count = states.get(block, (start[block], seen[block]))
+        steps = _steps(times, before)
+        positive = steps > 0
+        moves = np.flatnonzero(positive & (count + np.cumsum(positive) > WARMUP))
+        states[block] = (int(times[-1]), count + int(positive.sum()))
+        return moves, steps[moves] / MICROS
 
     def average_maps(batches):
         maps, states = {}, {}
         for block, times in _blocks(batches):
             a, c = maps.get(block, (1.0, 0.0))
-            for gap, states[block] in gaps_of(states.get(block, (start[block], seen[block])), times):
-                if gap is not None:
-                    a, c = (1 - alpha) * a, alpha * gap + (1 - alpha) * c
-            maps[block] = (a, c)
+            gaps = gaps_of(states, block, times)[1]
+            # The mean after these gaps is a * mean + c; nothing but c is left of a long piece.
+            maps[block] = (a * (1 - alpha) ** len(gaps), float(moving_average(gaps, c, alpha)[-1]) if len(gaps) else c)
         if maps:
             yield pa.RecordBatch.from_pydict({
                 "block": list(maps), "a": [m[0] for m in maps.values()], "c": [m[1] for m in maps.values()]})
@@ -110,18 +126,16 @@ def with_adaptive_gap(ordered: DataFrame, base_minutes: float, alpha: float = AL
             averages[b] = value
             value = found[b][0] * value + found[b][1]
 
-    def steps(block_states, block, times):
-        """Factor of every row: 0.8, 1.2 or none."""
-        flow, value = block_states.get(block, ((start[block], seen[block]), averages.get(block)))
-        for gap, flow in gaps_of(flow, times):
-            factor = None
-            if gap is not None and mean is not None:
-                value = alpha * gap + (1 - alpha) * value
-                ratio = mean / value if value > 0 else None
-                if ratio is not None:
-                    factor = SHRINK if ratio >= BUSY else GROW if ratio <= QUIET else None
-            yield factor
-        block_states[block] = (flow, value)
+    def factors_of(flow, means, block, times):
+        """Factor of every row, 1 where the gap stays."""
+        factors = np.ones(len(times))
+        moves, gaps = gaps_of(flow, block, times)
+        if mean is not None and len(gaps):
+            pace = moving_average(gaps, means.get(block, averages.get(block)), alpha)
+            means[block] = float(pace[-1])
+            ratio = np.divide(mean, pace, out=np.ones(len(pace)), where=pace > 0)
+            factors[moves] = np.where(ratio >= BUSY, SHRINK, np.where(ratio <= QUIET, GROW, 1.0))
+        return factors
 
     def limit(x, low, high):
         return min(max(x, low), high)
@@ -131,12 +145,15 @@ def with_adaptive_gap(ordered: DataFrame, base_minutes: float, alpha: float = AL
         return limit(factor * x, lo, hi)
 
     def gap_maps(batches):
-        maps, states = {}, {}
+        maps, flow, means = {}, {}, {}
         for block, times in _blocks(batches):
             a, low, high = maps.get(block, (1.0, lo, hi))
-            for factor in steps(states, block, times):
-                if factor is not None:
+            for i, j, factor in _runs(factors_of(flow, means, block, times)):
+                for _ in range(j - i):
+                    before = low, high
                     a, low, high = factor * a, move(low, factor), move(high, factor)
+                    if low == high == before[0]:  # at a bound, where a run of this factor stays
+                        break
             maps[block] = (a, low, high)
         if maps:
             rows = list(maps.values())
@@ -155,18 +172,26 @@ def with_adaptive_gap(ordered: DataFrame, base_minutes: float, alpha: float = AL
     names = [c for c in placed.columns if c != "_ts"]
 
     def run(batches):
-        states, current = {}, {}
+        flow, means, current = {}, {}, {}
         for batch in batches:
             out = []
             for block, times in _blocks([batch]):
-                value = current.get(block, gap_at[block])
-                for factor in steps(states, block, times):
-                    if factor is not None:
-                        value = move(value, factor)
-                    out.append(round(value))
+                value, at = current.get(block, gap_at[block]), 0
+                gap = np.empty(len(times))
+                for i, j, factor in _runs(factors_of(flow, means, block, times)):
+                    gap[at:i] = value
+                    for at in range(i, j):
+                        before, value = value, move(value, factor)
+                        gap[at] = value
+                        if value == before:
+                            break
+                    gap[at:j] = value
+                    at = j
+                gap[at:] = value
                 current[block] = value
+                out.append(np.rint(gap).astype("int64"))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in names], pa.array(out, pa.int64())], names=[*names, "cur_dt_us"])
+                [*[batch.column(n) for n in names], pa.array(np.concatenate([np.zeros(0, "int64"), *out]))], names=[*names, "cur_dt_us"])
 
     schema = T.StructType([*ordered.schema.fields, T.StructField("cur_dt_us", T.LongType())])
     return placed.mapInArrow(run, schema)
