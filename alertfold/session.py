@@ -53,9 +53,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, for plans that grow with every round of a loop."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
