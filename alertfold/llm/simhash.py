@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -23,6 +24,11 @@ from alertfold.llm.components import components
 
 TILE = 1 << 16
 _PAIRS_AT_ONCE = 1 << 22
+SKETCH, SHARED = 16, 3  # smallest shingle hashes that a node carries, and how many of them near copies have in common
+_PAD, _SKETCHES_AT_ONCE = 0xFFFFFFFF, 1 << 14
+BLOCK = 1 << 21  # shingles of a block of texts that are compared in one task
+_NODE_WEIGHT = 32  # shingles that a text counts for besides its own, so that a block has at most BLOCK / 32 texts
+_VALUES_AT_ONCE = 1 << 21
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = np.arange(8) * 256
@@ -159,11 +165,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     return fps.join(named, "fp").select(id_column, "fp", "component_id")
 
 
+def _sketch(values: list[int]) -> bytes:
+    """The ``SKETCH`` smallest different upper halves of hash values, as unsigned 32-bit integers; ``_PAD`` fills it up."""
+    least = np.unique(np.minimum(np.array(values, np.uint64) >> np.uint64(32), _PAD - 1).astype(np.uint32))[:SKETCH]
+    return np.concatenate([least, np.full(SKETCH - len(least), _PAD, np.uint32)]).tobytes()
+
+
 def _nodes(numbered: DataFrame, order: str, text: str, words: int) -> DataFrame:
     """One row per different word sequence of ``numbered``: ``first``, the smallest ``order`` that has it, ``node``, the
-    row number in there, the fingerprint ``fp`` and ``n``, how many different shingles it has."""
+    row number in there, the fingerprint ``fp``, ``n``, how many different shingles it has, and their ``sketch``."""
     docs = numbered.select(F.col(order).alias("first"), text)
-    schema = T.StructType([docs.schema["first"], *T.StructType.fromDDL("digest binary, fp long, n int").fields])
+    schema = T.StructType([docs.schema["first"], *T.StructType.fromDDL("digest binary, fp long, n int, sketch binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,10 +183,11 @@ def _nodes(numbered: DataFrame, order: str, text: str, words: int) -> DataFrame:
             prints = np.array([_votes(values) if values else 0 for _, values in found], "<u8")
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([xxhash.xxh3_128_digest(body) for body, _ in found], pa.binary()),
-                pa.array(prints.view("<i8")), pa.array([len(set(values)) for _, values in found], pa.int32())], schema.fieldNames())
+                pa.array(prints.view("<i8")), pa.array([len(set(values)) for _, values in found], pa.int32()),
+                pa.array([_sketch(values) for _, values in found], pa.binary())], schema.fieldNames())
 
-    return docs.mapInArrow(run, schema).groupBy("digest", "fp", "n").agg(F.min("first").alias("first")).select(
-        F.col("first.row").alias("node"), "fp", "n", "first")
+    return docs.mapInArrow(run, schema).groupBy("digest", "fp", "n", "sketch").agg(F.min("first").alias("first")).select(
+        F.col("first.row").alias("node"), "fp", "n", "sketch", "first")
 
 
 def _span(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -191,46 +204,64 @@ def _span(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         taken.append(left[at])
 
 
-def near_pairs(left: np.ndarray, right: np.ndarray, same: bool, radius: int, share: float, every: bool) -> Iterator[tuple]:
-    """Pairs of nodes of two tiles (columns node, root, fp, n) that differ in at most ``radius`` bits, whose shingle
-    counts allow a Jaccard similarity of ``share`` and whose roots differ: ``every`` one, or those that span the others,
-    close ones first. ``same``: both tiles are one."""
-    left, right = (t[:, np.argsort(t[3], kind="stable")] for t in (left, right))
-    label = np.arange(left.shape[1] + (0 if same else right.shape[1]))
-    offset, at = 0 if same else left.shape[1], 0
-    while at < left.shape[1]:
-        least = np.searchsorted(right[3], np.ceil(share * left[3, at] - 1e-9))
-        step = max(1, _PAIRS_AT_ONCE // max(1, right.shape[1] - least))
-        rows = left[:, at:at + step]
-        most = np.searchsorted(right[3], np.floor(rows[3, -1] / share + 1e-9), side="right")
-        others = right[:, least:most]
-        bits = np.bitwise_count(rows[2].view(np.uint64)[:, None] ^ others[2].view(np.uint64)[None, :])
+@dataclass
+class Tile:
+    """Nodes of a tile in the order of their shingle counts."""
+    node: np.ndarray
+    fp: np.ndarray
+    n: np.ndarray
+    sketch: np.ndarray
+
+    def __post_init__(self):
+        order = np.argsort(self.n, kind="stable")
+        self.node, self.fp, self.n, self.sketch = (x[order] for x in (self.node, self.fp, self.n, self.sketch))
+
+
+def _alike(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether the sketches ``a`` and ``b`` of each pair share at least ``least`` values."""
+    found = np.empty(len(a), bool)
+    for at in range(0, len(a), _SKETCHES_AT_ONCE):
+        x, y = a[at:at + _SKETCHES_AT_ONCE], b[at:at + _SKETCHES_AT_ONCE]
+        shared = ((x[:, :, None] == y[:, None, :]) & (x != _PAD)[:, :, None]).sum((1, 2))
+        found[at:at + _SKETCHES_AT_ONCE] = shared >= least[at:at + _SKETCHES_AT_ONCE]
+    return found
+
+
+def near_pairs(left: Tile, right: Tile, same: bool, radius: int, share: float) -> Iterator[tuple]:
+    """Pairs of nodes that span all pairs of two tiles that differ in at most ``radius`` bits, whose shingle counts allow a
+    Jaccard similarity of ``share`` and whose sketches don't speak against it. ``same``: both tiles are one."""
+    label = np.arange(len(left.n) + (0 if same else len(right.n)))
+    offset, at = 0 if same else len(left.n), 0
+    while at < len(left.n):
+        least = np.searchsorted(right.n, np.ceil(share * left.n[at] - 1e-9))
+        step = max(1, _PAIRS_AT_ONCE // max(1, len(right.n) - least))
+        rows = slice(at, at + step)
+        most = np.searchsorted(right.n, np.floor(left.n[rows][-1] / share + 1e-9), side="right")
+        bits = np.bitwise_count(left.fp[rows].view(np.uint64)[:, None] ^ right.fp[least:most].view(np.uint64)[None, :])
         r, c = np.nonzero(bits <= radius)
-        n, m = rows[3][r], others[3][c]
-        fit = (np.minimum(n, m) >= share * np.maximum(n, m) - 1e-9) & (rows[1][r] != others[1][c])
+        r, c = at + r, least + c
+        small, large = np.minimum(left.n[r], right.n[c]), np.maximum(left.n[r], right.n[c])
+        fit = (small >= share * large - 1e-9) & (_root(label, r) != _root(label, offset + c))
         if same:
-            fit &= rows[0][r] < others[0][c]
+            fit &= left.node[r] < right.node[c]
+        r, c, small = r[fit], c[fit], small[fit]
+        fit = _alike(left.sketch[r], right.sketch[c], np.minimum(small, SHARED))
         r, c = r[fit], c[fit]
-        if not every:
-            close = np.argsort(bits[r, c], kind="stable")
-            r, c = r[close], c[close]
-            spanning = _span(label, at + r, offset + least + c)
-            r, c = r[spanning], c[spanning]
-        yield rows[0][r], others[0][c]
+        spanning = _span(label, r, offset + c)
+        yield left.node[r[spanning]], right.node[c[spanning]]
         at += step
 
 
-def _candidates(nodes: DataFrame, radius: int, share: float, every: bool, tile: int) -> DataFrame:
+def _candidates(nodes: DataFrame, radius: int, share: float, tile: int) -> DataFrame:
     """Pairs (u, v) of :func:`near_pairs` over all tiles. A tile holds nodes of one size class; the shingle counts of
     neighbouring classes differ by the factor ``share``, so that only a class and the next one meet."""
     nodes = nodes.where("n > 0").withColumn("p", F.floor(F.log("n") / math.log(1 / share)).cast("int"))
     sizes = {r["p"]: r["size"] for r in nodes.groupBy("p").agg(F.count("*").alias("size")).collect()}  # one row per class
     slots = [-(-sizes.get(p, 0) // tile) for p in range(max(sizes, default=0) + 2)]
     slots_of = lambda p: F.get(F.array(*map(F.lit, slots)), p)
-    columns = ("node", "root", "fp", "n")
+    columns = ("node", "fp", "n", "sketch")
     tiles = (nodes.select(*columns, "p", F.pmod(F.xxhash64("node"), slots_of(F.col("p"))).cast("int").alias("i"))
-             .groupBy("p", "i").agg(F.collect_list(F.struct(*columns)).alias("rows"))
-             .select("p", "i", F.array(*[F.col("rows")[c].cast("array<long>") for c in columns]).alias("rows")))
+             .groupBy("p", "i").agg(F.collect_list(F.struct(*columns)).alias("rows")))
     partners = F.flatten(F.transform(F.array(F.col("p"), F.col("p") + 1), lambda q: F.when(slots_of(q) > 0, F.transform(
         F.sequence(F.lit(0), slots_of(q) - 1), lambda j: F.struct(q.alias("q"), j.alias("j")))).otherwise(
             F.array().cast("array<struct<q:int,j:int>>"))))
@@ -240,49 +271,125 @@ def _candidates(nodes: DataFrame, radius: int, share: float, every: bool, tile:
     met = mine.join(theirs, ["q", "j"]).select("mine", "theirs", F.expr("p = q AND i = j").alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = lambda x: x.values.flatten().to_numpy(zero_copy_only=False).reshape(4, -1)
+        def side(rows: pa.ListScalar) -> Tile:
+            node, fp, n, sketch = rows.values.flatten()
+            values = np.frombuffer(b"".join(sketch.to_pylist()), np.uint32).reshape(-1, SKETCH)
+            return Tile(*(x.to_numpy(zero_copy_only=False) for x in (node, fp, n)), values)
+
         for batch in batches:
             for k in range(batch.num_rows):
-                sides = matrix(batch.column(0)[k]), matrix(batch.column(1)[k])
-                for u, v in near_pairs(*sides, batch.column(2)[k].as_py(), radius, share, every):
+                sides = side(batch.column(0)[k]), side(batch.column(1)[k])
+                for u, v in near_pairs(*sides, batch.column(2)[k].as_py(), radius, share):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return met.mapInArrow(run, "u long, v long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
-    """Pairs whose sets of shingles, compared as words, have a Jaccard similarity of at least ``share``."""
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = texts.join(needed, "node", "left_semi")
-    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"{name}_text"))
+class Sets:
+    """Sets of hash values that are numbered together, in the order in which they were given."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        values, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        self.numbers, self.seen = numbers.astype(np.int32), np.zeros(len(values), bool)
+        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.start = np.cumsum(self.size) - self.size
+
+    def shared(self, one: int, others: np.ndarray) -> np.ndarray:
+        """How many values the set ``one`` shares with each of ``others``; no set is empty."""
+        mine = self.numbers[self.start[one]:self.start[one] + self.size[one]]
+        self.seen[mine] = True
+        size = self.size[others]
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[others] - ends + size, size) + np.arange(ends[-1])
+        found = np.add.reduceat(self.seen[self.numbers[at]].view(np.uint8), ends - size, dtype=np.int64)
+        self.seen[mine] = False
+        return found
+
+
+def similar(sets: Sets, fp: np.ndarray, block: np.ndarray, radius: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (u, v) of links that span all links between two blocks, or in one if all of ``block`` are equal: pairs
+    within ``radius`` bits with a Jaccard similarity of at least ``share``."""
+    label, found = np.arange(len(fp)), []
+    across = block[0] != block[-1]
+    prints = fp.view(np.uint64)
+    for u in range(len(fp)):
+        v = np.flatnonzero(np.bitwise_count(prints[u + 1:] ^ prints[u]) <= radius) + u + 1
+        if across:
+            v = v[block[v] != block[u]]
+        v = v[np.minimum(sets.size[v], sets.size[u]) >= share * np.maximum(sets.size[v], sets.size[u]) - 1e-9]
+        if len(v):
+            v = v[_root(label, v) != _root(label, np.array([u]))]
+        while len(v):  # a bounded number of values at a time; what one part links needs no test in the next
+            part = v[:max(1, int(np.searchsorted(np.cumsum(sets.size[v]), _VALUES_AT_ONCE)))]
+            both = sets.shared(u, part)
+            near = part[both >= share * (sets.size[part] + sets.size[u] - both) - 1e-9]
+            near = near[_span(label, np.full(len(near), u), near)]
+            found.append((np.full(len(near), u), near))
+            v = v[len(part):]
+            v = v[_root(label, v) != _root(label, np.array([u]))]
+    if not found:
+        return label[:0], label[:0]
+    return np.concatenate([u for u, _ in found]), np.concatenate([v for _, v in found])
 
-    def shingles(text: str | None) -> set[bytes]:
-        found = (text or "").encode().translate(_LOWER).split()
-        return {b" ".join(found[k:k + words]) for k in range(max(1, len(found) - words + 1))}
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal ``keys`` of sorted batches."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            now = tuple(values[:, a])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _confirmed(nodes: DataFrame, groups: DataFrame, texts: DataFrame, words: int, radius: int, share: float,
+               block: int) -> DataFrame:
+    """Links (u, v) that span all pairs of a group of ``groups`` (node, root) within ``radius`` bits with a Jaccard
+    similarity of at least ``share``.
+
+    A group is dealt out to blocks of about ``block`` shingles, and every two of its blocks meet in one task. A text
+    travels once per pair of blocks that it is in, which is once in all for a group of one block, and never with a pair.
+    """
+    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).join(
+        nodes.select("node", "fp", "n"), "node")
+    sizes = members.groupBy("root").agg(F.ceil(F.sum(F.col("n") + _NODE_WEIGHT) / block).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "root").select(
+        "node", "root", "fp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    met = texts.join(dealt, "node").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "node", "root", "fp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "text")
+    keys = ["root", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, one = None, set()
-        for batch in batches:
-            keep = []
-            for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if u != last:
-                    last, one = u, shingles(a.as_py())
-                other = shingles(b.as_py())
-                both = len(one & other)
-                keep.append(both >= share * (len(one) + len(other) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        for rows in _runs(batches, keys):
+            sets = Sets([np.unique(np.array(_shingles(t, words, 42)[1], np.uint64)) for t in rows.column("text").to_pylist()])
+            node, fp, blocks = (rows.column(c).to_numpy() for c in ("node", "fp", "block"))
+            u, v = similar(sets, fp, blocks, radius, share)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
 
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
+    return met.repartition(*keys).sortWithinPartitions(*keys, "block", "node").mapInArrow(run, "u long, v long")
 
 
-def keep_one_similar(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 5, radius: int = 13,
-                     share: float = 0.8, tile: int = TILE) -> DataFrame:
+def keep_one_similar(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 5, radius: int = 18,
+                     share: float = 0.8, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """``docs`` with one row, chosen as in :func:`keep_one`, of each group that links join. A link needs at most ``radius``
     differing bits and a Jaccard similarity of the sets of shingles of ``words`` words of at least ``share``, which is
-    computed on the texts; texts with equal words, or with none, are copies.
+    computed on the 64-bit hashes of all shingles; texts with equal words, or with none, are copies.
 
-    A first pass tests the pairs that span all candidates, a second one every candidate pair whose ends are still apart.
-    So no link is missed, while a large group of near copies costs about as many tests as it has rows.
+    Tiles of fingerprints give the pairs that span all candidates: within ``radius`` bits, of fitting sizes, and with at
+    least ``SHARED`` of the ``SKETCH`` smallest shingle hashes in common, which a pair of similarity 0.8 misses once in
+    10**8. So texts that are near by chance alone don't meet, and the radius can be one that hardly loses a link. The groups
+    of candidates are then compared in blocks that fit a task. A group of any size, linked or not, leaves at most one row
+    per member and pair of blocks; no pair is a row.
     """
     row = free_name(docs, "row")
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
@@ -291,18 +398,10 @@ def keep_one_similar(docs: DataFrame, text: str = "text", id_column: str = "doc_
         order, F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col(row).alias("row")))
     nodes = stored(_nodes(ordered, order, text, words), "nodes")
     texts = numbered.select(F.col(row).alias("node"), F.col(text).alias("text"))
-
-    def tested(marked: DataFrame, every: bool) -> DataFrame:
-        pairs = stored(_candidates(marked, radius, share, every, tile), "pairs")
-        return stored(_confirmed(pairs, texts, words, share), "confirmed")
-
-    rooted = lambda found: nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spanning = tested(nodes.withColumn("root", F.col("node")), False)
-    roots = rooted(components(spanning))
-    others = tested(roots, True)
-    if not others.isEmpty():
-        roots = rooted(components(spanning.unionByName(others)))
-    kept = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    groups = components(_candidates(nodes, radius, share, tile))
+    roots = components(_confirmed(nodes, groups, texts, words, radius, share, block))
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(
+        F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return numbered.join(kept, row, "left_semi").drop(row)
 
 
