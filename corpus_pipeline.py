@@ -24,9 +24,9 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: SimHashes of 5-word shingles within 13 bits propose links, a Jaccard
+    """One document of each group of near copies: SimHashes of 5-word shingles within 18 bits propose links, a Jaccard
     similarity of the texts' 5-word shingles of 0.8 or more confirms them."""
-    return simhash.keep_one_similar(docs, words=5, radius=13, share=0.8)
+    return simhash.keep_one_similar(docs, words=5, radius=18, share=0.8)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
