@@ -143,6 +143,9 @@ class WarcArchive(DataSource):
         return "warc"
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        system, folder = fs.FileSystem.from_uri(self.options["path"])
+        if system.get_file_info(f"{folder}/{MANIFEST}").type != fs.FileType.NotFound:
+            raise FileExistsError(f"{folder} already holds an archive")
         return _Writer(self.options["path"], int(self.options.get("rollbytes", 64 << 20)))
 
 
@@ -168,7 +171,8 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = 64 << 20) -> str:
-    """Writes the archive of ``pages`` below ``folder`` (a path or URI that all executors reach) and returns its URI."""
+    """Writes the archive of ``pages`` below ``folder`` (a path or URI that all executors reach) and returns its URI. A folder
+    that holds a committed archive is refused, so that no record is overwritten."""
     uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     pages.sparkSession.dataSource.register(WarcArchive)
     (records(pages, min_bytes).repartitionByRange(blocks_for(pages, "html"), *KEY)
@@ -192,8 +196,15 @@ def _parsed(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """One row of ``READ`` per record of the committed files. The payload of a response is checked against its digest."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
+    """One row of ``READ`` per record of the files that the manifest names; other files, such as those of a write that died
+    before its manifest, are not read, and a folder without manifest is an error. The payload of a response is checked
+    against its digest."""
+    system, place = fs.FileSystem.from_uri(folder)
+    with system.open_input_stream(f"{place}/{MANIFEST}") as manifest:
+        paths = [f"{folder}/{file['name']}" for file in json.loads(manifest.read())["files"]]
+    if not paths:
+        return spark.createDataFrame([], READ)
+    files = spark.read.format("binaryFile").load(paths).select("content")
     fields = [f.strip().split()[0] for f in READ.split(",")]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 

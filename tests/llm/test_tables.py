@@ -408,6 +408,20 @@ def test_queries_on_given_tables(spark, given):
     assert sorted((str(r["page_id"]), *r[1:]) for r in found) == plain_archive(pages)
 
 
+def test_archive_is_what_its_manifest_names(spark):
+    page = lambda k: spark.createDataFrame([(k, "http://a", f"payload {k}")], "page_id long, url string, html string")
+    folder = warc.write(page(1), new_folder(spark, "test-warc"))
+    with pytest.raises(Exception, match="already holds an archive"):
+        warc.write(page(2), folder)
+    place = folder.removeprefix("file://").removeprefix("file:")
+    with open(f"{place}/part-000099-00000.warc.gz", "wb") as stray:
+        stray.write(gzip.compress(b"left by a write that died"))
+    assert [r["page_id"] for r in warc.read(spark, folder).collect()] == [1]
+    os.remove(f"{place}/{warc.MANIFEST}")
+    with pytest.raises(Exception):
+        warc.read(spark, folder)
+
+
 def plain_near_copies(texts, words=5, radius=18, share=0.8):
     """Components of texts whose fingerprints are within ``radius`` bits and whose sets of shingles have the similarity ``share``."""
     split = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split() for t in texts]
