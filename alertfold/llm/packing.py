@@ -12,10 +12,8 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -76,13 +74,12 @@ class ShardIndex:
     words of a single document, rank nothing and have no postings."""
 
     def __init__(self, texts: list[str], k1: float = 1.2, b: float = 0.75):
-        counts = [Counter(t.split()) for t in texts]
-        sizes = np.fromiter(map(len, counts), np.int64, len(counts))
-        words = list(chain.from_iterable(counts))
-        terms = dict(zip(dict.fromkeys(words), count()))
-        term = np.fromiter(map(terms.__getitem__, words), np.int64, len(words))
-        freq = np.fromiter(chain.from_iterable(c.values() for c in counts), np.float64, len(words))
-        doc = np.repeat(np.arange(len(texts)), sizes)
+        split, terms = [t.split() for t in texts], {}
+        number = terms.setdefault
+        term = np.array([number(w, len(terms)) for words in split for w in words], np.int64)
+        doc = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(split)))
+        entry, freq = np.unique(doc * max(1, len(terms)) + term, return_counts=True)
+        doc, term = np.divmod(entry, max(1, len(terms)))
         length = np.bincount(doc, freq, len(texts))
         df = np.bincount(term, minlength=len(terms))
         idf = np.log((len(texts) - df + 0.5) / (df + 0.5))

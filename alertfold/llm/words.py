@@ -12,6 +12,13 @@ from collections.abc import Callable
 
 # A space before white space or the end; the separators 1C-1F and 85 are white space to some engines only.
 _IRREGULAR = re.compile("[\x1c-\x1f\x85]| (?=[\\s]|$)")
+_IRREGULAR_ASCII = ("  ", " \n", " \r", " \t", " \x0b", " \x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def irregular(text: str) -> bool:
+    if text.isascii():  # searching for fixed strings takes a fraction of the pattern's time
+        return text.endswith(" ") or any(x in text for x in _IRREGULAR_ASCII)
+    return _IRREGULAR.search(text) is not None
 
 
 class WordEncoder:
@@ -23,7 +30,7 @@ class WordEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self._known) > self._entries:
             self._known.clear()
-        cut = [None if _IRREGULAR.search(t) else t.split(" ") for t in texts]
+        cut = [None if irregular(t) else t.split(" ") for t in texts]
         missing = list(set().union(*(x[1:] for x in cut if x)) - self._known.keys())
         whole = [t if x is None else x[0] for t, x in zip(texts, cut)]
         ids = self._encode([" " + w for w in missing] + whole)
