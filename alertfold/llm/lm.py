@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +77,7 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int, ids: dict[bytes, int]
     for batch in batches:
         for k in range(batch.num_rows):
             words = words_of(batch.column(column)[k].as_py())
-            get = ids.get
-            texts.append(np.array([get(w, gru.OTHER) for w in words] + [gru.END], np.int32))
+            texts.append(np.fromiter(chain(map(ids.get, words, repeat(gru.OTHER)), (gru.END,)), np.int32, len(words) + 1))
             made.append(also(words))
             rows.append([c[k] for c in batch.columns[:column]])
             size += len(words) + 1
