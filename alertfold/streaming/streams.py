@@ -111,7 +111,8 @@ def lateness_batches(lateness_sec: float, sink, state: str | None = None):
     """``foreachBatch`` handler that adds the lateness class against the newest time ever seen.
 
     ``state`` is a folder in shared storage (a new one below the shared folder if not given). Batch ``n`` leaves the newest
-    time up to itself there as one row, which batch ``n + 1`` reads; a batch that is run again finds the same.
+    time up to itself there as one row, which batch ``n + 1`` reads; a batch that is run again finds the same. Only where no
+    earlier batch left one does lateness start anew; a lost row is an error.
     """
     allowed = int(lateness_sec * MICROS)
     place = [state]
@@ -125,8 +126,9 @@ def lateness_batches(lateness_sec: float, sink, state: str | None = None):
             try:
                 before = spark.read.schema("newest long").parquet(f"{place[0]}/batch-{batch_id - 1}")
                 newest = newest.unionByName(before).agg(F.max("newest").alias("newest"))
-            except AnalysisException:  # the stream began with a later batch
-                pass
+            except AnalysisException:
+                if _has_earlier(spark, place[0], batch_id):  # that of the batch before is lost
+                    raise
         newest.coalesce(1).write.mode("overwrite").parquet(f"{place[0]}/batch-{batch_id}")
         newest = spark.read.schema("newest long").parquet(f"{place[0]}/batch-{batch_id}")
         behind = F.col("newest") - F.unix_micros("timestamp")
@@ -135,6 +137,15 @@ def lateness_batches(lateness_sec: float, sink, state: str | None = None):
     return handle
 
 
+def _has_earlier(spark: SparkSession, place: str, batch_id: int) -> bool:
+    try:
+        left = spark.read.schema("newest long").parquet(f"{place}/batch-*")
+    except AnalysisException:  # no batch at all
+        return False
+    number = F.regexp_extract("_metadata.file_path", r"/batch-(\d+)/", 1).cast("long")
+    return not left.where(number < batch_id).isEmpty()
+
+
 def score_batches(gap_minutes: int, scorer, sink):
     """``foreachBatch`` handler: fold a micro-batch, derive features, apply a ``DataFrame -> DataFrame`` scorer with a
     ``score`` column, decide, and hand the escalated meta-alerts to ``sink(frame, batch_id)``."""

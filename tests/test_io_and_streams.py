@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from alertfold import schema as S
@@ -164,6 +166,20 @@ def test_lateness_labels_per_micro_batch(spark):
     assert got == {0: "on_time", 1: "late_ok", 2: "late_drop"}
 
 
+def test_lost_newest_time_is_an_error(spark, tmp_path):
+    """A stream may begin with any batch, and a batch may run again; a lost row between two batches is not passed over."""
+    got = {}
+    handle = ST.lateness_batches(
+        10, lambda out, _: got.update({r.event_id: r.lateness for r in out.collect()}), str(tmp_path / "newest"))
+    row = lambda k, us: frame(spark, [(k, us, k, "a", "g")])
+    for _ in range(2):
+        handle(row(0, 30_000_000), 4)
+    handle(row(1, 15_000_000), 5)
+    assert got == {0: "on_time", 1: "late_ok"}
+    with pytest.raises(AnalysisException):  # batch 4 and 5 left theirs, 6 did not
+        handle(row(2, 0), 7)
+
+
 def test_messages_have_four_lines(spark):
     df = spark.createDataFrame(
         [("m", "sads", "web", "CRITICAL", 9, 3, 59, BASE, BASE + MIN, 0.875, 1)],
