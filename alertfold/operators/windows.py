@@ -49,6 +49,14 @@ def compound_tactics(alerts: DataFrame, minutes: int) -> DataFrame:
                         F.trim("col").alias("tactic"))
 
 
+def compound_attackers(alerts: DataFrame, minutes: int) -> DataFrame:
+    """Source addresses per agent window with their alerts, one row each: a window may have any number of them."""
+    width = minutes * MINUTE_US
+    return alerts.where(F.col("srcip") != "").select(
+        "agent_id", (F.floor(F.unix_micros("timestamp") / width) * width).alias("window_start_us"), "srcip",
+    ).groupBy("agent_id", "window_start_us", "srcip").agg(F.count("*").alias("alert_count"))
+
+
 def fixed_windows(alerts: DataFrame, minutes: int) -> DataFrame:
     """Baseline without sessions: one row per window, agent and rule group."""
     rows = sessions.with_key(alerts).withColumn("ts_us", F.unix_micros("timestamp"))

@@ -531,6 +531,10 @@ add("A3_compound_tactics", "agent_id:s window_start_us:l event_id:l tactic_no:i
     lambda t: W.compound_tactics(t.alerts, 15),
     """SELECT agent_id, wstart AS window_start_us, event_id, i - 1 AS tactic_no, string_split(mitre_tactic, '|')[i] AS tactic
       FROM (SELECT *, unnest(range(1, len(string_split(mitre_tactic, '|')) + 1)) AS i FROM fixed WHERE mitre_tactic <> '')""")
+add("A3_compound_attackers", "agent_id:s window_start_us:l srcip:s alert_count:l",
+    lambda t: W.compound_attackers(t.alerts, 15),
+    """SELECT agent_id, wstart AS window_start_us, srcip, count(*) AS alert_count FROM fixed WHERE srcip <> ''
+      GROUP BY ALL""")
 add("A4_fixed_windows",
     "agent_id:s rule_groups:s window_start_us:l window_end_us:l start_us:l end_us:l duration_sec:l alert_count:l "
     "max_severity:i mitre_hit_count:l external_threat_count:l unique_rules_triggered:l rule_group_severity_enc:i "
