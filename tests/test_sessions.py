@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from alertfold.operators import adaptive, chains, ordering as O, sessions as A
+from alertfold.operators import adaptive, chains, ordering as O, sessions as A, windows as W
 from tests import models
 from tests.models import MIN
 
@@ -264,3 +264,51 @@ def test_mixtures_are_counted_in_one_pass(spark, block_caps):
                 buckets[-1][0] += 1
                 buckets[-1][1] += noise
         assert got[v] == (len(buckets), sum(z for n, z in buckets if z < n)), v
+
+
+def _by_pairs(alerts, every, window_sec, gap_minutes, cell_sec):
+    """Look-back sessions with a row per alert and trigger that sees it."""
+    width, span = cell_sec * 1_000_000, window_sec * 1_000_000
+    rows = A.with_key(alerts).withColumn("ts_us", F.unix_micros("timestamp")).withColumn("cell", F.floor(F.col("ts_us") / width))
+    triggers = rows.where((F.col("event_id") + 1) % every == 0).select(
+        F.col("event_id").alias("trigger_seq"), F.col("ts_us").alias("now_us"), F.floor(F.col("ts_us") / width).alias("own"))
+    seen = rows.join(triggers, (rows.event_id <= triggers.trigger_seq) & (rows.ts_us >= triggers.now_us - span) & (rows.cell <= triggers.own))
+    return A.fold_in_order(seen.drop("cell", "own"), gap_minutes * 60_000_000, ["trigger_seq", *A.KEYS])
+
+
+def _odd_alerts(spark, n, seconds, addresses, labels=True):
+    """Alerts out of time order, with ties, nulls and, by every 97th, a number and time that come twice. Levels and rules are
+    null only without labels: a distribution has no place for them."""
+    rows = spark.range(n).select(F.col("id").alias("event_id"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).alias("h"))
+    rows = rows.select("event_id", F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.expr(
+        f"(event_id * {seconds} div {n} + h % 90) * 1000000 + h % 3")).alias("timestamp"), *[
+        F.when(F.col("h") % k != 0, v).alias(name) for k, name, v in (
+            (41, "agent_id", F.concat(F.lit("00"), (F.col("h") % 2).cast("string"))), (13, "agent_name", F.concat(F.lit("h"), (F.col("h") % 3).cast("string"))),
+            (43, "rule_groups", F.lit("Web ")), (10**6 if labels else 7, "rule_level", (F.col("h") % 12).cast("int")), (10**6 if labels else 11, "rule_id", (F.col("h") % 15 + 95).cast("int")),
+            (5, "srcip", F.when(F.col("h") % 4 > 0, F.concat(F.lit("10."), (F.col("h") % addresses).cast("string"))).otherwise("")),
+            (9, "srcip_type", F.element_at(F.array(F.lit("none"), F.lit("internal"), F.lit("external")), (F.col("h") % 3 + 1).cast("int"))),
+            (8, "has_mitre", (F.col("h") % 2).cast("int")), (17, "criticality_score", (F.col("h") % 4).cast("int")),
+            (19, "is_synthetic", (F.col("h") % 5 == 0).cast("int")), (23, "scenario_id", F.substring(F.lit("ABC"), (F.col("h") % 3 + 1).cast("int"), F.lit(1))))])
+    rows = rows.unionByName(rows.where("event_id % 97 = 0"))
+    rows = rows.unionByName(rows.limit(1).withColumn("event_id", F.lit(None).cast("long")))
+    rows = rows.unionByName(rows.where("event_id = 60").limit(1).withColumn("timestamp", F.lit(None).cast("timestamp")))
+    return rows if labels else rows.drop("is_synthetic", "scenario_id")
+
+
+@pytest.mark.parametrize("n, seconds, addresses, cell_sec, labels", [
+    (3000, 20_000, 7, 600, True), (3000, 1_500, 900, 600, True), (1200, 9_000, 20, 170, False)])
+def test_lookback_without_a_row_per_alert_and_trigger(spark, n, seconds, addresses, cell_sec, labels):
+    alerts = _odd_alerts(spark, n, seconds, addresses, labels).localCheckpoint()
+    got = W.rolling_lookback(alerts, 20, 600, 1, cell_sec=cell_sec)
+    want = _by_pairs(alerts, 20, 600, 1, cell_sec)
+    assert got.columns == want.columns and "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
+    rows = lambda df: sorted(map(str, (df if labels else df.drop("severity_dist", "rule_id_dist")).collect()))
+    assert rows(got) == rows(want) and got.count() > 100
+
+
+def test_lookback_triggers_of_one_number_at_several_times(spark):
+    alerts = _odd_alerts(spark, 600, 3_000, 7)
+    later = alerts.where("event_id in (199, 299)").withColumn("timestamp", F.col("timestamp") + F.expr("interval 8 minutes"))
+    alerts = alerts.unionByName(later).localCheckpoint()
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(W.rolling_lookback(alerts, 20, 600, 1)) == rows(_by_pairs(alerts, 20, 600, 1, 600))
