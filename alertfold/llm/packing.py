@@ -12,8 +12,10 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from alertfold.llm.words import WordEncoder
 
 WINDOW = 2048
 SHARD_DOCS, SHARD_CHARS = 512, 16 << 20
+WORDS_TOGETHER = 2048
 PIECE = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -45,7 +48,21 @@ def _encoder(path: str) -> WordEncoder:
         raise ValueError(f"{path}: its ids don't follow its merges")
     encode = tiktoken.Encoding(
         "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return WordEncoder(lambda texts: [array("I", encode(t)).tobytes() for t in texts])
+    opens = np.zeros(max(ranks.values()) + 1, bool)  # ids that begin with a space: in a row of words, where a word begins
+    opens[[rank for word, rank in ranks.items() if word[0] == 32]] = True
+    each = lambda texts: [array("I", encode(t)).tobytes() for t in texts]
+
+    def words_together(words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), WORDS_TOGETHER):
+            part = words[at:at + WORDS_TOGETHER]
+            ids = np.array(encode(" " + " ".join(part)), np.uint32)
+            cuts, data = (4 * np.append(np.flatnonzero(opens[ids]), len(ids))).tolist(), ids.tobytes()
+            whole = len(cuts) == len(part) + 1
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])] if whole else each([" " + w for w in part])
+        return out
+
+    return WordEncoder(each, encode_words=words_together)
 
 
 @cache
@@ -74,10 +91,10 @@ class ShardIndex:
     words of a single document, rank nothing and have no postings."""
 
     def __init__(self, texts: list[str], k1: float = 1.2, b: float = 0.75):
-        split, terms = [t.split() for t in texts], {}
-        number = terms.setdefault
-        term = np.array([number(w, len(terms)) for words in split for w in words], np.int64)
-        doc = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(split)))
+        split, terms = [t.split() for t in texts], defaultdict(count().__next__)  # words numbered as they come up
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        term = np.fromiter(map(terms.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        doc = np.repeat(np.arange(len(texts)), sizes)
         entry, freq = np.unique(doc * max(1, len(terms)) + term, return_counts=True)
         doc, term = np.divmod(entry, max(1, len(terms)))
         length = np.bincount(doc, freq, len(texts))
@@ -210,5 +227,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text",
                 done, at = done + size, at + size
         if packer.open:
             yield rows_out(list(packer.close()))
+        _encoder(tokenizer_path).forget()  # an idle worker holds no dictionary while other steps run
 
     return docs.mapInArrow(run, schema)

@@ -177,14 +177,17 @@ def _nodes(numbered: DataFrame, order: str, text: str, words: int) -> DataFrame:
     docs = numbered.select(F.col(order).alias("first"), text)
     schema = T.StructType([docs.schema["first"], *T.StructType.fromDDL("digest binary, fp long, n int, sketch binary").fields])
 
+    def node_of(value: str | None) -> tuple[bytes, int, int, bytes]:  # a text's hashes go before the next one's are made
+        body, values = _shingles(value or "", words, 42)
+        return xxhash.xxh3_128_digest(body), _votes(values) if values else 0, len(set(values)), _sketch(values)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_shingles(t or "", words, 42) for t in batch.column(1).to_pylist()]
-            prints = np.array([_votes(values) if values else 0 for _, values in found], "<u8")
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([xxhash.xxh3_128_digest(body) for body, _ in found], pa.binary()),
-                pa.array(prints.view("<i8")), pa.array([len(set(values)) for _, values in found], pa.int32()),
-                pa.array([_sketch(values) for _, values in found], pa.binary())], schema.fieldNames())
+            found = [node_of(value.as_py()) for value in batch.column(1)]
+            columns = zip(*found) if found else [()] * 4
+            kinds = (pa.binary(), pa.uint64(), pa.int32(), pa.binary())
+            digest, fp, n, sketch = (pa.array(c, kind) for c, kind in zip(columns, kinds))
+            yield pa.RecordBatch.from_arrays([batch.column(0), digest, fp.view(pa.int64()), n, sketch], schema.fieldNames())
 
     return docs.mapInArrow(run, schema).groupBy("digest", "fp", "n", "sketch").agg(F.min("first").alias("first")).select(
         F.col("first.row").alias("node"), "fp", "n", "sketch", "first")

@@ -22,10 +22,16 @@ def irregular(text: str) -> bool:
 
 
 class WordEncoder:
-    """Ids as little-endian unsigned 32-bit integers. ``encode(texts)`` gives the ids of each text as bytes."""
+    """Ids as little-endian unsigned 32-bit integers. ``encode(texts)`` gives the ids of each text as bytes;
+    ``encode_words(words)``, if given, those of words with a space before each."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 600_000,
+                 encode_words: Callable[[list[str]], list[bytes]] | None = None):
         self._encode, self._entries, self._known = encode, entries, {}
+        self._encode_words = encode_words or (lambda words: encode([" " + w for w in words]))
+
+    def forget(self) -> None:
+        self._known = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self._known) > self._entries:
@@ -33,7 +39,6 @@ class WordEncoder:
         cut = [None if irregular(t) else t.split(" ") for t in texts]
         missing = list(set().union(*(x[1:] for x in cut if x)) - self._known.keys())
         whole = [t if x is None else x[0] for t, x in zip(texts, cut)]
-        ids = self._encode([" " + w for w in missing] + whole)
-        self._known.update(zip(missing, ids))
-        known, first = self._known.__getitem__, ids[len(missing):]
+        self._known.update(zip(missing, self._encode_words(missing)))
+        known, first = self._known.__getitem__, self._encode(whole)
         return [f if x is None else f + b"".join(map(known, x[1:])) for f, x in zip(first, cut)]

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from alertfold.llm import bpe, gru, lm, packing, quality, queries
+from alertfold.llm import bpe, gru, lm, packing, quality, queries, repeats
 from alertfold.llm.words import WordEncoder
 from tests.llm.conftest import awkward_texts
 
@@ -290,3 +291,39 @@ def test_queries_on_given_tables(spark, given, library):
     rows = queries.op9_quality_divergence(spark, given).collect()
     assert {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in rows} == {
         k: base_measures(t) for k, t in docs.items()}
+
+
+def test_masks_of_a_chunk_take_few_bytes_a_unit():
+    total, first = 2_000_000, np.arange(0, 1_900_000, 500)
+    parts = [(first, first, first + 300, first.view(np.uint64), first.view(np.uint64))]
+    chunk = repeats.Chunk(272, np.zeros(1, np.int64), total, parts)
+    tracemalloc.start()
+    starts = chunk.spread(np.ones(len(first), bool))
+    gone = chunk.covered(starts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want_starts, want = np.zeros(total, bool), np.zeros(total, bool)
+    for a in first.tolist():
+        want_starts[a:a + 301] = True
+        want[a:a + 300 + 272] = True
+    assert (starts == want_starts).all() and (gone == want).all() and peak < 12 * total
+
+
+def test_new_words_are_encoded_together():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    packing._encoder.cache_clear()
+    words = ["a", "b\n", "\nc", "d\r\n\r\ne", "é", "日本", "it's", "1234", "x\ty", "..!", "<|endoftext|>", "​z"] + [f"w{k}" for k in range(5000)]
+    encoder = packing._encoder(path)
+    assert encoder._encode_words(words) == encoder._encode([" " + w for w in words])
+    text = "first " + " ".join(words)
+    assert encoder([text]) == encoder._encode([text])
+    encoder.forget()
+    assert not encoder._known
+
+
+def test_softmax_of_rows_side_by_side():
+    x = np.random.default_rng(3).standard_normal((32, 200)).astype(np.float32) * 9
+    target = np.arange(200) % 32
+    want = x - np.log(np.exp(x.astype(np.float64)).sum(0))
+    log_p, parts, total = gru._softmax(x.copy(), target)
+    assert np.allclose(log_p, want[target, np.arange(200)], atol=1e-5) and np.allclose(parts / total, np.exp(want), atol=1e-6)
