@@ -48,9 +48,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.tanh(x * F32(0.5)) * F32(0.5) + F32(0.5)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For choices by rows, log probabilities: that of each row's target, and all as parts and their sums. Rows lie side by
+    side, so that sums over the few choices of a row run over whole arrays."""
+    x -= x.max(0)
+    log_p = x[target, np.arange(x.shape[1])]
+    parts = np.exp(x, out=x)
+    total = parts.sum(0)
+    return log_p - np.log(total), parts, total
 
 
 class Lanes:
@@ -91,7 +96,7 @@ class Gru:
 
     def _forward(self, given: np.ndarray, carried: np.ndarray, state: np.ndarray) -> list[np.ndarray]:
         w, h2, (steps, lanes) = self.w, 2 * self.hidden, given.shape
-        x = w["input"][given] + w["bias"]
+        x = (w["input"] + w["bias"])[given]
         before, gates, new, after = (np.empty((steps, lanes, n), F32) for n in (self.hidden, h2, self.hidden, self.hidden))
         for t in range(steps):
             h = before[t] = state * carried[t][:, None]
@@ -103,27 +108,29 @@ class Gru:
 
     def _output(self, h: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each target; with ``grads`` also the gradient of their negative sum by ``h``."""
-        w, of = self.w, target // self.per_class
-        rows = np.arange(len(h))
-        by_class = _log_softmax(h @ w["class"] + w["class_bias"])
-        log_p, dh = by_class[rows, of], None
+        w, of, within = self.w, target // self.per_class, target % self.per_class
+        log_p, d, total = _softmax(w["class"].T @ h.T + w["class_bias"][:, None], of)
+        dh = None
         if grads is not None:
-            d = np.exp(by_class)
-            d[rows, of] -= 1
-            grads["class"], grads["class_bias"] = h.T @ d, d.sum(0)
+            d /= total
+            d[of, np.arange(len(h))] -= 1
+            grads["class"], grads["class_bias"] = h.T @ d.T, d.sum(1)
             grads["word"], grads["word_bias"] = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"])
-            dh = d @ w["class"].T
-        order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(len(w["word"]) + 1))
-        for c in np.unique(of).tolist():
+            dh = d.T @ w["class"].T
+        order = np.argsort(of.astype(np.int16), kind="stable") if len(w["word"]) < 1 << 15 else np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(len(w["word"]) + 1)).tolist()
+        for c in range(len(w["word"])):
+            if cuts[c] == cuts[c + 1]:
+                continue
             at = order[cuts[c]:cuts[c + 1]]
-            inside, within = _log_softmax(h[at] @ w["word"][c] + w["word_bias"][c]), target[at] % self.per_class
-            log_p[at] += inside[np.arange(len(at)), within]
+            mine, chosen = h[at], within[at]
+            inside, d, total = _softmax(w["word"][c].T @ mine.T + w["word_bias"][c][:, None], chosen)
+            log_p[at] += inside
             if grads is not None:
-                d = np.exp(inside)
-                d[np.arange(len(at)), within] -= 1
-                grads["word"][c], grads["word_bias"][c] = h[at].T @ d, d.sum(0)
-                dh[at] += d @ w["word"][c].T
+                d /= total
+                d[chosen, np.arange(len(at))] -= 1
+                grads["word"][c], grads["word_bias"][c] = mine.T @ d.T, d.sum(1)
+                dh[at] += d.T @ w["word"][c].T
         return log_p, dh
 
     def score(self, texts: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
