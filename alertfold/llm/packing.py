@@ -12,22 +12,23 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 
-from alertfold.llm.words import WordEncoder
+from alertfold.llm.words import WordEncoder, strings
 
 WINDOW = 2048
 SHARD_DOCS, SHARD_CHARS = 512, 16 << 20
 WORDS_TOGETHER = 2048
+ENCODE_CHARS = 8 << 20  # texts encoded together: the more, the fewer words are encoded again
 PIECE = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+_RUNS, _RUN = r"|\s+(?!\S)|\s+", re.compile(r"\s\s")  # how the pattern ends; a run of white space
 
 
 @cache
@@ -46,8 +47,10 @@ def _encoder(path: str) -> WordEncoder:
     merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
     if any(model["vocab"][word] != 256 + k for k, word in enumerate(merged)):
         raise ValueError(f"{path}: its ids don't follow its merges")
-    encode = tiktoken.Encoding(
-        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    by = lambda pattern: tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    # white space that stands alone needs no looking ahead, which takes much of the pattern's time
+    encode = by(public_tokenizers.PATTERN)
+    encode_single = by(public_tokenizers.PATTERN.removesuffix(_RUNS) + r"|\s") if public_tokenizers.PATTERN.endswith(_RUNS) else encode
     opens = np.zeros(max(ranks.values()) + 1, bool)  # ids that begin with a space: in a row of words, where a word begins
     opens[[rank for word, rank in ranks.items() if word[0] == 32]] = True
     each = lambda texts: [array("I", encode(t)).tobytes() for t in texts]
@@ -56,13 +59,14 @@ def _encoder(path: str) -> WordEncoder:
         out = []
         for at in range(0, len(words), WORDS_TOGETHER):
             part = words[at:at + WORDS_TOGETHER]
-            ids = np.array(encode(" " + " ".join(part)), np.uint32)
+            row = " " + " ".join(part)
+            ids = np.array((encode if _RUN.search(row) else encode_single)(row), np.uint32)
             cuts, data = (4 * np.append(np.flatnonzero(opens[ids]), len(ids))).tolist(), ids.tobytes()
             whole = len(cuts) == len(part) + 1
             out += [data[a:b] for a, b in zip(cuts, cuts[1:])] if whole else each([" " + w for w in part])
         return out
 
-    return WordEncoder(each, encode_words=words_together)
+    return WordEncoder(each, entries=0, encode_words=words_together)
 
 
 @cache
@@ -76,12 +80,12 @@ def _added(path: str) -> tuple[re.Pattern | None, dict[str, bytes]]:
     return re.compile("(" + "|".join(map(re.escape, ids)) + ")") if ids else None, ids
 
 
-def _encode(path: str, texts: list[str], added_tokens: bool) -> list[bytes]:
+def _encode(path: str, texts: pa.Array, added_tokens: bool) -> list[bytes]:
     """Ids of texts; with ``added_tokens``, texts are cut at the strings of the file's added tokens, which have their own ids."""
     encoder, (pattern, own) = _encoder(path), _added(path) if added_tokens else (None, {})
-    if pattern is None:
+    if not any(pc.any(pc.match_substring(texts, token)).as_py() for token in own):
         return encoder(texts)
-    cut = [pattern.split(t) for t in texts]  # every second part is an added token
+    cut = [pattern.split(t) for t in texts.to_pylist()]  # every second part is an added token
     ids = iter(encoder([part for parts in cut for part in parts[::2]]))
     return [b"".join(own[part] if k % 2 else next(ids) for k, part in enumerate(parts)) for parts in cut]
 
@@ -90,15 +94,17 @@ class ShardIndex:
     """BM25 postings of one shard, ``k1`` and ``b`` as usual. Words with an inverse document frequency of 0 or less, and
     words of a single document, rank nothing and have no postings."""
 
-    def __init__(self, texts: list[str], k1: float = 1.2, b: float = 0.75):
-        split, terms = [t.split() for t in texts], defaultdict(count().__next__)  # words numbered as they come up
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        term = np.fromiter(map(terms.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        entry, freq = np.unique(doc * max(1, len(terms)) + term, return_counts=True)
-        doc, term = np.divmod(entry, max(1, len(terms)))
+    def __init__(self, texts: list[str] | pa.Array, k1: float = 1.2, b: float = 0.75):
+        split = pc.utf8_split_whitespace(strings(texts))
+        numbered = split.flatten().dictionary_encode()  # words numbered as they come up
+        terms, term = len(numbered.dictionary), numbered.indices.to_numpy().astype(np.int64)
+        doc = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+        words = term != pc.index(numbered.dictionary, "").as_py()  # white space at an end leaves an empty string
+        term, doc = term[words], doc[words]
+        entry, freq = np.unique(doc * max(1, terms) + term, return_counts=True)
+        doc, term = np.divmod(entry, max(1, terms))
         length = np.bincount(doc, freq, len(texts))
-        df = np.bincount(term, minlength=len(terms))
+        df = np.bincount(term, minlength=terms)
         idf = np.log((len(texts) - df + 0.5) / (df + 0.5))
         useful = ((df > 1) & (idf > 0))[term]
         term, doc, freq = term[useful], doc[useful], freq[useful]
@@ -107,7 +113,7 @@ class ShardIndex:
         self.terms_of = np.split(term, np.searchsorted(doc, np.arange(1, self.n)))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(len(terms) + 1))
+        self.start = np.searchsorted(term[order], np.arange(terms + 1))
 
     def ranking(self, seed: int, unused: np.ndarray) -> list[int]:
         """Unused documents that share a word with ``seed``, best first, ties in the order of the shard."""
@@ -151,12 +157,12 @@ class _Packer:
                     left, offset, self.sequence = left[1:], 0, self.sequence + 1
 
 
-def _fill(texts: list[str], ids: list[bytes], base: int, packer: _Packer) -> Iterator[tuple]:
+def _fill(texts: list[str] | pa.Array, ids: list[bytes], base: int, packer: _Packer) -> Iterator[tuple]:
     """Places every document of a shard."""
     index, unused = ShardIndex(texts), np.ones(len(texts), bool)
     ranked: list[int] = []
     next_seed, at = 0, 0
-    for _ in texts:
+    for _ in range(len(texts)):
         while at < len(ranked) and not unused[ranked[at]]:
             at += 1
         if at < len(ranked):
@@ -175,6 +181,23 @@ def _fill(texts: list[str], ids: list[bytes], base: int, packer: _Packer) -> Ite
             ranked, at = index.ranking(doc, unused), 0
 
 
+def _shards(texts: pa.Array, shard_docs: int) -> Iterator[list[int]]:
+    """How many texts each shard of a batch has, in lists of shards that are encoded together."""
+    lengths = pc.binary_length(texts).to_pylist()
+    together, taken, at = [], 0, 0
+    while at < len(texts):
+        size, chars = 0, 0
+        while size < shard_docs and at + size < len(texts) and chars < SHARD_CHARS:
+            chars, size = chars + lengths[at + size], size + 1
+        if together and taken + chars > ENCODE_CHARS:
+            yield together
+            together, taken = [], 0
+        together.append(size)
+        taken, at = taken + chars, at + size
+    if together:
+        yield together
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
          window: int = WINDOW, shard_docs: int = SHARD_DOCS, added_tokens: bool = False) -> DataFrame:
     """Pieces of documents laid out in sequences of ``window`` ids: the columns ``keep`` and those of ``PIECE``.
@@ -205,26 +228,19 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text",
                 numbers(sequence), numbers(offset)], schema.fieldNames())
 
         for batch in batches:
-            kinds = [batch.schema.field(k).type for k in range(len(keep))]
-            at = 0
-            while at < batch.num_rows:
-                size, chars = 0, 0
-                lengths = batch.column(len(keep)).slice(at, shard_docs)
-                for value in lengths:
-                    chars += len(value.as_buffer() or b"") if value.is_valid else 0
-                    size += 1
-                    if chars >= SHARD_CHARS:
-                        break
-                shard = batch.slice(at, size)
-                texts = [t or "" for t in shard.column(len(keep)).to_pylist()]
-                held.update(enumerate(zip(*(c.to_pylist() for c in shard.columns[:len(keep)])), done))
-                pieces = list(_fill(
-                    texts, [x + end for x in _encode(tokenizer_path, texts, added_tokens)], done, packer))
-                if pieces:
-                    yield rows_out(pieces)
-                still = {p[0] for p in packer.open}
-                held = {k: v for k, v in held.items() if k in still}
-                done, at = done + size, at + size
+            kinds, first = [batch.schema.field(k).type for k in range(len(keep))], 0
+            texts = strings(batch.column(len(keep)))
+            for sizes in _shards(texts, shard_docs):
+                ids, at = _encode(tokenizer_path, texts.slice(first, sum(sizes)), added_tokens), 0
+                for size in sizes:
+                    held.update(enumerate(zip(*(c.slice(first, size).to_pylist() for c in batch.columns[:len(keep)])), done))
+                    pieces = list(_fill(
+                        texts.slice(first, size), [x + end for x in ids[at:at + size]], done, packer))
+                    if pieces:
+                        yield rows_out(pieces)
+                    still = {p[0] for p in packer.open}
+                    held = {k: v for k, v in held.items() if k in still}
+                    done, at, first = done + size, at + size, first + size
         if packer.open:
             yield rows_out(list(packer.close()))
         _encoder(tokenizer_path).forget()  # an idle worker holds no dictionary while other steps run

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -321,6 +322,25 @@ def test_new_words_are_encoded_together():
     assert not encoder._known
 
 
+def test_columns_are_encoded_by_distinct_words():
+    rng = random.Random(8)
+    odd = " \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u2029\u3000\u200b\x00\x7f"
+    texts = ["".join(rng.choice(odd if rng.random() < 0.4 else "ab 1.'sé日") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    texts += [f"{a}x{c}y {c} z{c}" for c in odd for a in ("", " ")] + ["w\nw 's it's"] * 3 + [None, ""]
+    column, encoder = pa.array(texts), packing._encoder(TOKENIZER)
+    assert encoder(column) == encoder._encode([t or "" for t in texts])
+    assert not encoder._known
+    assert encoder(pa.array([], pa.string())) == []
+    index = packing.ShardIndex(column)
+    split = [(t or "").split() for t in texts]
+    often = Counter(w for ws in split for w in set(ws))
+    for ws, terms in zip(split, index.terms_of):
+        assert len(terms) == sum(1 < often[w] and 2 * often[w] < len(texts) + 0.5 for w in set(ws))
+    groups = list(packing._shards(pa.array(["x" * 100_000] * 1300), 7))
+    assert all(n == 7 for g in groups[:-1] for n in g) and sum(map(sum, groups)) == 1300
+    assert max(map(sum, groups)) * 100_000 <= packing.ENCODE_CHARS
+
+
 def test_softmax_of_rows_side_by_side():
     x = np.random.default_rng(3).standard_normal((32, 200)).astype(np.float32) * 9
     target = np.arange(200) % 32
