@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from alertfold.llm import multi_index, queries, quality, simhash, substrings, suffixes, warc
+from alertfold.llm import multi_index, queries, quality, repeats, simhash, substrings, suffixes, warc
 from alertfold.llm.common import new_folder, stored, table
 from alertfold.llm.components import components
 from tests.llm.conftest import awkward_texts
@@ -254,6 +254,16 @@ def test_repeated_bytes(spark, awkward, nothing, crowd):
     assert suffixes.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("window", [272, 400])
+def test_anchors_fill_all_hash_ranges_alike(window):
+    rng = random.Random(window)
+    texts = ["".join(rng.choices("abcdefgh ", k=2000)).encode() for _ in range(200)]
+    chunk = suffixes._anchored(window)(texts)
+    sizes = [len(x) for x in repeats.request(0, chunk.keys, chunk.checks, chunk.many, 32).column("many").to_pylist()]
+    assert len(sizes) == 32 and sum(sizes) == len(chunk.keys) > 1000
+    assert max(sizes) < 2 * len(chunk.keys) / 32
+
+
 def test_window_width_is_checked(awkward):
     with pytest.raises(ValueError):
         suffixes.remove_repeats(awkward, window=300)
